@@ -170,7 +170,7 @@ _series(
     lambda: I.volume_ratio(),
     f"CASE WHEN bar_no > 20 THEN volume / nullif(avg(volume) {_PREV20}, 0) END",
 )
-_series("vwap", lambda: c("vwap"), "vwap", 5)
+_series("vwap", lambda: c("vwap") / c("close"), "vwap / close")
 
 
 # RSI by explicit recursion over each symbol's moves

@@ -128,7 +128,7 @@ def us_bar_scan(spark, sf):
 
 
 _ENRICHED = f"""SELECT symbol, {day('date')}, round(close, 7) AS close, volume, round(turnover_rate, 6) AS turnover_rate,
- round(pe_ttm, 4) AS pe_ttm, round(market_cap, 2) AS market_cap{{more}} FROM enriched"""
+ round(pe_ttm, 6) AS pe_ttm, round(market_cap, 2) AS market_cap{{more}} FROM enriched"""
 
 
 @query(
@@ -145,7 +145,7 @@ def cn_bar_scan(spark, sf):
         SYMBOL, DATE, "close", "volume", "turnover_rate", "pe_ttm", "market_cap", "net_mf_amount", "large_net_in",
         "margin_balance",
     )
-    return shaped(df, 2, close=7, volume=7, turnover_rate=6, pe_ttm=4, margin_balance=5, circ_market_cap=4)
+    return shaped(df, 2, close=7, volume=7, turnover_rate=6, pe_ttm=6, margin_balance=5, circ_market_cap=4)
 
 
 @query("cn_basic_bar_scan", with_("enriched", _ENRICHED.format(more=", round(circ_market_cap, 4) AS circ_market_cap")))
@@ -153,7 +153,7 @@ def cn_basic_bar_scan(spark, sf):
     df = SB.cn_basic_bars(raw_prices(spark, sf), daily_basic(spark, sf)).select(
         SYMBOL, DATE, "close", "volume", "turnover_rate", "pe_ttm", "market_cap", "circ_market_cap"
     )
-    return shaped(df, 2, close=7, volume=7, turnover_rate=6, pe_ttm=4, margin_balance=5, circ_market_cap=4)
+    return shaped(df, 2, close=7, volume=7, turnover_rate=6, pe_ttm=6, margin_balance=5, circ_market_cap=4)
 
 
 @query(

@@ -49,12 +49,12 @@ def bars(spark: SparkSession, sf: str, symbol: str = "l_suppkey", step: str = "w
     )
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return P.index_bars(P.positive_close(bars(spark, sf)))
+def panel(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    return P.index_bars(P.positive_close(bars(spark, sf)), spread)
 
 
-def featured(spark: SparkSession, sf: str) -> DataFrame:
-    return P.with_features(panel(spark, sf))
+def featured(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    return P.with_features(panel(spark, sf, spread))
 
 
 HORIZONS = (1, 5, 7, 14, 30)

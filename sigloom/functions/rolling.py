@@ -29,8 +29,13 @@ def so_far():
 
 
 def full(x: Column, n: int, value: Column) -> Column:
-    """``value`` where the last ``n`` bars all carry ``x``."""
-    return F.when(F.count(x).over(trailing(n)) == n, value)
+    """``value`` where the last ``n`` bars all carry ``x``.
+
+    Looks at the last bar missing ``x``: a running maximum, shared by every
+    window length over the same ``x``, instead of a count per window.
+    """
+    gap = F.max(F.when(x.isNull(), F.col(BAR))).over(so_far())
+    return F.when(F.col(BAR) - F.coalesce(gap, F.lit(0)) >= n, value)
 
 
 def ts_mean(x: Column, n: int) -> Column:

@@ -14,8 +14,17 @@ def positive_close(df: DataFrame) -> DataFrame:
     return df.where(F.col("close") > 0)
 
 
-def index_bars(df: DataFrame) -> DataFrame:
-    """Number each symbol's bars; the one shuffle all per-symbol windows then share."""
+def index_bars(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Number each symbol's bars; the one shuffle all per-symbol windows then share.
+
+    ``spread`` pins its number of partitions: wanted where every bar is about to
+    feed hundreds of expressions or rows, so that partitions are not merged by
+    the bars' own small size.
+    """
+    if spread:
+        spark = df.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        df = df.repartition(n, SYMBOL)
     w = Window.partitionBy(SYMBOL).orderBy(DATE)
     return df.withColumn(BAR, F.row_number().over(w))
 

@@ -1,10 +1,9 @@
 """Mining a grid of factors: every candidate scored in one job.
 
 Plan: bars are shuffled once by symbol; all inner expressions are window columns
-on that partitioning; candidates are unpivoted to rows (factor, term, symbol,
-date, x) and shuffled once by (factor, date), after which ranking the terms,
-multiplying them, ranking the factor and aggregating the scores need no further
-shuffle of rows.
+on that partitioning; candidates are unpivoted to rows (factor, symbol, date,
+value) and shuffled once by (factor, date), after which ranking and aggregating
+the scores need no further shuffle of rows.  Products of ranks take one more.
 """
 
 from __future__ import annotations
@@ -135,14 +134,14 @@ def factor_grid() -> list[Candidate]:
 
 
 def term_rows(panel: DataFrame, batch: list[Candidate], keep: list[str]) -> DataFrame:
-    """(factor_id, term, symbol, date, x, keep...) of one batch; factor_id is the formula's place in ``batch``.
+    """(factor_id, term, x, symbol, date, keep...) of one batch of candidates.
 
     Distinct inner expressions become window columns once, however many
     candidates use them.
     """
     inners = sorted({x for cand in batch for x in cand.inners})
     at = {x: f"_x{i}" for i, x in enumerate(inners)}
-    columns = panel.select(SYMBOL, DATE, *keep, *[formula(x).alias(at[x]) for x in inners])
+    columns = panel.select(SYMBOL, DATE, *keep, *[formula(x).cast("double").alias(at[x]) for x in inners])
     rows = [
         F.struct(F.lit(cand.name).alias(FACTOR), F.lit(t).alias("term"), c(at[x]).alias("x"))
         for cand in batch
@@ -151,20 +150,39 @@ def term_rows(panel: DataFrame, batch: list[Candidate], keep: list[str]) -> Data
     return columns.select(SYMBOL, DATE, *keep, F.inline(F.array(*rows)))
 
 
-def grid_terms(panel: DataFrame, grid: list[Candidate], keep: list[str], batch: int = 60) -> DataFrame:
-    """Terms of the whole grid; batches keep generated code small and read the same shuffled bars."""
-    parts = [term_rows(panel, grid[i : i + batch], keep) for i in range(0, len(grid), batch)]
+def _batches(panel: DataFrame, grid: list[Candidate], keep: list[str], size: int) -> DataFrame:
+    """Batches keep generated code small; all of them read the same shuffled bars."""
+    parts = [term_rows(panel, grid[i : i + size], keep) for i in range(0, len(grid), size)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def grid_signals(terms: DataFrame, keep: list[str], width: int | None = None) -> DataFrame:
-    """Factor values: the product of the terms' percent ranks, missing if any term is."""
-    by_day = terms.repartition(FACTOR, DATE) if ranking.fits_one_task(terms, [FACTOR, DATE], width) else terms
-    ranked = ranking.order_stats(by_day, [FACTOR, DATE, "term"], "x", "_x", width)
-    value = F.when(F.count("_r") == F.count(F.lit(1)), F.product("_r"))
-    return ranked.withColumn("_r", ranking.percent_rank("_x")).groupBy(FACTOR, DATE, SYMBOL).agg(
-        value.alias(VALUE), *[F.max(k).alias(k) for k in keep]
-    )
+def grid_signals(
+    panel: DataFrame, grid: list[Candidate], keep: list[str], width: int | None = None, batch: int = 60
+) -> DataFrame:
+    """(factor_id, symbol, date, value, keep...) of candidates on a numbered panel with features.
+
+    A single rank orders names exactly as its inner expression does, so its
+    value is left unranked; products multiply the percent ranks of their terms
+    and are missing where any term is.  Number the panel with ``spread=True``.
+    """
+    out = [SYMBOL, DATE, FACTOR, VALUE, *keep]
+    singles = [x for x in grid if len(x.inners) == 1]
+    products = [x for x in grid if len(x.inners) > 1]
+    parts = []
+    if singles:
+        parts.append(_batches(panel, singles, keep, batch).withColumnRenamed("x", VALUE).select(*out))
+    if products:
+        most = max(len(x.inners) for x in products)
+        terms = _batches(panel, products, keep, batch)
+        ranked = ranking.order_stats(terms, [FACTOR, DATE, "term"], "x", "_x", width)
+        rank = ranking.percent_rank("_x")
+        side_by_side = ranked.groupBy(FACTOR, DATE, SYMBOL).agg(
+            *[F.max(F.when(c("term") == t, rank)).alias(f"_t{t}") for t in range(most)],
+            F.count("x").alias("_have"), F.count(F.lit(1)).alias("_need"), *[F.max(k).alias(k) for k in keep],
+        )
+        value = reduce(lambda a, b: a * b, [c("_t0"), *[F.coalesce(f"_t{t}", F.lit(1.0)) for t in range(1, most)]])
+        parts.append(side_by_side.withColumn(VALUE, F.when(c("_have") == c("_need"), value)).select(*out))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def mining_metrics(signals: DataFrame, target: str = "fwd_5", min_rows: int = 500, width: int | None = None) -> DataFrame:
@@ -215,8 +233,7 @@ def mine(
     much smaller job computes.
     """
     spark = panel.sparkSession
-    terms = grid_terms(panel, grid, [target])
-    scored = mining_metrics(grid_signals(terms, [target], width), target, width=width)
+    scored = mining_metrics(grid_signals(panel, grid, [target], width), target, width=width)
     names = candidate_table(spark, grid, market)
     scored = scored.join(F.broadcast(names.withColumnRenamed("name", FACTOR)), FACTOR)
     passed = scored.where(~G.blacklisted(c("formula")) & G.mining_gates(market)["all"])
@@ -227,7 +244,7 @@ def mine(
     passed = spark.createDataFrame(rows, schema)
     by_name = {x.name: x for x in grid}
     short = [by_name[r[FACTOR]] for r in rows]
-    signals = grid_signals(grid_terms(panel, short, [target]), [target], width)
+    signals = grid_signals(panel, short, [target], width)
     daily = IC.daily_ic(signals, target, undefined="zero", width=width)
     tested = BS.bootstrap_significance(daily, resamples).where("significant_01").select(FACTOR, "p_value")
     sure = passed.join(tested, FACTOR)

@@ -91,19 +91,22 @@ def votes(labels: DataFrame, sides: DataFrame) -> DataFrame:
     return cast.groupBy(SYMBOL, DATE).agg(F.avg(mark).alias(VALUE))
 
 
-@F.pandas_udf("array<double>")
-def _whitening(cov: pd.Series, k: pd.Series) -> pd.Series:
-    """Per date, from a flat k-by-k correlation matrix: the form whose z'Mz is the squared distance."""
+def _inverse_form(flat, k: int):
+    """From a flat k-by-k correlation matrix: the matrix M whose z'Mz is the squared distance."""
+    m = np.asarray(flat, dtype=float).reshape(k, k)
+    if not np.isfinite(m).all():
+        return None
+    lam, vec = np.linalg.eigh(m)
+    lam = np.clip(lam, 0.0, None)
+    return list(((vec / (np.sqrt(lam) + 1e-6) ** 2) @ vec.T).ravel())
 
-    def one(flat, size):
-        m = np.asarray(flat, dtype=float).reshape(int(size), int(size))
-        if not np.isfinite(m).all():
-            return None
-        lam, vec = np.linalg.eigh(m)
-        lam = np.clip(lam, 0.0, None)
-        return list(((vec / (np.sqrt(lam) + 1e-6) ** 2) @ vec.T).ravel())
 
-    return pd.Series([one(a, b) for a, b in zip(cov, k)])
+def _whitening(flat: Column, k: int) -> Column:
+    @F.pandas_udf("array<double>")
+    def each(cov: pd.Series) -> pd.Series:
+        return pd.Series([_inverse_form(x, k) for x in cov])
+
+    return each(flat)
 
 
 def distance_outliers(
@@ -132,7 +135,7 @@ def distance_outliers(
     flat = F.array(*[cell(i, j) for i in range(k) for j in range(k)])
     stats = stats.select(
         DATE, *[f"_m{i}" for i in range(k)], *[f"_s{i}" for i in range(k)],
-        _whitening(flat, F.lit(k)).alias("_w"),
+        _whitening(flat, k).alias("_w"),
     ).where(c("_w").isNotNull())
     z = F.array(*[(c(f) - c(f"_m{i}")) / (c(f"_s{i}") + 1e-12) for i, f in enumerate(factors)])
     form: Column = F.lit(0.0)

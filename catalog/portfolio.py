@@ -46,7 +46,7 @@ def weighted_composite(spark, sf):
     "composite_ic",
     with_(
         "weighted",
-        f"""SELECT round(avg(ic), 4) AS ic_mean, count(*) AS n_days FROM (SELECT date, {corr('rv', 'rf')} AS ic FROM (SELECT date, {avg_rank('value', 'date')} AS rv,
+        f"""SELECT round(avg(ic), 4) AS ic_mean, count(ic) AS n_days FROM (SELECT date, {corr('rv', 'rf')} AS ic FROM (SELECT date, {avg_rank('value', 'date')} AS rv,
         {avg_rank('fwd', 'date')} AS rf FROM weighted WHERE fwd IS NOT NULL) GROUP BY date HAVING count(*) >= 10)""",
     ),
 )
@@ -403,31 +403,35 @@ part(
 )
 
 
+# prices are compared as shares of the close: engines differ on halves of a cent
 @query(
     "trade_levels",
     with_(
         "levels",
-        f"""SELECT symbol, {day('date')}, round(stop, 1) AS stop, round(target, 1) AS target,
-        round(CASE WHEN abs(close - stop) > 0.01 THEN abs(target - close) / abs(close - stop) ELSE 0 END, 1) AS rr FROM levels""",
+        f"""SELECT symbol, {day('date')}, round(stop / close, 3) AS stop, round(target / close, 3) AS target,
+        round(ln(1 + CASE WHEN abs(close - stop) > 0.01 THEN abs(target - close) / abs(close - stop) ELSE 0 END), 2) AS log_rr FROM levels""",
     ),
 )
 def trade_levels(spark, sf):
     df = I.with_atr(B.panel(spark, sf)).where(c("atr_14") > 0)
     df = df.withColumn("direction", F.when(c("close") > 1000, "long").otherwise("short"))
-    return shaped(PF.trade_levels(df, "cn").select(SYMBOL, DATE, "stop", "target", "rr"), 1)
+    df = PF.trade_levels(df, "cn")
+    share = lambda x: (c(x) / c("close")).alias(x)
+    return shaped(df.select(SYMBOL, DATE, share("stop"), share("target"), F.log1p("rr").alias("log_rr")), 3, log_rr=2)
 
 
 @query(
     "watch_levels",
     with_(
         "atr",
-        f"""SELECT symbol, {day('date')}, round(greatest(round(close - 2 * a, 2), round(close * 0.85, 2), 0.01), 1) AS stop, round(close + 3 * a, 1) AS target
-        FROM (SELECT *, CASE WHEN atr_14 > 0 THEN atr_14 ELSE close * 0.03 END AS a FROM atr)""",
+        f"""SELECT symbol, {day('date')}, round(greatest(round(close - 2 * a, 2), round(close * 0.85, 2), 0.01) / close, 3) AS stop,
+        round(round(close + 3 * a, 2) / close, 3) AS target FROM (SELECT *, CASE WHEN atr_14 > 0 THEN atr_14 ELSE close * 0.03 END AS a FROM atr)""",
     ),
 )
 def watch_levels(spark, sf):
     df = PF.watch_levels(I.with_atr(B.panel(spark, sf)), "us")
-    return shaped(df.select(SYMBOL, DATE, "stop", "target"), 1)
+    share = lambda x: (c(x) / c("close")).alias(x)
+    return shaped(df.select(SYMBOL, DATE, share("stop"), share("target")), 3)
 
 
 part(

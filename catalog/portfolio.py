@@ -179,7 +179,7 @@ def dates(spark, sf):
 
 def basket_table(spark, sf, signals):
     """Factors × dates rows, read several times: written once."""
-    return cut(SE.basket_returns(signals, "fwd_5", 10))
+    return cut(SE.basket_returns(signals, "fwd_5", 10, B.width(spark, sf)))
 
 
 @query(
@@ -187,7 +187,7 @@ def basket_table(spark, sf, signals):
     with_("baskets", f'SELECT factor_id, {day("date")}, round(top, 5) AS top, round(bot, 5) AS bot FROM baskets'),
 )
 def basket_returns(spark, sf):
-    return shaped(SE.basket_returns(B.signals(spark, sf), "fwd_5", 10).select(FACTOR, DATE, "top", "bot"), 5)
+    return shaped(SE.basket_returns(B.signals(spark, sf), "fwd_5", 10, B.width(spark, sf)).select(FACTOR, DATE, "top", "bot"), 5)
 
 
 @query("best_factor_by_date", with_("best", f"SELECT {day('date')}, factor_id, side, round(sharpe, 6) AS sharpe FROM best"))
@@ -246,7 +246,7 @@ part(
 
 def schedule(spark, sf):
     signals = B.signals(spark, sf)
-    return cut(SE.rebalance_schedule(signals, dates(spark, sf), "fwd_5", hold=5, lookback=40, n=10))
+    return cut(SE.rebalance_schedule(signals, dates(spark, sf), "fwd_5", hold=5, lookback=40, n=10, width=B.width(spark, sf)))
 
 
 def schedule_returns(spark, sf):
@@ -499,7 +499,7 @@ part(
 def accepted_picks(spark, sf):
     out = EX.pick_list(
         B.signals(spark, sf), AS_OF, SB.security_metadata(symbols(spark, sf)), quality(spark, sf), ret="fwd_5",
-        lookback=40, n_picks=10, candidates=50, allowed=REGIONS,
+        lookback=40, n_picks=10, candidates=50, allowed=REGIONS, width=B.width(spark, sf),
     )
     return shaped(out.select(SYMBOL, "rank", "rejected", "place", "weight"))
 
@@ -527,8 +527,8 @@ part(
 def paper(spark, sf):
     signals = B.signals(spark, sf)
     daily = basket_table(spark, sf, signals)
-    best = SE.best_factor(SE.trailing_sharpe(daily, dates(spark, sf), 40, lag=5))
-    return cut(PF.paper_picks(SE.both_ends(signals, 10), best))
+    best = cut(SE.best_factor(SE.trailing_sharpe(daily, dates(spark, sf), 40, lag=5)))
+    return cut(PF.paper_picks(signals, best, 10))
 
 
 @query("paper_picks", with_("paper", f"SELECT {day('as_of')}, side, rank, symbol FROM paper"))

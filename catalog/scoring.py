@@ -496,7 +496,8 @@ def factor_grid_scores(spark, sf):
     """The whole grid scored in one job (checked against the one-by-one path in the tests)."""
     df = B.featured(spark, sf, spread=True).withColumn("fwd_5", P.forward_return(5))
     w = B.width(spark, sf)
-    return shaped(M.mining_metrics(M.grid_signals(df, M.factor_grid(), ["fwd_5"], w), width=w))
+    grid = M.factor_grid()
+    return shaped(M.named(M.mining_metrics(M.grid_signals(df, grid, ["fwd_5"], w), width=w), grid))
 
 
 @query(
@@ -522,7 +523,7 @@ def grid_family_scores(spark, sf):
     df = B.featured(spark, sf, spread=True).withColumn("fwd_5", P.forward_return(5))
     w = B.width(spark, sf)
     grid = [x for x in M.factor_grid() if x.name.startswith("hammer_")]
-    scored = M.mining_metrics(M.grid_signals(df, grid, ["fwd_5"], w), width=w)
+    scored = M.named(M.mining_metrics(M.grid_signals(df, grid, ["fwd_5"], w), width=w), grid)
     return shaped(scored.select(FACTOR, "ic", "ic_ir"))
 
 

@@ -41,15 +41,19 @@ def _series(daily: DataFrame) -> DataFrame:
 
 
 def null_means(daily: DataFrame, resamples: int = 100_000, seed: int = 42) -> DataFrame:
-    """(factor_id, real_ic, n, block_size, resample, null_ic) for series of 10 days or more."""
-    series = _series(daily.where(c("ic").isNotNull())).where(c("n") >= 10)
+    """(factor_id, real_ic, n, block_size, resample, null_ic); a series under 10 days gives one row without null_ic."""
+    series = _series(daily.where(c("ic").isNotNull()))
     per_slice = -(-resamples // SLICES)
     sliced = series.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartition(
         FACTOR, "_slice"
     )
     first = c("_slice") * per_slice
     last = F.least(first + per_slice, F.lit(resamples)) - 1
-    draws = sliced.where(first <= last).withColumn("resample", F.explode(F.sequence(first, last)))
+    long_enough = c("n") >= 10
+    each = F.when(long_enough & (first <= last), F.sequence(first, last)).when(
+        ~long_enough & (c("_slice") == 0), F.array(F.lit(None).cast("int"))
+    )
+    draws = sliced.withColumn("resample", F.explode(each))
     blocks = F.ceil(c("n") / c("block_size"))
 
     def block_sum(b: Column) -> Column:
@@ -58,36 +62,34 @@ def null_means(daily: DataFrame, resamples: int = 100_000, seed: int = 42) -> Da
         return F.get("prefix", (start + length).cast("int")) - F.get("prefix", start.cast("int"))
 
     total = F.aggregate(F.sequence(F.lit(0).cast("long"), blocks - 1), F.lit(0.0), lambda acc, b: acc + block_sum(b))
-    return draws.select(FACTOR, "real_ic", "n", "block_size", "resample", (total / c("n")).alias("null_ic"))
+    return draws.select(
+        FACTOR, "real_ic", "n", "block_size", "resample", F.when(c("resample").isNotNull(), total / c("n")).alias("null_ic")
+    )
 
 
 def bootstrap_significance(daily: DataFrame, resamples: int = 100_000, seed: int = 42) -> DataFrame:
     """Two-sided p-value and percentile of the real mean IC per factor."""
-    nulls = null_means(daily, resamples, seed)
-    agg = nulls.groupBy(FACTOR).agg(
-        F.max("real_ic").alias("real_ic"),
-        F.avg(F.when(F.abs("null_ic") >= F.abs("real_ic"), 1.0).otherwise(0.0)).alias("p_value"),
-        F.avg("null_ic").alias("null_mean"),
-        F.stddev_pop("null_ic").alias("null_std"),
-        (F.avg(F.when(c("null_ic") < c("real_ic"), 1.0).otherwise(0.0)) * 100).alias("percentile"),
-        F.count(F.lit(1)).alias("n_bootstrap"),
-        F.max("block_size").alias("block_size"),
+    x, m = c("null_ic"), c("real_ic")
+    share = lambda hit: F.avg(F.when(x.isNotNull(), F.when(hit, 1.0).otherwise(0.0)))
+    agg = null_means(daily, resamples, seed).groupBy(FACTOR).agg(
+        F.max(F.when(x.isNotNull(), m)).alias("real_ic"),
+        F.coalesce(share(F.abs(x) >= F.abs(m)), F.lit(1.0)).alias("p"),
+        F.avg(x).alias("null_mean"),
+        F.stddev_pop(x).alias("null_std"),
+        (share(x < m) * 100).alias("percentile"),
+        F.count(x).alias("n_bootstrap"),
+        F.max(F.when(x.isNotNull(), c("block_size"))).alias("block_size"),
     )
-    p = F.coalesce(c("p_value"), F.lit(1.0))
-    zero = F.lit(0.0)
-    return (
-        daily.select(FACTOR).distinct()
-        .join(agg, FACTOR, "left")
-        .select(
-            FACTOR,
-            F.round(F.coalesce("real_ic", zero), 6).alias("real_ic"),
-            F.round(p, 6).alias("p_value"),
-            F.round(F.coalesce("null_mean", zero), 6).alias("null_mean"),
-            F.round(F.coalesce("null_std", zero), 6).alias("null_std"),
-            F.round(F.coalesce("percentile", F.lit(50.0)), 1).alias("percentile"),
-            (p < 0.01).alias("significant_01"),
-            (p < 0.05).alias("significant_05"),
-            F.coalesce("n_bootstrap", F.lit(0)).alias("n_bootstrap"),
-            F.coalesce("block_size", F.lit(0)).alias("block_size"),
-        )
+    known = lambda name, digits, other: F.round(F.coalesce(name, F.lit(other)), digits).alias(name)
+    return agg.select(
+        FACTOR,
+        known("real_ic", 6, 0.0),
+        F.round("p", 6).alias("p_value"),
+        known("null_mean", 6, 0.0),
+        known("null_std", 6, 0.0),
+        known("percentile", 1, 50.0),
+        (c("p") < 0.01).alias("significant_01"),
+        (c("p") < 0.05).alias("significant_05"),
+        "n_bootstrap",
+        F.coalesce("block_size", F.lit(0)).alias("block_size"),
     )

@@ -11,14 +11,22 @@ from . import ranking
 c = F.col
 
 
-def pair_ranks(df: DataFrame, target: str, by=(FACTOR,), width: int | None = None) -> DataFrame:
+def pair_ranks(
+    df: DataFrame, target: str, by=(FACTOR,), width: int | None = None, keep_missing: bool = False
+) -> DataFrame:
     """Rows with both value and target, with order statistics ``v_*`` and ``t_*`` per (by, date).
 
-    One shuffle by (by, date) serves both rankings and every aggregate after them.
+    One shuffle by (by, date) serves both rankings and every aggregate after
+    them.  ``keep_missing`` keeps incomplete rows, unranked, so that dates
+    without any pair stay visible to those aggregates.
     """
     keys = [*by, DATE]
-    valid = df.where(c(VALUE).isNotNull() & c(target).isNotNull())
-    ranked = ranking.order_stats(valid, keys, VALUE, "v", width)
+    both = c(VALUE).isNotNull() & c(target).isNotNull()
+    if keep_missing:
+        df = df.withColumns({"_v": F.when(both, c(VALUE)), "_t": F.when(both, c(target))})
+        ranked = ranking.order_stats(df, keys, "_v", "v", width)
+        return ranking.order_stats(ranked, keys, "_t", "t", width).drop("_v", "_t")
+    ranked = ranking.order_stats(df.where(both), keys, VALUE, "v", width)
     return ranking.order_stats(ranked, keys, target, "t", width)
 
 

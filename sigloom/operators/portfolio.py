@@ -77,10 +77,13 @@ def pending_dates(picks: DataFrame, returns: DataFrame) -> DataFrame:
     return picks.select("as_of").distinct().join(returns.select("as_of"), "as_of", "left_anti")
 
 
-def paper_picks(ends: DataFrame, best: DataFrame) -> DataFrame:
-    """Long picks from the chosen end, short picks from the other; one chosen end per date."""
-    sided = ends.join(by_calendar(best.select("factor_id", DATE, c("side").alias("_best"))), ["factor_id", DATE])
-    return sided.select(
+def paper_picks(df: DataFrame, best: DataFrame, n: int = 10) -> DataFrame:
+    """Per date, ``n`` long picks from the chosen end of the chosen factor and ``n`` short ones from the other."""
+    from .selection import both_ends, chosen_rows
+
+    rows = chosen_rows(df, best.select("factor_id", DATE, c("side").alias("_best")))
+    ends = both_ends(rows, n, by=(DATE,))
+    return ends.select(
         c(DATE).alias("as_of"),
         F.when(c("side") == c("_best"), "long").otherwise("short").alias("side"),
         "rank",

@@ -14,9 +14,11 @@ c = F.col
 GROUPS = 5
 
 
-def labelled(df: DataFrame, target: str, by=(FACTOR,), width: int | None = None) -> DataFrame:
+def labelled(
+    df: DataFrame, target: str, by=(FACTOR,), width: int | None = None, keep_missing: bool = False
+) -> DataFrame:
     """``pair_ranks`` rows with their quantile label ``q``."""
-    return pair_ranks(df, target, by, width).withColumn("q", ranking.quantile_label("v", GROUPS))
+    return pair_ranks(df, target, by, width, keep_missing).withColumn("q", ranking.quantile_label("v", GROUPS))
 
 
 def daily_scores(pairs: DataFrame, target: str, by=(FACTOR,), min_ic: int = 10) -> DataFrame:
@@ -28,7 +30,7 @@ def daily_scores(pairs: DataFrame, target: str, by=(FACTOR,), min_ic: int = 10)
     means = [F.avg(F.when(c("q") == k, c(target))).alias(f"q{k}") for k in range(1, GROUPS + 1)]
     sizes = [F.count(F.when(c("q") == k, 1)).alias(f"n{k}") for k in range(1, GROUPS + 1)]
     daily = pairs.groupBy(*by, DATE).agg(
-        rank_correlation().alias("ic"), F.count(F.lit(1)).alias("n_stocks"), *means, *sizes
+        rank_correlation().alias("ic"), F.count("v_below").alias("n_stocks"), *means, *sizes
     )
     all_bins = reduce(lambda a, b: a & b, [c(f"n{k}") > 0 for k in range(1, GROUPS + 1)])
     daily = daily.withColumn("spread_ok", (c("n_stocks") >= GROUPS * 5) & all_bins)
@@ -95,65 +97,60 @@ def kept_members(members: DataFrame, sides: list[str], by=(FACTOR,)) -> DataFram
     )
 
 
-def date_chain(df: DataFrame, scores: DataFrame, ok: str, by=(FACTOR,)) -> DataFrame:
-    """Dates of each series in order; ``prev_date`` only where the date before was usable too."""
+def date_chain(days: DataFrame, ok: str, by=(FACTOR,)) -> DataFrame:
+    """Usable dates of each series; ``prev_date`` only where the date before was usable too.
+
+    ``days`` has one row per date of the series, usable or not.
+    """
     order = Window.partitionBy(*by).orderBy(DATE)
-    return (
-        df.select(*by, DATE).distinct()
-        .join(scores, [*by, DATE], "left")
-        .withColumn("_ok", F.coalesce(c(ok), F.lit(False)))
-        .withColumn("prev_date", F.when(F.lag("_ok").over(order), F.lag(DATE).over(order)))
-        .where(c("_ok"))
-        .drop("_ok")
-    )
+    before = F.when(F.lag(ok).over(order), F.lag(DATE).over(order))
+    return days.withColumn("prev_date", before).where(c(ok))
 
 
-def long_short(df: DataFrame, target: str = "fwd_5", by=(FACTOR,), width: int | None = None) -> DataFrame:
-    """Usable dates with ls_return, turnover of both ends, ic and quantile means.
+def scored_days(df: DataFrame, target: str = "fwd_5", by=(FACTOR,), width: int | None = None) -> DataFrame:
+    """Every date of the series: ic, quantile means and, on usable dates, ls_return and turnover.
 
     A skipped date breaks the turnover chain: the date after it has no turnover.
+    Rows are shuffled once by (by, date); the members of both ends once more by
+    symbol.  Everything joined is one row per date.
     """
-    pairs = labelled(df, target, by, width)
-    return _long_short(df, pairs, daily_scores(pairs, target, by), by).where(c("spread_ok"))
-
-
-def _long_short(df: DataFrame, pairs: DataFrame, scores: DataFrame, by) -> DataFrame:
+    by = list(by)
+    pairs = labelled(df, target, by, width, keep_missing=True)
+    scores = daily_scores(pairs, target, by)
     ends = pairs.where(c("q").isin(1, GROUPS)).select(
         *by, SYMBOL, DATE, (c("q") == GROUPS).alias("long"), (c("q") == 1).alias("short")
     )
     kept = kept_members(ends, ["long", "short"], by)
-    chain = date_chain(df, scores, "spread_ok", by)
+    order = Window.partitionBy(*by).orderBy(DATE)
+    before = F.when(c("spread_ok") & F.lag("spread_ok").over(order), F.lag(DATE).over(order))
     away = lambda side: 1.0 - F.coalesce(f"{side}_kept", F.lit(0)) / c(f"n_{side}")
     return (
-        chain.join(kept, [*by, DATE, "prev_date"], "left")
+        scores.withColumn("prev_date", before)
+        .join(kept, [*by, DATE, "prev_date"], "left")
         .withColumn("ls_return", c(f"q{GROUPS}") - c("q1"))
         .withColumn("turnover", F.when(c("prev_date").isNotNull(), (away("long") + away("short")) / 2.0))
         .drop("long_kept", "short_kept", "prev_date")
     )
 
 
-def scored_days(df: DataFrame, target: str = "fwd_5", by=(FACTOR,), width: int | None = None) -> DataFrame:
-    """All dates with pairs: ic, quantile means and, on usable dates, ls_return and turnover."""
-    pairs = labelled(df, target, by, width)
-    scores = daily_scores(pairs, target, by)
-    spread = _long_short(df, pairs, scores, by).select(*by, DATE, "ls_return", "turnover")
-    return scores.join(spread, [*by, DATE], "left")
+def long_short(df: DataFrame, target: str = "fwd_5", by=(FACTOR,), width: int | None = None) -> DataFrame:
+    """Usable dates with ls_return, turnover of both ends, ic and quantile means."""
+    return scored_days(df, target, by, width).where(c("spread_ok"))
 
 
 def top_turnover(df: DataFrame, share: float = 0.2, by=(FACTOR,), width: int | None = None) -> DataFrame:
     """Daily turnover of the top ``share`` by value: dates under 10 names break the chain."""
-    keys = [*by, DATE]
+    by = list(by)
     valid = df.where(c(VALUE).isNotNull()).select(*by, SYMBOL, DATE, VALUE)
-    sizes = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumns(
-        {"n_top": F.greatest(F.floor(c("n") * share), F.lit(1)), "enough": c("n") >= 10}
-    )
-    placed = ranking.positions(valid, keys, [c(VALUE).desc(), c(SYMBOL)], "_pos", width)
-    # A size table row per (by, date); a date's rows meet it under AQE's skew-join splitting.
-    top = placed.join(sizes, keys).where(c("enough") & (c("_pos") <= c("n_top")))
-    kept = kept_members(top.select(*by, SYMBOL, DATE, F.lit(True).alias("top")), ["top"], by)
-    chain = date_chain(valid, sizes, "enough", by)
+    placed = ranking.positions(valid, [*by, DATE], [c(VALUE).desc(), c(SYMBOL)], "_pos", "_n", width)
+    size = F.greatest(F.floor(c("_n") * share), F.lit(1))
+    top = placed.where(c("_pos") <= size)
+    days = top.groupBy(*by, DATE).agg(F.max("_n").alias("_n")).withColumns({"n_top": size, "enough": c("_n") >= 10})
+    members = top.where(c("_n") >= 10).select(*by, SYMBOL, DATE, F.lit(True).alias("top"))
+    kept = kept_members(members, ["top"], by)
     return (
-        chain.where(c("prev_date").isNotNull())
+        date_chain(days, "enough", by)
+        .where(c("prev_date").isNotNull())
         .join(kept, [*by, DATE, "prev_date"], "left")
         .select(*by, DATE, (1.0 - F.coalesce("top_kept", F.lit(0)) / c("n_top")).alias("turnover"))
     )

@@ -35,16 +35,19 @@ def positions(
     keys: list[str],
     order: list[Column],
     out: str = "pos",
+    size: str | None = None,
     width: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its group under ``order`` (make it total)."""
+    """1-based position of each row in its group under ``order`` (make it total); ``size`` adds the group's rows."""
     if fits_one_task(df, keys, width, limit):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return _global_positions(df, keys, order, out)
+        group = Window.partitionBy(*keys)
+        made = {out: F.row_number().over(group.orderBy(*order)).cast("long")}
+        return df.withColumns(made | ({size: F.count(F.lit(1)).over(group)} if size else {}))
+    return _global_positions(df, keys, order, out, size)
 
 
-def _global_positions(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+def _global_positions(df: DataFrame, keys: list[str], order: list[Column], out: str, size: str | None = None) -> DataFrame:
     full_order = [F.col(k) for k in keys] + order
     placed = cut(
         df.repartitionByRange(*full_order)
@@ -54,7 +57,10 @@ def _global_positions(df: DataFrame, keys: list[str], order: list[Column], out:
     # One row per group and slice: slices + groups rows in all, at most `slices` per group.
     spans = placed.groupBy(*keys, "_slice").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    spans = spans.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    if size:
+        spans = spans.withColumn(size, F.sum("_rows").over(Window.partitionBy(*keys)))
+    spans = spans.drop("_rows")
     return (
         placed.join(spans, [*keys, "_slice"])
         .withColumn(out, F.col("_offset") + F.col("_id") - F.col("_first") + 1)

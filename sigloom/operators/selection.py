@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
 from . import ranking
 from .ic import daily_ic
+from ..session import cut
 from .panel import beside, by_calendar
 
 c = F.col
@@ -24,21 +25,42 @@ def both_ends(df: DataFrame, n: int, by=(FACTOR, DATE)) -> DataFrame:
     return top.unionByName(bot)
 
 
-def basket_returns(df: DataFrame, ret: str, n: int = 20) -> DataFrame:
-    """Per factor and date: rows, usable names, mean return of the top and bottom basket (30 names needed)."""
+def basket_returns(df: DataFrame, ret: str, n: int = 20, width: int | None = None) -> DataFrame:
+    """Per factor and date: rows, usable names, mean return of the top and bottom basket (30 names needed).
+
+    Groups that fit a task take one pass with both orders; larger ones are
+    pruned to n rows per end before any group meets.
+    """
     keys = [FACTOR, DATE]
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(F.when(c(VALUE).isNotNull() & c(ret).isNotNull(), 1)).alias("names")
-    )
-    ends = both_ends(df.where(c(ret).isNotNull()), n).groupBy(*keys).agg(
-        F.avg(F.when(c("side") == "top", c(ret))).alias("top"), F.avg(F.when(c("side") == "bot", c(ret))).alias("bot")
-    )
+    usable = c(VALUE).isNotNull() & c(ret).isNotNull()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(F.when(usable, 1)).alias("names")]
+    if ranking.fits_one_task(df, keys, width):
+        v = F.when(usable, c(VALUE))
+        group = Window.partitionBy(*keys)
+        placed = df.withColumns(
+            {
+                "_top": F.row_number().over(group.orderBy(v.desc_nulls_last(), c(SYMBOL))),
+                "_bot": F.row_number().over(group.orderBy(v.asc_nulls_last(), c(SYMBOL))),
+            }
+        )
+        end = lambda x: F.avg(F.when(usable & (c(x) <= n), c(ret)))
+        out = placed.groupBy(*keys).agg(*counts, end("_top").alias("top"), end("_bot").alias("bot"))
+    else:
+        ends = both_ends(df.where(c(ret).isNotNull()), n).groupBy(*keys).agg(
+            F.avg(F.when(c("side") == "top", c(ret))).alias("top"), F.avg(F.when(c("side") == "bot", c(ret))).alias("bot")
+        )
+        out = df.groupBy(*keys).agg(*counts).join(ends, keys, "left")
     enough = c("names") >= MIN_NAMES
-    return sizes.join(ends, keys, "left").select(
+    return out.select(
         *keys, "rows", "names", F.when(enough, c("top")).alias("top"), F.when(enough, c("bot")).alias("bot")
     )
 
 
+def chosen_rows(df: DataFrame, best: DataFrame) -> DataFrame:
+    """Rows of the one chosen factor per date, with its side; ``best`` is calendar-sized."""
+    return df.where(c(VALUE).isNotNull()).join(by_calendar(best), [FACTOR, DATE])
+
+
 def trailing_sharpe(daily: DataFrame, dates: DataFrame, lookback: int = 40, lag: int = 0, min_days: int = 5) -> DataFrame:
     """For every factor and date: best side and its mean/deviation over the ``lookback`` dates before.
 
@@ -77,26 +99,24 @@ def ic_exit_flag(df: DataFrame, dates: DataFrame, target: str = "fwd_1", window:
 
 
 def rebalance_schedule(
-    df: DataFrame, dates: DataFrame, ret: str, hold: int = 5, lookback: int = 40, n: int = 10
+    df: DataFrame, dates: DataFrame, ret: str, hold: int = 5, lookback: int = 40, n: int = 10, width: int | None = None
 ) -> DataFrame:
     """Holdings (rebalance_no, date_no, factor, side, symbol, rank) at every ``hold``-th date."""
-    daily = basket_returns(df, ret, n)
+    daily = basket_returns(df, ret, n, width)
     chosen = best_factor(trailing_sharpe(daily, dates, lookback, lag=hold))
     first = lookback + hold
     last = dates.agg((F.max("date_no")).alias("_last"))
-    turns = (
+    turns = cut(
         beside(chosen.where((c("date_no") >= first) & ((c("date_no") - first) % hold == 0)), last)
         .where(c("date_no") < c("_last"))
         .withColumn("rebalance_no", F.floor((c("date_no") - first) / hold))
         .select(FACTOR, DATE, "date_no", "side", "rebalance_no")
     )
-    valued = df.where(c(VALUE).isNotNull())
-    crowd = valued.groupBy(FACTOR, DATE).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") >= MIN_NAMES)
-    ends = both_ends(df, n).join(crowd, [FACTOR, DATE], "left_semi")
-    # one chosen factor and side per date: a calendar-sized table
-    return ends.join(by_calendar(turns), [FACTOR, DATE, "side"]).select(
-        "rebalance_no", "date_no", FACTOR, "side", SYMBOL, "rank"
-    )
+    rows = chosen_rows(df, turns)
+    crowd = rows.groupBy(DATE).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") >= MIN_NAMES)
+    order = [F.when(c("side") == "top", -c(VALUE)).otherwise(c(VALUE)), c(SYMBOL)]
+    picks = ranking.top_rows(rows, [DATE], order, n).join(by_calendar(crowd), DATE, "left_semi")
+    return picks.select("rebalance_no", "date_no", FACTOR, "side", SYMBOL, "rank")
 
 
 def schedule_returns(

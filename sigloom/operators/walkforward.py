@@ -61,16 +61,14 @@ def fold_metrics(
         F.stddev_pop("ls_return").alias("_ls_sd"),
         F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("_to"),
         *[F.coalesce(F.avg(q), F.lit(0.0)).alias(q) for q in qs],
-    )
-    spans = test.groupBy(*keys).agg(
-        F.min(DATE).alias("test_start"), F.max(DATE).alias("test_end"), F.countDistinct(DATE).alias("n_test_days")
+        F.min(DATE).alias("test_start"),
+        F.max(DATE).alias("test_end"),
+        F.count(F.lit(1)).alias("n_test_days"),
     )
     sd = c("_ls_sd") / horizon
     sharpe = F.when(sd > 1e-10, ratio(c("_ls") / horizon - c("_to") * cost, sd) * F.sqrt(F.lit(252.0))).otherwise(0.0)
     return (
-        agg.where(c("_ic").isNotNull() & c("_ls").isNotNull())
-        .join(spans, keys)
-        .select(
+        agg.where(c("_ic").isNotNull() & c("_ls").isNotNull()).select(
             *keys,
             "test_start",
             "test_end",

@@ -11,10 +11,12 @@ from ..session import cut
 c = F.col
 
 
-def _chosen(signals: DataFrame, dates: DataFrame, day, ret: str, lookback: int, n_picks: int, lag: int = 0) -> DataFrame:
+def _chosen(
+    signals: DataFrame, dates: DataFrame, day, ret: str, lookback: int, n_picks: int, lag: int = 0, width: int | None = None
+) -> DataFrame:
     """The best factor and side on ``day``: one row."""
-    daily = cut(SE.basket_returns(signals, ret, n_picks))  # factors × dates rows
-    return SE.best_factor(SE.trailing_sharpe(daily, dates, lookback, lag)).where(c(DATE) == F.lit(day))
+    daily = cut(SE.basket_returns(signals, ret, n_picks, width))  # factors × dates rows
+    return cut(SE.best_factor(SE.trailing_sharpe(daily, dates, lookback, lag)).where(c(DATE) == F.lit(day)))
 
 
 def _day(dates: DataFrame, as_of: str):
@@ -28,7 +30,7 @@ def export(
     """Sink rows of one report date: the best recent factor's top share, with levels as JSON detail."""
     dates = P.trade_dates(signals)
     day = _day(dates, as_of)
-    best = _chosen(signals, dates, day, ret, lookback, n_picks)
+    best = _chosen(signals, dates, day, ret, lookback, n_picks, width=width)
     today = signals.where(c(DATE) == F.lit(day)).join(
         F.broadcast(best.select(FACTOR, "side", "sharpe")), FACTOR  # one row
     )
@@ -57,11 +59,12 @@ def export(
 def pick_list(
     signals: DataFrame, as_of: str, metadata: DataFrame, quality: DataFrame, ret: str = "fwd_5", lookback: int = 40,
     n_picks: int = 10, candidates: int | None = None, lag: int = 0, allowed: list[str] | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Candidates from the chosen end with reasons to reject, the accepted ones weighted by place."""
     dates = P.trade_dates(signals)
     day = _day(dates, as_of)
-    best = _chosen(signals, dates, day, ret, lookback, n_picks, lag)
+    best = _chosen(signals, dates, day, ret, lookback, n_picks, lag, width)
     wanted = candidates or max(n_picks * 5, 25)
     today = signals.where((c(DATE) == F.lit(day)) & c(VALUE).isNotNull()).join(
         F.broadcast(best.select(FACTOR, "side")), FACTOR

@@ -133,24 +133,24 @@ def factor_grid() -> list[Candidate]:
     return list(out.values())
 
 
-def term_rows(panel: DataFrame, batch: list[Candidate], keep: list[str]) -> DataFrame:
-    """(factor_id, term, x, symbol, date, keep...) of one batch of candidates.
+def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[str]) -> DataFrame:
+    """(factor_id, term, x, symbol, date, keep...) of one batch; factor_id is the candidate's number.
 
     Distinct inner expressions become window columns once, however many
     candidates use them.
     """
-    inners = sorted({x for cand in batch for x in cand.inners})
+    inners = sorted({x for _, cand in batch for x in cand.inners})
     at = {x: f"_x{i}" for i, x in enumerate(inners)}
     columns = panel.select(SYMBOL, DATE, *keep, *[formula(x).cast("double").alias(at[x]) for x in inners])
     rows = [
-        F.struct(F.lit(cand.name).alias(FACTOR), F.lit(t).alias("term"), c(at[x]).alias("x"))
-        for cand in batch
+        F.struct(F.lit(i).alias(FACTOR), F.lit(t).alias("term"), c(at[x]).alias("x"))
+        for i, cand in batch
         for t, x in enumerate(cand.inners)
     ]
     return columns.select(SYMBOL, DATE, *keep, F.inline(F.array(*rows)))
 
 
-def _batches(panel: DataFrame, grid: list[Candidate], keep: list[str], size: int) -> DataFrame:
+def _batches(panel: DataFrame, grid: list[tuple[int, Candidate]], keep: list[str], size: int) -> DataFrame:
     """Batches keep generated code small; all of them read the same shuffled bars."""
     parts = [term_rows(panel, grid[i : i + size], keep) for i in range(0, len(grid), size)]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -163,16 +163,18 @@ def grid_signals(
 
     A single rank orders names exactly as its inner expression does, so its
     value is left unranked; products multiply the percent ranks of their terms
-    and are missing where any term is.  Number the panel with ``spread=True``.
+    and are missing where any term is.  factor_id is the candidate's number in
+    the grid (rows stay narrow); ``named`` turns it into names once rows are few.
+    Number the panel with ``spread=True``.
     """
     out = [SYMBOL, DATE, FACTOR, VALUE, *keep]
-    singles = [x for x in grid if len(x.inners) == 1]
-    products = [x for x in grid if len(x.inners) > 1]
+    singles = [(i, x) for i, x in enumerate(grid) if len(x.inners) == 1]
+    products = [(i, x) for i, x in enumerate(grid) if len(x.inners) > 1]
     parts = []
     if singles:
         parts.append(_batches(panel, singles, keep, batch).withColumnRenamed("x", VALUE).select(*out))
     if products:
-        most = max(len(x.inners) for x in products)
+        most = max(len(x.inners) for _, x in products)
         terms = _batches(panel, products, keep, batch)
         ranked = ranking.order_stats(terms, [FACTOR, DATE, "term"], "x", "_x", width)
         rank = ranking.percent_rank("_x")
@@ -185,6 +187,11 @@ def grid_signals(
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def named(df: DataFrame, grid: list[Candidate]) -> DataFrame:
+    names = F.array(*[F.lit(x.name) for x in grid])
+    return df.withColumn(FACTOR, F.get(names, c(FACTOR)))
+
+
 def mining_metrics(signals: DataFrame, target: str = "fwd_5", min_rows: int = 500, width: int | None = None) -> DataFrame:
     """ic, ic_ir, mono, q5_q1, score and direction per factor from one pass over its days."""
     pairs = Q.labelled(signals, target, width=width)
@@ -233,7 +240,7 @@ def mine(
     much smaller job computes.
     """
     spark = panel.sparkSession
-    scored = mining_metrics(grid_signals(panel, grid, [target], width), target, width=width)
+    scored = named(mining_metrics(grid_signals(panel, grid, [target], width), target, width=width), grid)
     names = candidate_table(spark, grid, market)
     scored = scored.join(F.broadcast(names.withColumnRenamed("name", FACTOR)), FACTOR)
     passed = scored.where(~G.blacklisted(c("formula")) & G.mining_gates(market)["all"])
@@ -244,7 +251,7 @@ def mine(
     passed = spark.createDataFrame(rows, schema)
     by_name = {x.name: x for x in grid}
     short = [by_name[r[FACTOR]] for r in rows]
-    signals = grid_signals(panel, short, [target], width)
+    signals = named(grid_signals(panel, short, [target], width), short)
     daily = IC.daily_ic(signals, target, undefined="zero", width=width)
     tested = BS.bootstrap_significance(daily, resamples).where("significant_01").select(FACTOR, "p_value")
     sure = passed.join(tested, FACTOR)

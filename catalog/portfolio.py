@@ -409,7 +409,8 @@ part(
     with_(
         "levels",
         f"""SELECT symbol, {day('date')}, round(stop / close, 3) AS stop, round(target / close, 3) AS target,
-        round(ln(1 + CASE WHEN abs(close - stop) > 0.01 THEN abs(target - close) / abs(close - stop) ELSE 0 END), 2) AS log_rr FROM levels""",
+        floor(4 * ln(1 + round(CASE WHEN abs(close - stop) > 0.01 THEN abs(target - close) / abs(close - stop) ELSE 0 END, 2)))::BIGINT AS rr_band
+        FROM levels""",
     ),
 )
 def trade_levels(spark, sf):
@@ -417,7 +418,7 @@ def trade_levels(spark, sf):
     df = df.withColumn("direction", F.when(c("close") > 1000, "long").otherwise("short"))
     df = PF.trade_levels(df, "cn")
     share = lambda x: (c(x) / c("close")).alias(x)
-    return shaped(df.select(SYMBOL, DATE, share("stop"), share("target"), F.log1p("rr").alias("log_rr")), 3, log_rr=2)
+    return shaped(df.select(SYMBOL, DATE, share("stop"), share("target"), F.floor(F.log1p("rr") * 4).alias("rr_band")), 3)
 
 
 @query(

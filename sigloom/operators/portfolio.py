@@ -44,14 +44,16 @@ def watch_levels(df: DataFrame, market: str) -> DataFrame:
     return df.withColumns({"stop": stop, "target": F.round(close + atr * 3, 2), "atr_pct": atr / close})
 
 
-def export_rows(scored: DataFrame, as_of: Column, method: dict[str, Column]) -> DataFrame:
+def export_rows(
+    scored: DataFrame, as_of: Column, method: dict[str, Column], module: str = "factor", metric: str = "composite"
+) -> DataFrame:
     """Sink rows (symbol, as_of, module, metric, value, detail) with the detail as JSON text."""
     detail = F.to_json(F.struct(*[v.alias(k) for k, v in method.items()]))
     return scored.select(
         SYMBOL,
         as_of.alias("as_of"),
-        F.lit("lab_factor").alias("module"),
-        F.lit("lab_composite").alias("metric"),
+        F.lit(module).alias("module"),
+        F.lit(metric).alias("metric"),
         c("score").alias("value"),
         detail.alias("detail"),
     )

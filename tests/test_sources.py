@@ -57,7 +57,7 @@ def test_log_files_drop_broken_lines_and_fill_decisions(spark):
         {"ts": "2026-04-01T00:00:00", "session_id": "s1", "name": "alpha_keep", "formula": "a", "is_ic_ir": 0.41, "gates": "PASS", "oos": "PASS"},
         {"ts": "2026-04-02T00:00:00", "session_id": "s2", "name": "alpha_revert", "formula": "b", "is_ic_ir": 0.12, "gates": "FAIL"},
     ]
-    with open(path + "/autoresearch.jsonl", "w") as f:
+    with open(path + "/runs.jsonl", "w") as f:
         f.write(json.dumps(runs[0]) + "\n{broken\n\n" + json.dumps(runs[1]) + "\n")
     log = LG.session_runs(LG.read_log(spark, path))
     got = {r["name"]: (r["decision"], r["checks_status"], r["status"]) for r in log.collect()}

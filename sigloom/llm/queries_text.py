@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import duplicate_groups
+from .quality_rules import quality_rules
 from .queries import query, table
 
 SQL_DEDUP = r"""
@@ -21,3 +22,53 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 @query("op1_exact_dedup", SQL_DEDUP)
 def op1(spark, sf_dir):
     return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+SQL_QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         string_split(coalesce(text, ''), chr(10)) AS lines,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+w AS (
+  SELECT r, i, list_aggregate(words[i:i+7], 'string_agg', ' ') AS win
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM d)),
+hits AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM hits, range(0, 8) AS t(k) GROUP BY r),
+nl AS (
+  SELECT r, source, line, words,
+         list_aggregate(words, 'string_agg', ' ') AS norm
+  FROM (SELECT r, source, line,
+               regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x20\x09-\x0D]+') AS words
+        FROM (SELECT r, source, unnest(lines) AS line FROM d))
+  WHERE len(words) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM nl GROUP BY r),
+fam AS (SELECT r, first(norm ORDER BY octet_length(encode(norm)) DESC, norm DESC) AS family FROM nl GROUP BY r),
+hl AS (SELECT DISTINCT source, norm, family FROM nl JOIN fam USING (r)),
+hosts AS (SELECT source, count(DISTINCT family) AS docs FROM hl GROUP BY source),
+frequent AS (
+  SELECT c.source, c.norm FROM (SELECT source, norm, count(*) AS n FROM hl GROUP BY ALL) c
+  JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source
+  WHERE c.n > 20 AND h.docs > 20 AND c.n * 100 > h.docs * 10),
+lost AS (
+  SELECT r, sum(len(words)) AS n FROM nl JOIN frequent f ON f.norm = nl.norm AND f.source IS NOT DISTINCT FROM nl.source
+  GROUP BY r),
+b AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(lost.n, 0)::BIGINT AS lost
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN covered USING (r) LEFT JOIN lost USING (r))
+SELECT * EXCLUDE (lost), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - lost >= 20 AS kept
+FROM b
+"""
+
+
+@query("op6_quality_rules", SQL_QUALITY)
+def op6(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

@@ -6,10 +6,15 @@ of it works on the batch's own UTF-8 buffer, in segments of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
+#: Bytes of text that are worked on at once.
+SLICE = 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
@@ -54,6 +59,18 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        i = 0
+        while i < batch.num_rows:
+            j = max(int(np.searchsorted(total, total[i] + most, "right")) - 1, i + 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and the number of words before each row (one more entry than rows)."""
     inside = ~SPACE[data]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from .byte_bpe import encode_decode
 from .exact_dedup import duplicate_groups
 from .quality_rules import quality_rules
 from .queries import query, table
@@ -72,3 +76,18 @@ def op6(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    coded = encode_decode(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return coded.select(
+        "row.doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .exact_dedup import duplicate_groups
+from .jaccard_join import jaccard_classes
 from .quality_rules import quality_rules
 from .queries import query, table
 
@@ -91,3 +92,8 @@ def op4(spark, sf_dir):
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))

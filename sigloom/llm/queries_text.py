@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_decode
 from .exact_dedup import duplicate_groups
 from .jaccard_join import jaccard_classes
+from .license_scan import license_blocks
 from .quality_rules import quality_rules
 from .queries import query, table
+from .token_counts import sentencepiece_pieces, token_counts
 
 SQL_DEDUP = r"""
 WITH d AS (
@@ -97,3 +99,14 @@ def op4(spark, sf_dir):
 @query("op9_jaccard_join")
 def op9(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    return license_blocks(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    pieces = sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), pieces)

@@ -35,6 +35,11 @@ MET = 4
 #: Sets in one part of a heavy shingle's list, and in one block.
 LIST_PART = 1000
 BLOCK = 256
+#: Stars are tried again while one in so many links; what they leave is matched list by list either way.
+STAR_YIELD = 10
+#: Bits of a set's sketch.
+SKETCH_BITS = 256
+LISTS = ["token", "part", "sid", "size", "place", "pivot", "pivot_size", "pivot_place"]
 NO_ID = -(2**63)
 
 
@@ -141,49 +146,93 @@ def post(width: int, num: int, den: int, sent):
     return run
 
 
-def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (token, part, sid) to those of lists with two sets or more, with the list's first set as pivot.
+def possible(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes a and b may link whose first common shingle is at places i and j."""
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((den + num) * np.minimum(a - i, b - j) >= num * (a + b))
 
-    A list may go on in the next batch, so the last one of a batch waits.
+
+def shared_lists(num: int, den: int):
+    """Postings sorted by (token, part, sid) to those with a possible partner in their list, and the list's first set as pivot.
+
+    Lists of heavy shingles come in parts and stay whole. A list may go on in
+    the next batch, so the last one of a batch waits.
     """
-    names = ["token", "part", "sid", "size", "place"]
+    names = LISTS[:5]
 
     def lists(columns: list[np.ndarray]) -> pa.RecordBatch:
-        token, part, sid = columns[:3]
-        head = np.ones(len(token), bool)
-        head[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
-        fresh = head.copy()
-        fresh[1:] |= sid[1:] != sid[:-1]
-        group = np.cumsum(head) - 1
-        several = np.bincount(group, weights=fresh)[group] > 1
-        pivot = sid[np.flatnonzero(head)][group]
-        stay = fresh & (several | (part > 0))
-        return pa.record_batch([pa.array(x[stay]) for x in [*columns, pivot]], [*names, "pivot"])
-
-    waiting: list[np.ndarray] | None = None
-    for rows in batches:
-        now = [rows.column(x).to_numpy(zero_copy_only=False) for x in names]
-        if not len(now[0]):
-            continue
-        if waiting is not None:
-            now = [np.concatenate(x) for x in zip(waiting, now)]
-        new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
-        cut = int(new[-1]) + 1 if len(new) else 0
-        waiting = [x[cut:] for x in now]
-        if cut:
-            yield lists([x[:cut] for x in now])
-    if waiting is not None:
-        yield lists(waiting)
+        head = _breaks(columns[0], columns[1])
+        fresh = np.concatenate(([True], head | (columns[2][1:] != columns[2][:-1])))
+        token, part, sid, size, place = columns = [x[fresh] for x in columns]
+        starts = np.flatnonzero(np.concatenate(([True], _breaks(token, part))))
+        n = np.diff(np.append(starts, len(token)))
+        stay = part > 0
+        wide = size.astype(np.int64), place.astype(np.int64)
+        two = starts[(n == 2) & (part[starts] == 0)]
+        two = two[possible(wide[0][two], wide[1][two], wide[0][two + 1], wide[1][two + 1], num, den)]
+        stay[two] = stay[two + 1] = True
+        many = (n > 2) & (part[starts] == 0)
+        for a, b in zip(starts[many].tolist(), (starts + n)[many].tolist()):
+            own = wide[0][a:b], wide[1][a:b]
+            for low in range(0, b - a, BLOCK):
+                cut = slice(low, low + BLOCK)
+                ok = possible(own[0][cut, None], own[1][cut, None], own[0][None], own[1][None], num, den)
+                ok[np.arange(ok.shape[0]), low + np.arange(ok.shape[0])] = False
+                stay[a + low : a + low + ok.shape[0]] = ok.any(axis=1)
+        columns = [x[stay] for x in columns]
+        starts = np.concatenate(([True], _breaks(columns[0], columns[1])))[: len(columns[0])]
+        first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+        return pa.record_batch([pa.array(x) for x in [*columns, *[x[first] for x in columns[2:]]]], LISTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] | None = None
+        for rows in batches:
+            now = [rows.column(x).to_numpy(zero_copy_only=False) for x in names]
+            if waiting is not None:
+                now = [np.concatenate(x) for x in zip(waiting, now)]
+            new = np.flatnonzero(_breaks(now[0], now[1]))
+            cut = int(new[-1]) + 1 if len(new) else 0
+            waiting = [x[cut:] for x in now]
+            if cut:
+                yield lists([x[:cut] for x in now])
+        if waiting is not None and len(waiting[0]):
+            yield lists(waiting)
+
+    return run
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS classes of shingles, whether the set has an odd number of them.
+
+    Where two sketches differ the sets differ, so the number of such bits is
+    no larger than the sets' symmetric difference.
+    """
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def sketch_words(column: pa.Array) -> np.ndarray:
+    """A column of sketches as rows of 64-bit words."""
+    column = column.cast(pa.binary(SKETCH_BITS // 8))
+    raw = np.frombuffer(column.buffers()[1], np.uint8)
+    start = column.offset * (SKETCH_BITS // 8)
+    return raw[start : start + len(column) * (SKETCH_BITS // 8)].view(np.uint64).reshape(len(column), -1)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the difference that the sketches prove still allows a link; ``sizes`` are the sums of both sizes."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) * (den + num) <= sizes * (den - num)
 
 
 def set_rows(width: int):
-    """Texts to (sid, tokens): the packed shingle hashes of each set."""
+    """Texts to (sid, size, sketch, tokens): tokens are the packed shingle hashes of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in small_batches(batches, "text"):
             runs, at = shingle_sets(rows.column("text"), width)
             packed = [runs[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.record_batch([pa.array(set_ids(runs, at)), pa.array(packed, pa.binary())], ["sid", "tokens"])
+            marks = [sketch(runs[a:b]) for a, b in zip(at[:-1], at[1:])]
+            columns = [pa.array(set_ids(runs, at)), pa.array(np.diff(at)), pa.array(marks, pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.record_batch(columns, ["sid", "size", "sketch", "tokens"])
 
     return run
 
@@ -219,29 +268,109 @@ def room(x_size: Column, x_place: Column, y_size: Column, y_place: Column) -> Co
     return F.least(x_size - x_place, y_size - y_place)
 
 
+def close_pairs(num: int, den: int):
+    """(x, y, x_size, y_size, x_sketch, y_sketch) to the pairs (x, y) that may still link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            sizes = sum(rows.column(k).to_numpy() for k in ("x_size", "y_size"))
+            stay = may_link(*(sketch_words(rows.column(k)) for k in ("x_sketch", "y_sketch")), sizes, num, den)
+            yield rows.select(["x", "y"]).filter(pa.array(stay))
+
+    return run
+
+
+def match_lists(num: int, den: int):
+    """Rows sorted by (token, chunk, probe, size, place) to the pairs (x, y, x_size, y_size) of one list that may link.
+
+    Entries are cut into blocks of BLOCK in the order of size and place. A
+    probe skips a block whose sizes and first place rule out the needed
+    overlap; in the other blocks each entry is tried by size, place and sketch.
+    """
+
+    def group(columns: dict[str, np.ndarray], a: int, m: int, b: int) -> list[np.ndarray]:
+        sid, comp, size, place, marks = (columns[k] for k in ("sid", "comp", "size", "place", "sketch"))
+        out = []
+        p_size, p_place = size[m:b, None], place[m:b, None]
+        for low in range(a, m, BLOCK):
+            high = min(low + BLOCK, m)
+            most, least, first = size[high - 1], size[low], place[low:high].min()
+            fits = (den * np.minimum(size[m:b], most) >= num * np.maximum(size[m:b], least)) & (
+                (den + num) * np.minimum(size[m:b] - place[m:b], most - first) >= num * (size[m:b] + least)
+            )
+            p = np.flatnonzero(fits)
+            if not len(p):
+                continue
+            x_size, y_size = p_size[p], size[None, low:high]
+            ok = possible(x_size, p_place[p], y_size, place[None, low:high], num, den)
+            ok &= comp[m + p][:, None] != comp[None, low:high]
+            i, j = np.nonzero(ok)
+            i, j = m + p[i], low + j
+            stay = may_link(marks[i], marks[j], size[i] + size[j], num, den)
+            out.append(np.stack([sid[i[stay]], sid[j[stay]], size[i[stay]], size[j[stay]]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "chunk", "probe", "sid", "comp", "size", "place", "sketch")
+        waiting: dict[str, np.ndarray] | None = None
+
+        def matched(now: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
+            head = np.flatnonzero(np.concatenate(([True], _breaks(now["token"][:n], now["chunk"][:n]))))
+            ends = np.append(head[1:], n)
+            probes = np.concatenate(([0], np.cumsum(now["probe"][:n])))
+            middle = ends - (probes[ends] - probes[head])
+            useful = np.flatnonzero((middle > head) & (ends > middle))
+            found = [x for k in useful for x in group(now, int(head[k]), int(middle[k]), int(ends[k]))]
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.int64)
+            return pa.record_batch([pa.array(x) for x in pairs], ["x", "y", "x_size", "y_size"])
+
+        for rows in batches:
+            now = {k: rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names[:-1]}
+            now["sketch"] = sketch_words(rows.column("sketch"))
+            if waiting is not None:
+                now = {k: np.concatenate((waiting[k], now[k])) for k in names}
+            cut = np.flatnonzero(_breaks(now["token"], now["chunk"]))
+            n = int(cut[-1]) + 1 if len(cut) else 0
+            if n:
+                yield matched(now, n)
+            waiting = {k: now[k][n:] for k in names}
+        if waiting is not None and len(waiting["token"]):
+            yield matched(waiting, len(waiting["token"]))
+
+    return run
+
+
+def _breaks(token: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    return (token[1:] != token[:-1]) | (chunk[1:] != chunk[:-1])
+
+
 class Join:
-    """The state of one join: the sets, the verified overlaps and the components found so far."""
+    """The state of one join: the sets, the pairs that were tried, the verified overlaps."""
 
     def __init__(self, sets: DataFrame, num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
         self.answers: DataFrame | None = None
+        self.tried: DataFrame | None = None
 
-    def only(self, ids: DataFrame) -> DataFrame:
-        """The sets with these ids (sid)."""
-        if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-        return self.sets.join(ids, "sid", "left_semi")
-
-    def verify(self, pairs: DataFrame) -> bool:
-        """Add the overlaps of new pairs (x, y) to the answers; whether any of them links."""
+    def with_sets(self, pairs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+        """Pairs (x, y) with these fields of both sets; a set in very many pairs is split."""
         for side in "xy":
             ids = stored(pairs.groupBy(F.col(side).alias("sid")).agg(F.count(F.lit(1)).alias("n")))
-            own = self.only(ids.select("sid")).select(F.col("sid").alias(side), F.col("tokens").alias(f"{side}_tokens"))
+            few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            own = self.sets.join(F.broadcast(ids.select("sid")) if few else ids.select("sid"), "sid", "left_semi")
+            own = own.select(F.col("sid").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in fields])
             pairs = split_join(pairs, own, side, ids.select(F.col("sid").alias(side), "n"), F.struct("x", "y"), "inner")
-        schema = "x long, y long, x_size long, y_size long, shared long"
-        new = stored(pairs.select("x", "y", "x_tokens", "y_tokens").mapInArrow(overlaps, schema))
+        return pairs
+
+    def verify(self, pairs: DataFrame) -> int:
+        """Try new pairs (x, y): by sketch, then by their whole sets. The number of those that link."""
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        close = self.with_sets(pairs, ("size", "sketch")).select("x", "y", "x_size", "y_size", "x_sketch", "y_sketch")
+        close = stored(close.mapInArrow(close_pairs(self.num, self.den), "x long, y long"))
+        whole = self.with_sets(close, ("tokens",)).select("x", "y", "x_tokens", "y_tokens")
+        new = stored(whole.mapInArrow(overlaps, "x long, y long, x_size long, y_size long, shared long"))
         self.answers = new if self.answers is None else self.answers.union(new)
-        return not new.where(self.links()).isEmpty()
+        return new.where(self.links()).count()
 
     def links(self) -> Column:
         return linked(F.col("shared"), F.col("x_size"), F.col("y_size"), self.num, self.den)
@@ -250,10 +379,10 @@ class Join:
         return stored(components(self.answers.where(self.links()).select("x", "y")))
 
     def untried(self, pairs: DataFrame) -> DataFrame:
-        known = self.answers.select("x", "y").union(self.answers.select("y", "x"))
+        known = self.tried.union(self.tried.select("y", "x"))
         return pairs.join(known, ["x", "y"], "left_anti")
 
-    def derived(self, pairs: DataFrame) -> DataFrame:
+    def underived(self, pairs: DataFrame) -> DataFrame:
         """Pairs (x, y, x_size, y_size) whose answer does not follow from a pivot that x and y were both compared with.
 
         With |x & p| and |y & p| known, |x & y| is at most |x & p| + |y - p|.
@@ -269,6 +398,11 @@ class Join:
         )
         return pairs.join(none, ["x", "y"], "left_anti")
 
+    def possible(self, x: str, y: str) -> Column:
+        """Whether sets that meet in a list as <x>_size, <x>_place and <y>_size, <y>_place may link."""
+        a, b, i, j = (F.col(k) for k in (f"{x}_size", f"{y}_size", f"{x}_place", f"{y}_place"))
+        return (self.den * F.least(a, b) >= self.num * F.greatest(a, b)) & reaches(room(a, i, b, j), a, b, self.num, self.den)
+
 
 def labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The lists that still hold more than one component, with each set's component."""
@@ -281,61 +415,57 @@ def labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
 def favourite(pairs: DataFrame) -> DataFrame:
     """For each x, the y that it meets in most lists."""
     met = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    return met.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y"))
+    best = met.groupBy("x").agg(F.max("n").alias("n"))
+    return met.join(best, ["x", "n"]).groupBy("x").agg(F.min("y").alias("y"))
 
 
 def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, comp) of all sets that link with another; ``lists`` as from ``shared_lists``."""
     state = Join(sets, num, den)
-    fits = (den * F.least("x_size", "y_size") >= num * F.greatest("x_size", "y_size")).alias("fits")
-    state.verify(stored(favourite(lists.where("sid <> pivot").select(F.col("sid").alias("x"), F.col("pivot").alias("y")))))
+    stars = lists.where("sid <> pivot").select(
+        F.col("sid").alias("x"), F.col("pivot").alias("y"), F.col("size").alias("x_size"), F.col("place").alias("x_place"),
+        F.col("pivot_size").alias("y_size"), F.col("pivot_place").alias("y_place"),
+    )
+    state.verify(stored(favourite(stars.where(state.possible("x", "y")))))
     comps = state.components()
     lists = lists.select("token", "sid", "size", "place")
     while True:
         lists = stored(labelled(lists, comps))
-        main = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = main.groupBy("token").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("n"))
+        # The largest component of each list, and its set of least place.
+        main = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+        most = main.groupBy("token").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+        main = main.select("token", "comp", "place", F.col("n").alias("most")).join(most, ["token", "most"])
+        main = main.groupBy("token", "n").agg(F.min("comp").alias("main"))
         main = stored(main)
-        strays = split_join(lists, main.select("token", "main"), "token", main.select("token", "n"), F.col("sid"), "inner")
-        strays = stored(strays.where("comp <> main"))
+        rows = split_join(lists, main.select("token", "main"), "token", main.select("token", "n"), F.col("sid"), "inner")
+        strays, inner = stored(rows.where("comp <> main")), rows.where("comp = main")
+        best = inner.groupBy("token").agg(F.min(F.col("place").cast("bigint") * 2**31 + F.col("size")).alias("key"))
+        pivots = inner.join(best, "token").where(F.col("place").cast("bigint") * 2**31 + F.col("size") == F.col("key"))
+        pivots = pivots.groupBy("token").agg(F.min("sid").alias("y"), F.min("size").alias("y_size"), F.min("place").alias("y_place"))
+        stars = strays.select("token", F.col("sid").alias("x"), F.col("size").alias("x_size"), F.col("place").alias("x_place"))
+        stars = split_join(stars, pivots, "token", main.select("token", "n"), F.col("x"), "inner").where(state.possible("x", "y"))
+        pairs = stored(favourite(state.untried(stars.select("x", "y"))))
         lists = lists.drop("comp")
-        pairs = state.untried(strays.select(F.col("sid").alias("x"), F.col("main").alias("y")))
-        pairs = stored(favourite(pairs))
-        if pairs.isEmpty() or not state.verify(pairs):
+        tried = pairs.count()
+        found = state.verify(pairs) if tried else 0
+        if found:
+            comps = state.components()
+        if found * STAR_YIELD < tried or not tried:
             break
-        comps = state.components()
 
-    # What is left: sets outside their list's main component against all sets of the list, block by block.
-    block = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(den / num))).cast("int")
-    counts = main.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
-    entries = labelled(lists, comps).join(counts, "token")
-    blocks = entries.groupBy(
-        "token",
-        block(F.col("size")).alias("size_block"),
-        F.floor(F.log2(F.col("place") + 1)).alias("place_block"),
-        F.pmod(F.xxhash64("sid"), F.col("chunks")).alias("chunk"),
-    ).agg(
-        F.min("size").alias("least"),
-        F.max("size").alias("most"),
-        F.min("place").alias("first"),
-        F.collect_list(F.struct("sid", "comp", "size", "place")).alias("held"),
-    )
-    probes = strays.select("token", F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("x_size"), "place")
-    own = block(F.col("x_size"))
-    probes = probes.withColumn("size_block", F.explode(F.sequence(own - 1, own + 1)))
-    met = probes.join(blocks, ["token", "size_block"]).where(
-        reaches(room(F.col("x_size"), F.col("place"), F.col("most"), F.col("first")), F.col("x_size"), F.col("least"), num, den)
-    )
-    met = met.select("x", "x_comp", "x_size", F.col("place").alias("x_place"), F.explode("held").alias("e"))
-    met = met.select(
-        "x", F.col("e.sid").alias("y"), "x_comp", "x_size", "x_place", F.col("e.comp").alias("comp"),
-        F.col("e.size").alias("y_size"), F.col("e.place").alias("y_place"),
-    )
-    met = met.where("comp <> x_comp").where(fits).where(
-        reaches(room(F.col("x_size"), F.col("x_place"), F.col("y_size"), F.col("y_place")), F.col("x_size"), F.col("y_size"), num, den)
-    )
-    left = stored(state.untried(met.select("x", "y", "x_size", "y_size").distinct()))
-    left = stored(state.derived(left).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    # What is left: sets outside their list's main component against all sets of the list.
+    marks = sets.select("sid", "sketch").dropDuplicates(["sid"])
+    rows = stored(rows.join(marks, "sid"))
+    chunks = F.ceil(F.col("n") / F.lit(LIST_PART)).cast("int")
+    rows = rows.join(main.select("token", chunks.alias("chunks")), "token")
+    entries = rows.withColumn("probe", F.lit(0)).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    probes = rows.where("comp <> main").withColumn("probe", F.lit(1))
+    probes = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    both = [x.select("token", "chunk", "probe", "sid", "comp", "size", "place", "sketch") for x in (entries, probes)]
+    both = both[0].union(both[1]).repartition("token", "chunk").sortWithinPartitions("token", "chunk", "probe", "size", "place")
+    met = both.mapInArrow(match_lists(num, den), "x long, y long, x_size long, y_size long").distinct()
+    left = stored(state.untried(met))
+    left = stored(state.underived(left).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     if not left.isEmpty() and state.verify(left):
         comps = state.components()
     return comps
@@ -372,7 +502,7 @@ def jaccard_classes(
     )
     postings = postings.repartition("token", "part").sortWithinPartitions("token", "part", "sid")
     lists = stored(
-        postings.mapInArrow(shared_lists, "token long, part int, sid long, size int, place int, pivot long")
+        postings.mapInArrow(shared_lists(num, den), "token long, part int, sid long, size int, place int, pivot long, pivot_size int, pivot_place int")
     )
 
     classes = stored(described.where("size > 0").groupBy("sid").agg(F.min(F.when(F.col("id") > NO_ID, F.col("id"))).alias("first"), F.count(F.lit(1)).alias("n")))
@@ -380,7 +510,7 @@ def jaccard_classes(
     wanted = stored(wanted.distinct())
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = stored(texts.join(wanted, "id", "left_semi").select("text").mapInArrow(set_rows(width), "sid long, tokens binary"))
+    sets = stored(texts.join(wanted, "id", "left_semi").select("text").mapInArrow(set_rows(width), "sid long, size long, sketch binary, tokens binary"))
 
     comps = link_lists(lists, sets, num, den).select(F.col("node").alias("sid"), "comp")
     grouped = stored(classes.join(comps, "sid"))

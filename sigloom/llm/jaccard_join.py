@@ -30,10 +30,12 @@ NUM, DEN = 85, 100
 HEAVY_PARTS = 1_000_000
 HEAVY_LEAST = 16
 #: Shingles that a task counts together, and how often one must be met there to be reported.
-COUNTED = 8_000_000
-MET = 4
+COUNTED = 2_000_000
+MET = 2
 #: Sets in one part of a heavy shingle's list, and in one block.
 LIST_PART = 1000
+#: Sets outside the main component that one task compares with one part of a list.
+PROBES = 4000
 BLOCK = 256
 #: Stars are tried again while one in so many links; what they leave is matched list by list either way.
 STAR_YIELD = 10
@@ -435,7 +437,7 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         main = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
         most = main.groupBy("token").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
         main = main.select("token", "comp", "place", F.col("n").alias("most")).join(most, ["token", "most"])
-        main = main.groupBy("token", "n").agg(F.min("comp").alias("main"))
+        main = main.groupBy("token", "n", "most").agg(F.min("comp").alias("main"))
         main = stored(main)
         rows = split_join(lists, main.select("token", "main"), "token", main.select("token", "n"), F.col("sid"), "inner")
         strays, inner = stored(rows.where("comp <> main")), rows.where("comp = main")
@@ -456,12 +458,15 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     # What is left: sets outside their list's main component against all sets of the list.
     marks = sets.select("sid", "sketch").dropDuplicates(["sid"])
     rows = stored(rows.join(marks, "sid"))
-    chunks = F.ceil(F.col("n") / F.lit(LIST_PART)).cast("int")
-    rows = rows.join(main.select("token", chunks.alias("chunks")), "token")
-    entries = rows.withColumn("probe", F.lit(0)).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    probes = rows.where("comp <> main").withColumn("probe", F.lit(1))
-    probes = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    both = [x.select("token", "chunk", "probe", "sid", "comp", "size", "place", "sketch") for x in (entries, probes)]
+    # A long list is a grid of parts of its entries by parts of its probes.
+    pieces = {"across": F.col("n") / LIST_PART, "down": (F.col("n") - F.col("most")) / PROBES}
+    rows = rows.join(main.select("token", *[F.ceil(x).cast("int").alias(k) for k, x in pieces.items()]), "token")
+    part = lambda k: F.pmod(F.xxhash64("sid"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    entries = rows.select("*", F.lit(0).alias("probe"), part("across").alias("i"), every("down").alias("j"))
+    probes = rows.where("comp <> main").select("*", F.lit(1).alias("probe"), every("across").alias("i"), part("down").alias("j"))
+    chunk = (F.col("i") * F.col("down") + F.col("j")).alias("chunk")
+    both = [x.select("token", chunk, "probe", "sid", "comp", "size", "place", "sketch") for x in (entries, probes)]
     both = both[0].union(both[1]).repartition("token", "chunk").sortWithinPartitions("token", "chunk", "probe", "size", "place")
     met = both.mapInArrow(match_lists(num, den), "x long, y long, x_size long, y_size long").distinct()
     left = stored(state.untried(met))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A key is hot from this share of all rows on. There can be at most HOT_PARTS hot keys, whatever the data.
 HOT_PARTS = 1000
+#: A key with fewer rows than this is never hot.
+HOT_LEAST = 100
 #: Rows of a lookup table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -46,17 +48,17 @@ def small_join(rows: DataFrame, table: DataFrame, key: str, spread: Column, how:
     return split_join(rows, table, key, rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), spread, how)
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame:
-    """Keys with at least 1 / HOT_PARTS of all rows, and over how many tasks each is dealt.
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """Keys with at least 1 / HOT_PARTS of all rows, and over how many tasks each is dealt; None if there are none.
 
     ``counts`` has ``key`` and ``n``. The counts add up to the number of rows,
     so there are at most HOT_PARTS hot keys and 2 * HOT_PARTS parts.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    share = max(total / HOT_PARTS, 1.0)
-    return counts.where((F.col("n") >= share) & (F.col("n") > 1)).select(
-        key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("__parts")
-    )
+    seen = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    share = max((seen["total"] or 0) / HOT_PARTS, HOT_LEAST)
+    if (seen["most"] or 0) < share:
+        return None
+    return counts.where(F.col("n") >= share).select(key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("__parts"))
 
 
 def split_join(
@@ -67,7 +69,10 @@ def split_join(
     The key's row in ``table`` is repeated once for each part. ``spread`` is
     hashed to choose a row's part. A null key joins nothing.
     """
-    hot = F.broadcast(hot_keys(counts, key))
+    hot = hot_keys(counts, key)
+    if hot is None:
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)
     parts = F.coalesce(F.col("__parts"), F.lit(1))
     left = rows.withColumn("__spread", spread).join(hot, key, "left")
     left = left.withColumn("__part", F.pmod(F.xxhash64("__spread"), parts).cast("int")).drop("__parts", "__spread")

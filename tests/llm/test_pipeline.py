@@ -46,3 +46,4 @@ def test_hot_keys_are_split(spark):
     names = counts.selectExpr("k", "k * 2 AS v")
     got = split_join(rows, names, "k", counts, rows["id"]).collect()
     assert len(got) == 3000 and all(r.v == 2 * r.k for r in got)
+    assert hot_keys(counts.where("k >= 0"), "k") is None

@@ -10,7 +10,8 @@ from sigloom.llm.shared import hot_keys, split_join, stored
 
 def test_every_stage(spark, odd_docs, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    docs = stored(docs.unionByName(odd_docs.select("doc_id", "text", "source"), allowMissingColumns=True))
+    odd = odd_docs.select((odd_docs["doc_id"] + 100_000).alias("doc_id"), "text", "source")  # ids stand for documents
+    docs = stored(docs.unionByName(odd, allowMissingColumns=True))
     names = docs.columns
     before = {}
     for name, stage in corpus_pipeline.STAGES:

@@ -12,8 +12,8 @@ from sigloom.sources import logs as LG, tables as ST
 from . import testbed as B
 from .registry import query, shaped
 from .scoring import mined
-from .checks import _CHANGE, _SCORE, daily
-from .sql import avg_rank, corr, day, part, qlabel, with_
+from .checks import _CHANGE, _SCORE, daily, ep_sql
+from .sql import PARTS, avg_rank, corr, day, part, qlabel, with_
 
 c = F.col
 NOW = "2001-06-01 00:00:00"
@@ -191,36 +191,48 @@ def promoted_on_day(spark, sf):
 
 
 # --- health ----------------------------------------------------------------
+# Health is judged on values turned the way the factor is held, and only while it is held or watched.
+part("watched", ["registry"], "SELECT * FROM registry WHERE status IN ('promoted', 'watchlist')")
+part(
+    "facing_ic",
+    ["ic", "watched"],
+    "SELECT factor_id, date, CASE WHEN direction = 'short' THEN -ic ELSE ic END AS ic FROM ic JOIN watched USING (factor_id)",
+)
+part("facing_parts", ["facing_ic"], PARTS["ic_parts"][1].replace("FROM ic)", "FROM facing_ic)"))
+part("facing_ep", ["facing_parts"], ep_sql("facing_parts", "factor_id, part"))
+part("facing_health", ["facing_parts", "facing_ep"], PARTS["health"][1].replace("ic_parts", "facing_parts").replace("ic_ep", "facing_ep"))
 part(
     "recent20",
-    ["pairs"],
+    ["pairs", "watched"],
     f"""SELECT factor_id, CASE WHEN n >= 100 THEN coalesce(m, 0) ELSE 0 END AS rolling_ic_20d FROM (SELECT factor_id, count(*) AS n FROM p20 GROUP BY 1)
-        LEFT JOIN (SELECT factor_id, avg(ic) AS m FROM (SELECT factor_id, date, {corr('rv', 'rf')} AS ic FROM (
+        LEFT JOIN (SELECT factor_id, avg(CASE WHEN direction = 'short' THEN -ic ELSE ic END) AS m FROM (SELECT factor_id, date, {corr('rv', 'rf')} AS ic FROM (
           SELECT factor_id, date, {avg_rank('value', 'factor_id, date')} AS rv, {avg_rank('fwd', 'factor_id, date')} AS rf FROM p20)
-          GROUP BY factor_id, date HAVING count(*) >= 10) GROUP BY 1) USING (factor_id)""".replace(
-        "p20", "(SELECT * FROM pairs WHERE date IN (SELECT DISTINCT date FROM pairs ORDER BY date DESC LIMIT 20))"
+          GROUP BY factor_id, date HAVING count(*) >= 10) JOIN watched USING (factor_id) GROUP BY 1) USING (factor_id)""".replace(
+        "p20", "(SELECT * FROM pairs WHERE factor_id IN (SELECT factor_id FROM watched) QUALIFY dense_rank() OVER (PARTITION BY factor_id ORDER BY date DESC) <= 20)"
     ),
 )
 
 
 def transitions(spark, sf):
-    reg = registry(spark, sf).select(FACTOR, "status", "health_watch_count")
-    signals = B.signals(spark, sf)
-    recent = L.recent_ic(signals, width=B.width(spark, sf))
-    health = H.ic_health(daily(spark, sf)).select(FACTOR, "health_score", "regime_change")
-    return cut(L.health_transition(reg.join(recent, FACTOR).join(health, FACTOR)))
+    reg = cut(L.under_watch(registry(spark, sf)).select(FACTOR, "direction", "status", "health_watch_count"))
+    held = B.signals(spark, sf).join(reg.select(FACTOR), FACTOR, "left_semi")
+    facing = L.orient(held, reg)
+    width = B.width(spark, sf)
+    recent = L.recent_ic(facing, width=width)
+    health = H.ic_health(cut(IC.daily_ic(facing, width=width))).select(FACTOR, "health_score", "regime_change")
+    return cut(L.health_transition(reg.drop("direction").join(recent, FACTOR).join(health, FACTOR)))
 
 
 part(
     "moves",
-    ["registry", "recent20", "health"],
+    ["watched", "recent20", "facing_health"],
     f"""SELECT *, CASE WHEN status = 'promoted' AND sick AND health_watch_count + 1 >= 5 THEN 'watchlist' WHEN status = 'watchlist' AND well THEN 'promoted'
         WHEN status = 'watchlist' AND health_watch_count + 1 >= 10 THEN 'retired' ELSE status END AS status_after,
         CASE WHEN (status = 'promoted' AND NOT sick) OR (status = 'watchlist' AND well) THEN 0 WHEN status IN ('promoted', 'watchlist') THEN health_watch_count + 1
         ELSE health_watch_count END AS watch_count_after FROM (
           SELECT r.factor_id, r.status, r.health_watch_count, x.rolling_ic_20d, {_SCORE} AS health_score, {_CHANGE} AS regime_change,
             x.rolling_ic_20d < 0.005 OR {_SCORE} < 0.45 OR {_CHANGE} AS sick, x.rolling_ic_20d >= 0.01 AND {_SCORE} >= 0.65 AND NOT {_CHANGE} AS well
-          FROM registry r JOIN recent20 x USING (factor_id) JOIN health h USING (factor_id))""",
+          FROM watched r JOIN recent20 x USING (factor_id) JOIN facing_health h USING (factor_id))""",
 )
 
 

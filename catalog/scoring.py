@@ -529,7 +529,7 @@ def grid_family_scores(spark, sf):
 
 
 # --- bootstrap -------------------------------------------------------------
-RESAMPLES = 2000
+RESAMPLES = 100_000
 part(
     "cum",
     ["ic"],

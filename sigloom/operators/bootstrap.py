@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DATE, FACTOR
+from ..session import cut
 
 c = F.col
-SLICES = 64
+#: Resamples that one task draws.
+PER_TASK = 2000
 
 
 def draw(resample: Column, block: Column, n: Column, seed: int) -> Column:
@@ -43,28 +45,26 @@ def _series(daily: DataFrame) -> DataFrame:
 def null_means(daily: DataFrame, resamples: int = 100_000, seed: int = 42) -> DataFrame:
     """(factor_id, real_ic, n, block_size, resample, null_ic); a series under 10 days gives one row without null_ic."""
     series = _series(daily.where(c("ic").isNotNull()))
-    per_slice = -(-resamples // SLICES)
-    sliced = series.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartition(
-        FACTOR, "_slice"
+    short = series.where(c("n") < 10).select(
+        FACTOR, "real_ic", "n", "block_size", F.lit(None).cast("long").alias("resample"), F.lit(None).cast("double").alias("null_ic")
     )
-    first = c("_slice") * per_slice
-    last = F.least(first + per_slice, F.lit(resamples)) - 1
-    long_enough = c("n") >= 10
-    each = F.when(long_enough & (first <= last), F.sequence(first, last)).when(
-        ~long_enough & (c("_slice") == 0), F.array(F.lit(None).cast("int"))
-    )
-    draws = sliced.withColumn("resample", F.explode(each))
+    series = cut(series.where(c("n") >= 10))
+    # A resample's block starts depend on the length alone: drawn once for each length, used by every factor of it.
+    lengths = series.groupBy("n", "block_size").agg(F.count(F.lit(1)).alias("_factors"))
     blocks = F.ceil(c("n") / c("block_size"))
+    numbers = daily.sparkSession.range(0, resamples, 1, max(1, -(-resamples // PER_TASK))).withColumnRenamed("id", "resample")
+    drawn = numbers.withColumn("_one", F.lit(1)).join(F.broadcast(lengths.withColumn("_one", F.lit(1))), "_one")
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: draw(c("resample"), b, c("n"), seed))
+    drawn = drawn.select("resample", "n", "block_size", starts.alias("_starts"))
 
-    def block_sum(b: Column) -> Column:
-        start = draw(c("resample"), b, c("n"), seed)
+    def block_sum(start: Column, b: Column) -> Column:
         length = F.least(c("block_size"), c("n") - b * c("block_size"))
         return F.get("prefix", (start + length).cast("int")) - F.get("prefix", start.cast("int"))
 
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), blocks - 1), F.lit(0.0), lambda acc, b: acc + block_sum(b))
-    return draws.select(
-        FACTOR, "real_ic", "n", "block_size", "resample", F.when(c("resample").isNotNull(), total / c("n")).alias("null_ic")
-    )
+    # One row per factor, as long as the calendar: bounded like every table of factors.
+    met = drawn.join(F.broadcast(series), ["n", "block_size"])
+    total = F.aggregate(F.transform("_starts", block_sum), F.lit(0.0), lambda acc, x: acc + x)
+    return met.select(FACTOR, "real_ic", "n", "block_size", "resample", (total / c("n")).alias("null_ic")).unionByName(short)
 
 
 def bootstrap_significance(daily: DataFrame, resamples: int = 100_000, seed: int = 42) -> DataFrame:

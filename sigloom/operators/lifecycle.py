@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..columns import DATE, FACTOR, VALUE
 from ..functions.scalar import stable_factor_id
 from .ic import daily_ic
-from .panel import beside, last_dates
+from .panel import beside
 
 c = F.col
 
@@ -53,11 +53,19 @@ def orient(df: DataFrame, directions: DataFrame) -> DataFrame:
     return flagged.withColumn(VALUE, oriented(c(VALUE), c("direction"))).drop("direction")
 
 
+def under_watch(registry: DataFrame) -> DataFrame:
+    """Factors whose health is checked: promoted and on the watchlist."""
+    return registry.where(c("status").isin("promoted", "watchlist"))
+
+
 def recent_ic(df: DataFrame, target: str = "fwd_5", dates: int = 20, min_rows: int = 100, width=None) -> DataFrame:
-    """Mean ic of the last dates that have pairs; 0 where too few rows."""
+    """Mean ic of each factor's own last dates that have pairs; 0 where too few rows."""
     pairs = df.where(c(VALUE).isNotNull() & c(target).isNotNull())
-    recent = last_dates(pairs, dates)
-    rows = recent.groupBy(FACTOR).agg(F.count(F.lit(1)).alias("_rows"))
+    latest = Window.partitionBy(FACTOR).orderBy(F.desc(DATE))
+    days = pairs.groupBy(FACTOR, DATE).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.withColumn("_back", F.row_number().over(latest)).where(c("_back") <= dates)
+    rows = days.groupBy(FACTOR).agg(F.sum("_n").alias("_rows"))
+    recent = pairs.join(days.select(FACTOR, DATE), [FACTOR, DATE], "left_semi")
     ic = daily_ic(recent, target, width=width).groupBy(FACTOR).agg(F.avg("ic").alias("_ic"))
     return rows.join(ic, FACTOR, "left").select(
         FACTOR, F.when(c("_rows") >= min_rows, F.coalesce("_ic", F.lit(0.0))).otherwise(0.0).alias("rolling_ic_20d")
@@ -86,7 +94,7 @@ def health_transition(df: DataFrame) -> DataFrame:
         {
             "status_after": after,
             "watch_count_after": next_count,
-            "retire_reason_after": F.when(after == "retired", "IC decay"),
+            "retire_reason_after": F.when((after == "retired") & (status != "retired"), "IC decay"),
         }
     )
 
@@ -149,6 +157,8 @@ def promoted_registry(registry: DataFrame, plan: DataFrame, market: str, now: Co
     hit, up = c("action").isNotNull(), c("action").isin("promote", "repromote")
     set_to = {m: F.when(hit, c(f"_new_{m}")).otherwise(c(m)) for m in metrics}
     none = F.lit(None)
+    if "discovered_at" in registry.columns:
+        set_to["discovered_at"] = F.coalesce("discovered_at", F.when(c("action") == "promote", now))
     set_to |= {
         FACTOR: F.coalesce(FACTOR, "_new_id"),
         "market": F.coalesce(c("market"), F.lit(market)),
@@ -165,10 +175,11 @@ def promoted_registry(registry: DataFrame, plan: DataFrame, market: str, now: Co
     )
 
 
-def multi_horizon(metrics: DataFrame, horizons=(7, 14, 30)) -> DataFrame:
+def multi_horizon(metrics: DataFrame, horizons=(7, 14, 30), mined: DataFrame | None = None) -> DataFrame:
     """Candidate rows from (factor, horizon, rows, ic_mean, ic_ir, monotonicity, long_short_pct).
 
-    Horizons need 200 rows, factors two horizons; horizons where ic and
+    The direction is the sign of the weighted ic; where that is zero, of the
+    ic in ``mined`` (factor, ic), if given. Horizons need 200 rows, factors two horizons; horizons where ic and
     monotonicity disagree add nothing to the composite score.
     """
     ok = metrics.where(c("rows") >= 200)
@@ -185,7 +196,11 @@ def multi_horizon(metrics: DataFrame, horizons=(7, 14, 30)) -> DataFrame:
         F.count(F.lit(1)).alias("_h"),
     )
     wide = wide.where(c("_h") >= 2).drop("_h")
-    return wide.withColumn("direction", F.when(weighted_ic() < 0, "short").otherwise("long"))
+    lean = weighted_ic()
+    if mined is not None:
+        wide = wide.join(mined.select(FACTOR, c("ic").alias("_mined")), FACTOR, "left")
+        lean = F.when(F.abs(lean) > 1e-12, lean).otherwise(F.coalesce("_mined", F.lit(0.0)))
+    return wide.withColumn("direction", F.when(lean < 0, "short").otherwise("long")).drop("_mined")
 
 
 def with_factor_id(df: DataFrame, market: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
+import pytest
 from helpers import bars, dates
 from pyspark.sql import functions as F
 
@@ -124,3 +126,33 @@ def test_equity_and_drawdown(spark):
     eq = (1 + pd.Series(rets)).cumprod()
     pd.testing.assert_series_equal(got["equity"], eq, check_names=False)
     pd.testing.assert_series_equal(got["drawdown"], eq / eq.cummax() - 1, check_names=False)
+
+
+def test_recent_ic_uses_each_factors_own_dates_and_orientation(spark):
+    rng = np.random.RandomState(3)
+    rows = []
+    for f, first, sign in (("early", 0, 1.0), ("late", 60, -1.0)):
+        for day in dates(100)[first : first + 40]:
+            fwd = rng.randn(12)
+            rows += [(f, f"s{k}", day, float(sign * v), float(v)) for k, v in enumerate(fwd)]
+    df = spark.createDataFrame(rows, "factor_id string, symbol string, date date, value double, fwd_5 double")
+    facing = spark.createDataFrame([("early", "long"), ("late", "short")], "factor_id string, direction string")
+    got = {r["factor_id"]: r["rolling_ic_20d"] for r in L.recent_ic(L.orient(df, facing)).collect()}
+    assert got["early"] == pytest.approx(1.0) and got["late"] == pytest.approx(1.0)
+
+
+def test_only_held_and_watched_factors_are_checked_and_reasons_need_a_change(spark):
+    reg = spark.createDataFrame([("a", "promoted"), ("b", "watchlist"), ("c", "retired"), ("d", "candidate")], "factor_id string, status string")
+    assert {r["factor_id"] for r in L.under_watch(reg).collect()} == {"a", "b"}
+    df = spark.createDataFrame(
+        [("gone", "watchlist", 9, 0.0, 0.7, False), ("old", "retired", 3, 0.0, 0.1, True)],
+        "factor_id string, status string, health_watch_count int, rolling_ic_20d double, health_score double, regime_change boolean",
+    )
+    assert {r["factor_id"]: r["retire_reason_after"] for r in L.health_transition(df).collect()} == {"gone": "IC decay", "old": None}
+
+
+def test_direction_falls_back_to_the_mined_ic(spark):
+    rows = [(f, h, 300, 0.0, 0.0, 0.0, 0.0) for f in ("x", "y") for h in (7, 14)]
+    m = spark.createDataFrame(rows, "factor_id string, horizon int, rows int, ic_mean double, ic_ir double, monotonicity double, long_short_pct double")
+    mined = spark.createDataFrame([("x", -0.03), ("y", 0.02)], "factor_id string, ic double")
+    assert {r["factor_id"]: r["direction"] for r in L.multi_horizon(m, mined=mined).collect()} == {"x": "short", "y": "long"}

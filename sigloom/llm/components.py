@@ -15,16 +15,22 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the nodes.
     """
     now = stored(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    while True:
-        large = _star(now.union(now.select("v", "u")).toDF("u", "v"), larger=True)
-        small = stored(_star(large, larger=False))
-        moved = small.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(small, ["u", "v"], "left_anti").isEmpty()
-        now = small
-        if moved:
+    mark = _mark(now)
+    while mark[0]:
+        large = stored(_star(now.union(now.select("v", "u")).toDF("u", "v"), larger=True))
+        now, before = stored(_star(large, larger=False)), mark
+        mark = _mark(now)
+        if mark == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select("v", "v").distinct())
 
 
+def _mark(pairs: DataFrame) -> tuple:
+    """Number and hash sums of the rows: equal for equal tables, whatever their order."""
+    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(20,0)"))
+    return tuple(pairs.agg(F.count(F.lit(1)), half(1), half(2)).first())
+
+
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Link the neighbours of each u that are larger (or not larger) than u to u's smallest neighbour."""
     if not larger:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, split_join, stored
+from .shared import BROADCAST_ROWS, HOT_LEAST, split_join, stored
 from .words import shingle_sets, small_batches
 
 WIDTH = 4
@@ -354,22 +354,22 @@ class Join:
         self.answers: DataFrame | None = None
         self.tried: DataFrame | None = None
 
-    def with_sets(self, pairs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-        """Pairs (x, y) with these fields of both sets; a set in very many pairs is split."""
+    def with_sets(self, pairs: DataFrame, n: int, fields: tuple[str, ...]) -> DataFrame:
+        """``n`` pairs (x, y) with these fields of both sets; a set in very many pairs is split."""
         for side in "xy":
-            ids = stored(pairs.groupBy(F.col(side).alias("sid")).agg(F.count(F.lit(1)).alias("n")))
-            few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-            own = self.sets.join(F.broadcast(ids.select("sid")) if few else ids.select("sid"), "sid", "left_semi")
+            ids = pairs.select(F.col(side).alias("sid"))
+            own = self.sets.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "sid", "left_semi")
             own = own.select(F.col("sid").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in fields])
-            pairs = split_join(pairs, own, side, ids.select(F.col("sid").alias(side), "n"), F.struct("x", "y"), "inner")
+            counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")) if n >= HOT_LEAST else None
+            pairs = split_join(pairs, own, side, counts, F.struct("x", "y"), "inner")
         return pairs
 
-    def verify(self, pairs: DataFrame) -> int:
-        """Try new pairs (x, y): by sketch, then by their whole sets. The number of those that link."""
+    def verify(self, pairs: DataFrame, n: int) -> int:
+        """Try ``n`` new pairs (x, y): by sketch, then by their whole sets. The number of those that link."""
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        close = self.with_sets(pairs, ("size", "sketch")).select("x", "y", "x_size", "y_size", "x_sketch", "y_sketch")
+        close = self.with_sets(pairs, n, ("size", "sketch")).select("x", "y", "x_size", "y_size", "x_sketch", "y_sketch")
         close = stored(close.mapInArrow(close_pairs(self.num, self.den), "x long, y long"))
-        whole = self.with_sets(close, ("tokens",)).select("x", "y", "x_tokens", "y_tokens")
+        whole = self.with_sets(close, close.count(), ("tokens",)).select("x", "y", "x_tokens", "y_tokens")
         new = stored(whole.mapInArrow(overlaps, "x long, y long, x_size long, y_size long, shared long"))
         self.answers = new if self.answers is None else self.answers.union(new)
         return new.where(self.links()).count()
@@ -428,7 +428,8 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         F.col("sid").alias("x"), F.col("pivot").alias("y"), F.col("size").alias("x_size"), F.col("place").alias("x_place"),
         F.col("pivot_size").alias("y_size"), F.col("pivot_place").alias("y_place"),
     )
-    state.verify(stored(favourite(stars.where(state.possible("x", "y")))))
+    pairs = stored(favourite(stars.where(state.possible("x", "y"))))
+    state.verify(pairs, pairs.count())
     comps = state.components()
     lists = lists.select("token", "sid", "size", "place")
     while True:
@@ -449,7 +450,7 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         pairs = stored(favourite(state.untried(stars.select("x", "y"))))
         lists = lists.drop("comp")
         tried = pairs.count()
-        found = state.verify(pairs) if tried else 0
+        found = state.verify(pairs, tried) if tried else 0
         if found:
             comps = state.components()
         if found * STAR_YIELD < tried or not tried:
@@ -471,7 +472,8 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     met = both.mapInArrow(match_lists(num, den), "x long, y long, x_size long, y_size long").distinct()
     left = stored(state.untried(met))
     left = stored(state.underived(left).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    if not left.isEmpty() and state.verify(left):
+    n = left.count()
+    if n and state.verify(left, n):
         comps = state.components()
     return comps
 

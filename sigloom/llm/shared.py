@@ -62,14 +62,15 @@ def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
 
 
 def split_join(
-    rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, spread: Column, how: str = "left"
+    rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None, spread: Column, how: str = "left"
 ) -> DataFrame:
     """Join ``rows`` with ``table`` (one row per key); rows of a hot key go to many tasks.
 
     The key's row in ``table`` is repeated once for each part. ``spread`` is
-    hashed to choose a row's part. A null key joins nothing.
+    hashed to choose a row's part. A null key joins nothing. ``counts`` is None
+    where there are fewer than HOT_LEAST rows.
     """
-    hot = hot_keys(counts, key)
+    hot = None if counts is None else hot_keys(counts, key)
     if hot is None:
         return rows.join(table, key, how)
     hot = F.broadcast(hot)

@@ -69,6 +69,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = SL
             j = max(int(np.searchsorted(total, total[i] + most, "right")) - 1, i + 1)
             yield batch.slice(i, j - i)
             i = j
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -507,7 +507,7 @@ def factor_grid_scores(spark, sf):
         f"""SELECT factor_id, ic, ic_ir FROM (SELECT factor_id, round(avg(ic), 4) AS ic, round(avg(ic) / stddev_samp(ic), 3) AS ic_ir FROM (
         SELECT factor_id, date, {corr('rv', 'rf')} AS ic FROM (SELECT factor_id, date, {avg_rank('v', 'factor_id, date')} AS rv,
           {avg_rank('fwd', 'factor_id, date')} AS rf FROM (
-            SELECT 'rank((close - low) / (high - low + 0.01)) * rank(-pct_change(close, ' || n || '))' AS factor_id, date, fwd, ({avg_rank('x', 'n, date')} / count(x) OVER (PARTITION BY n, date)) * ({avg_rank('y', 'n, date')} / count(y) OVER (PARTITION BY n, date)) AS v, x, y FROM (
+            SELECT 'f_' || substr(md5('rank((close - low) / (high - low + 0.01)) * rank(-pct_change(close, ' || n || '))'), 1, 12) AS factor_id, date, fwd, ({avg_rank('x', 'n, date')} / count(x) OVER (PARTITION BY n, date)) * ({avg_rank('y', 'n, date')} / count(y) OVER (PARTITION BY n, date)) AS v, x, y FROM (
               SELECT 5 AS n, date, lead(close, 5) OVER w / close - 1 AS fwd, (close - low) / (high - low + 0.01) AS x, -(close / lag(close, 5) OVER w - 1) AS y
                 FROM featured WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)
               UNION ALL SELECT 10, date, lead(close, 5) OVER w / close - 1, (close - low) / (high - low + 0.01), -(close / lag(close, 10) OVER w - 1)

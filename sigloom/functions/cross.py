@@ -36,6 +36,19 @@ def demean(x: Column, by: str = DATE) -> Column:
     return x - F.avg(x).over(Window.partitionBy(by))
 
 
+def quantile(x: Column, groups: int = 5, by: str = DATE) -> Column:
+    """Label 1..groups by the number of smaller values, as ``ranking.quantile_label`` has it."""
+    smaller = F.rank().over(Window.partitionBy(by).orderBy(x.asc_nulls_last())) - 1
+    n = F.count(x).over(Window.partitionBy(by))
+    above = [F.when(smaller > F.floor((n - 1) * k / groups), 1).otherwise(0) for k in range(1, groups)]
+    return F.when(x.isNotNull(), sum(above, F.lit(1)))
+
+
+def neutralize(x: Column, group: Column, by: str = DATE) -> Column:
+    """Distance from the mean of the value's group on its date; missing groups are one group."""
+    return x - F.avg(x).over(Window.partitionBy(by, group))
+
+
 def _standard(x: Column, mean: Column, sd: Column) -> Column:
     return F.when(F.coalesce(sd, F.lit(0.0)) == 0, x * 0.0).otherwise((x - mean) / sd)
 

@@ -24,6 +24,8 @@ BUILDERS = {
     "rank": cross.rank,
     "zscore": cross.zscore,
     "demean": cross.demean,
+    "quantile": cross.quantile,
+    "neutralize": cross.neutralize,
     "abs": scalar.absolute,
     "sign": scalar.sign,
     "log": scalar.log,

@@ -189,10 +189,13 @@ def collinearity(wide: DataFrame, candidate: str, existing: list[str], threshold
 
 
 def latest_snapshot(df: DataFrame, at_least: int = 25) -> DataFrame:
-    """(factor, symbol, value) on each factor's last date with a value; under 25 names gives none."""
+    """(factor, symbol, value) on each factor's last date; under 25 names with a value gives none.
+
+    Of repeated rows the largest value counts.
+    """
     last = df.groupBy(FACTOR).agg(F.max(DATE).alias(DATE))
     today = df.join(F.broadcast(last), [FACTOR, DATE]).where(c("value").isNotNull())
-    today = today.groupBy(FACTOR, DATE, SYMBOL).agg(F.last("value").alias("value"))
+    today = today.groupBy(FACTOR, DATE, SYMBOL).agg(F.max("value").alias("value"))
     enough = today.groupBy(FACTOR).count().where(c("count") >= at_least).select(FACTOR)
     return today.join(F.broadcast(enough), FACTOR, "left_semi")
 

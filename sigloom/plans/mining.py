@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,7 +30,8 @@ class Candidate:
 
     @property
     def name(self) -> str:
-        return self.formula
+        """An identifier that follows from the formula."""
+        return "f_" + md5(self.formula.encode()).hexdigest()[:12]
 
     @property
     def hypothesis(self) -> str:

@@ -80,11 +80,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` rows win over ``existing`` ones with the same key: a union and one combine by key."""
+    """``new`` rows win over ``existing`` ones with the same key: a union and one combine by key.
+
+    Of several new rows with one key the largest stays, compared column by
+    column, so the result does not depend on the order of rows.
+    """
     cols = existing.columns
     both = existing.withColumn("_v", F.lit(0)).unionByName(new.select(*cols).withColumn("_v", F.lit(1)))
-    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*[x for x in cols if x not in keys]), "_v").alias("_r"))
-    return newest.select(*keys, "_r.*").select(*cols)
+    newest = both.groupBy(*keys).agg(F.max(F.struct("_v", *[x for x in cols if x not in keys])).alias("_r"))
+    return newest.select(*keys, "_r.*").select(*cols)  # drops _v
 
 
 def replace_slice(existing: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:

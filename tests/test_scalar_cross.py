@@ -82,3 +82,12 @@ def test_evaluate_formula_runs_end_to_end(spark):
     assert out["folds"].count() == 2
     # independent prices revert, so the reversal factor predicts
     assert out["summary"].first()["avg_ic"] > 0.2
+
+
+def test_quantile_and_neutralize_in_formulas(spark):
+    rng = np.random.RandomState(2)
+    rows = [(D, f"s{k:02d}", float(v), "ab"[k % 2]) for k, v in enumerate(rng.randint(0, 12, 40))] + [(D, "none", None, "a")]
+    df = spark.createDataFrame(rows, "date date, symbol string, x double, sector string")
+    got = df.select("symbol", formula("quantile(x, 4)").alias("q"), formula("neutralize(x, sector)").alias("m")).toPandas().set_index("symbol")
+    split = C.with_neutralized(C.with_quantiles(df, "x", "q", 4), "x", "sector", "m").select("symbol", "q", "m").toPandas().set_index("symbol")
+    pd.testing.assert_frame_equal(got.sort_index(), split.sort_index(), check_dtype=False)

@@ -143,4 +143,4 @@ def test_mining_runs_through_all_stages(spark):
     assert 1 <= len(out) <= 4
     assert (out["p_value"] < 0.01).all() and out["stable_id"].str.startswith("cn_").all()
     # momentum and reversal are mirror images: never both kept
-    assert not mirror <= set(out["factor_id"])
+    assert not mirror <= set(out["formula"])

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
 from .shared import BROADCAST_ROWS, HOT_LEAST, split_join, stored
@@ -39,6 +39,8 @@ PROBES = 4000
 BLOCK = 256
 #: Stars are tried again while one in so many links; what they leave is matched list by list either way.
 STAR_YIELD = 10
+#: How many more pairs of the same two components each next round tries.
+TRY_MORE = 8
 #: Bits of a set's sketch.
 SKETCH_BITS = 256
 LISTS = ["token", "part", "sid", "size", "place", "pivot", "pivot_size", "pivot_place"]
@@ -220,9 +222,14 @@ def sketch_words(column: pa.Array) -> np.ndarray:
     return raw[start : start + len(column) * (SKETCH_BITS // 8)].view(np.uint64).reshape(len(column), -1)
 
 
+def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of differing bits of sketches."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether the difference that the sketches prove still allows a link; ``sizes`` are the sums of both sizes."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) * (den + num) <= sizes * (den - num)
+    return difference(a, b) * (den + num) <= sizes * (den - num)
 
 
 def set_rows(width: int):
@@ -283,7 +290,7 @@ def close_pairs(num: int, den: int):
 
 
 def match_lists(num: int, den: int):
-    """Rows sorted by (token, chunk, probe, size, place) to the pairs (x, y, x_size, y_size) of one list that may link.
+    """Rows sorted by (token, chunk, probe, size, place) to the pairs (x, y, x_size, y_size, apart) of one list that may link.
 
     Entries are cut into blocks of BLOCK in the order of size and place. A
     probe skips a block whose sizes and first place rule out the needed
@@ -308,8 +315,9 @@ def match_lists(num: int, den: int):
             ok &= comp[m + p][:, None] != comp[None, low:high]
             i, j = np.nonzero(ok)
             i, j = m + p[i], low + j
-            stay = may_link(marks[i], marks[j], size[i] + size[j], num, den)
-            out.append(np.stack([sid[i[stay]], sid[j[stay]], size[i[stay]], size[j[stay]]]))
+            apart = difference(marks[i], marks[j])
+            stay = apart * (den + num) <= (size[i] + size[j]) * (den - num)
+            out.append(np.stack([sid[i[stay]], sid[j[stay]], size[i[stay]], size[j[stay]], apart[stay]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +331,8 @@ def match_lists(num: int, den: int):
             middle = ends - (probes[ends] - probes[head])
             useful = np.flatnonzero((middle > head) & (ends > middle))
             found = [x for k in useful for x in group(now, int(head[k]), int(middle[k]), int(ends[k]))]
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.int64)
-            return pa.record_batch([pa.array(x) for x in pairs], ["x", "y", "x_size", "y_size"])
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((5, 0), np.int64)
+            return pa.record_batch([pa.array(x) for x in pairs], ["x", "y", "x_size", "y_size", "apart"])
 
         for rows in batches:
             now = {k: rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names[:-1]}
@@ -469,13 +477,26 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     chunk = (F.col("i") * F.col("down") + F.col("j")).alias("chunk")
     both = [x.select("token", chunk, "probe", "sid", "comp", "size", "place", "sketch") for x in (entries, probes)]
     both = both[0].union(both[1]).repartition("token", "chunk").sortWithinPartitions("token", "chunk", "probe", "size", "place")
-    met = both.mapInArrow(match_lists(num, den), "x long, y long, x_size long, y_size long").distinct()
-    left = stored(state.untried(met))
-    left = stored(state.underived(left).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    n = left.count()
-    if n and state.verify(left, n):
-        comps = state.components()
-    return comps
+    met = both.mapInArrow(match_lists(num, den), "x long, y long, x_size long, y_size long, apart long").distinct()
+    left = stored(state.untried(stored(met)))
+    x, y = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    left = stored(state.underived(left).select(x, y, "apart").distinct())
+    # One link joins two components, so the closest pair of each two is tried first, then more and more of them.
+    take = 1
+    while True:
+        between = left
+        for side, name in (("x", "a"), ("y", "b")):
+            own = comps.select(F.col("node").alias(side), F.col("comp").alias(name))
+            between = between.join(own, side, "left").withColumn(name, F.coalesce(name, side))
+        between = state.untried(between.where("a <> b"))
+        closest = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("apart", "x", "y")
+        pairs = stored(between.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= take).select("x", "y"))
+        n = pairs.count()
+        if not n:
+            return comps
+        if state.verify(pairs, n):
+            comps = state.components()
+        take *= TRY_MORE
 
 
 def jaccard_classes(

@@ -39,10 +39,10 @@ PROBES = 4000
 BLOCK = 256
 #: Stars are tried again while one in so many links; what they leave is matched list by list either way.
 STAR_YIELD = 10
-#: How many more pairs of the same two components each next round tries.
-TRY_MORE = 8
+#: How many times as many pairs of each component the next round tries.
+TRY_MORE = 4
 #: Bits of a set's sketch.
-SKETCH_BITS = 256
+SKETCH_BITS = 512
 LISTS = ["token", "part", "sid", "size", "place", "pivot", "pivot_size", "pivot_place"]
 NO_ID = -(2**63)
 
@@ -481,16 +481,18 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     left = stored(state.untried(stored(met)))
     x, y = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
     left = stored(state.underived(left).select(x, y, "apart").distinct())
-    # One link joins two components, so the closest pair of each two is tried first, then more and more of them.
+    # One link joins a component to another, so each one's closest pair is tried first, then more and more of them.
     take = 1
     while True:
         between = left
         for side, name in (("x", "a"), ("y", "b")):
             own = comps.select(F.col("node").alias(side), F.col("comp").alias(name))
             between = between.join(own, side, "left").withColumn(name, F.coalesce(name, side))
-        between = state.untried(between.where("a <> b"))
-        closest = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("apart", "x", "y")
-        pairs = stored(between.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= take).select("x", "y"))
+        between = stored(state.untried(between.where("a <> b")))
+        both = between.select("x", "y", "apart", F.explode(F.array("a", "b")).alias("comp"))
+        closest = Window.partitionBy("comp").orderBy("apart", "x", "y")
+        both = both.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= take)
+        pairs = stored(both.select("x", "y").distinct())
         n = pairs.count()
         if not n:
             return comps

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .exact_dedup import squeezed
 from .shared import small_join, stored
 from .words import small_batches, text_buffer, windows, word_hashes, word_spans
 
@@ -21,7 +22,7 @@ MAX_REPEAT_PERCENT = 30
 LINE_DOCS = 20
 LINE_PERCENT = 10
 
-LINES_SCHEMA = "host string, line binary, family binary"
+LINES_SCHEMA = "host string, line binary, whole binary"
 
 
 def normalised(line: bytes) -> bytes:
@@ -34,25 +35,27 @@ def line_hash(line: bytes) -> bytes:
 
 
 def document_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, text) to one row per distinct line, with the document's longest line as its family."""
+    """(host, text, whole) to one row per distinct line, with the document's ``whole``."""
     for batch in batches:
-        hosts, lines, families = [], [], []
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        hosts, lines, wholes = [], [], []
+        for host, text, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if not text:
                 continue
             found = {x for x in map(normalised, text.encode().split(b"\n")) if x}
-            if not found:
-                continue
-            family = line_hash(max(found, key=lambda x: (len(x), x)))
             hosts += [host] * len(found)
             lines += map(line_hash, found)
-            families += [family] * len(found)
+            wholes += [whole] * len(found)
         yield pa.record_batch(
-            [pa.array(hosts, pa.string()), pa.array(lines, pa.binary()), pa.array(families, pa.binary())],
-            ["host", "line", "family"],
+            [pa.array(hosts, pa.string()), pa.array(lines, pa.binary()), pa.array(wholes, pa.binary())],
+            ["host", "line", "whole"],
         )
 
 
+def whole_text(text: Column) -> Column:
+    """One value for all copies of a text, whatever their white space and case."""
+    return F.unhex(F.md5(F.lower(squeezed(text))))
+
+
 def frequent_lines(
     docs: DataFrame,
     text_col: str = "text",
@@ -62,15 +65,17 @@ def frequent_lines(
 ) -> DataFrame:
     """(host, lines): hashes of the normalised lines above both limits.
 
-    Documents are counted by family, the longest line of a document, on both
-    sides of the limit: exact and near copies of one document count once, as
-    a line that only they share is no boilerplate. Null hosts are one host.
+    Documents are counted by their whole text on both sides of the limit:
+    copies of one document count once, as a line that only they share is no
+    boilerplate; documents that differ in any word count each. Null hosts are
+    one host.
     """
-    source = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    source = docs.select(F.col(host_col).cast("string").alias("host"), text.alias("text"), whole_text(text).alias("whole"))
     # Distinct rows are folded in each task first, so a hot host or line is small by the time it is dealt out.
     rows = stored(source.mapInArrow(document_lines, LINES_SCHEMA).distinct())
     per_line = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
-    per_host = rows.select("host", "family").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    per_host = rows.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     per_host = per_host.where(F.col("docs") > line_docs)
     over = per_line.join(per_host, per_line["host"].eqNullSafe(per_host["host"])).where(
         F.col("n") * 100 > F.col("docs") * line_percent

@@ -61,5 +61,15 @@ def test_copies_of_one_document_are_no_boilerplate(spark):
     assert all(r.kept and "share this" not in r.clean_text for r in judged)
 
 
+def test_a_shared_line_may_be_the_longest(spark):
+    shared = " ".join(f"shared{i}" for i in range(60))
+    own = lambda i: " ".join(f"w{i}_{k}" for k in range(25))
+    docs = spark.createDataFrame([(i, f"{shared}\n{own(i)}", "h") for i in range(50)], "doc_id long, text string, source string")
+    judged = quality_rules(docs).collect()
+    assert len(judged) == 50 and all(r.kept and r.clean_text == own(r.row.doc_id) for r in judged)
+    short = docs.selectExpr("doc_id", "left(text, char_length(text) - 100) AS text", "source")
+    assert not any(r.kept or r.base_failed for r in quality_rules(short).collect())
+
+
 def test_no_rows(no_docs):
     assert quality_rules(no_docs).count() == 0

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .exact_dedup import squeezed
-from .shared import small_join, stored
+from .shared import small_join, split_join, stored
 from .words import small_batches, text_buffer, windows, word_hashes, word_spans
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -18,9 +18,10 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is boilerplate if it is in more documents of its host than both limits.
+#: A line is boilerplate if it is in more documents of its host than this, whatever the host's size.
 LINE_DOCS = 20
-LINE_PERCENT = 10
+#: Frequent lines of all documents together up to which they are broadcast.
+BROADCAST_LINES = 1_000_000
 
 LINES_SCHEMA = "host string, line binary, whole binary"
 
@@ -56,31 +57,31 @@ def whole_text(text: Column) -> Column:
     return F.unhex(F.md5(F.lower(squeezed(text))))
 
 
-def frequent_lines(
-    docs: DataFrame,
-    text_col: str = "text",
-    host_col: str = "source",
-    line_docs: int = LINE_DOCS,
-    line_percent: float = LINE_PERCENT,
-) -> DataFrame:
-    """(host, lines): hashes of the normalised lines above both limits.
-
-    Documents are counted by their whole text on both sides of the limit:
-    copies of one document count once, as a line that only they share is no
-    boilerplate; documents that differ in any word count each. Null hosts are
-    one host.
-    """
+def line_rows(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """(host, line, whole, line_key) once for each document and line; copies of one text are one document."""
     text = F.col(text_col)
     source = docs.select(F.col(host_col).cast("string").alias("host"), text.alias("text"), whole_text(text).alias("whole"))
     # Distinct rows are folded in each task first, so a hot host or line is small by the time it is dealt out.
-    rows = stored(source.mapInArrow(document_lines, LINES_SCHEMA).distinct())
-    per_line = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
-    per_host = rows.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    per_host = per_host.where(F.col("docs") > line_docs)
-    over = per_line.join(per_host, per_line["host"].eqNullSafe(per_host["host"])).where(
-        F.col("n") * 100 > F.col("docs") * line_percent
-    )
-    return over.groupBy(per_line["host"]).agg(F.collect_list("line").alias("lines"))
+    rows = source.mapInArrow(document_lines, LINES_SCHEMA).distinct()
+    return stored(rows.withColumn("line_key", F.concat("line", host_key(F.col("host")).cast("binary"))))
+
+
+def shared_by_many(rows: DataFrame, line_docs: int) -> DataFrame:
+    """(host, line, line_key) of the lines above the limit."""
+    per_line = rows.groupBy("host", "line", "line_key").agg(F.count(F.lit(1)).alias("n"))
+    return per_line.where(F.col("n") > line_docs).drop("n")
+
+
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
+    """(host, lines): hashes of the normalised lines above the limit.
+
+    Documents are counted by their whole text: copies of one document count
+    once, as a line that only they share is no boilerplate; documents that
+    differ in any word count each. The count alone decides, so a line stays
+    frequent as its host grows. Null hosts are one host.
+    """
+    over = shared_by_many(line_rows(docs, text_col, host_col), line_docs)
+    return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -164,27 +165,34 @@ def quality_rules(
     text_col: str = "text",
     host_col: str = "source",
     line_docs: int = LINE_DOCS,
-    line_percent: float = LINE_PERCENT,
 ) -> DataFrame:
     """One row per document: ``row`` (its columns without the text), the counts, ``kept`` and ``clean_text``.
 
     A document fails the base rules with fewer than 20 words, or if more than
-    30 % of its words lie in 8-word windows found twice. Lines above both
-    limits for their host are removed; a document left with fewer than 20
+    30 % of its words lie in 8-word windows found twice. Lines above the
+    limit for their host are removed; a document left with fewer than 20
     words is rejected. Null or empty text has no words and fails. A null host
     is a host of its own. Repeated rows are judged alike. The verdict of
     repeated lines within a text never removes them; only ``frequent_lines``
     does. No rows give no rows; other columns are carried in ``row``.
     """
-    over = stored(frequent_lines(docs, text_col, host_col, line_docs, line_percent))
+    found = line_rows(docs, text_col, host_col)
+    over = stored(shared_by_many(found, line_docs).select("line_key"))
+    # Each document gets the frequent lines of its own, so no row carries a whole host's.
+    own = small_join(found, over, "line_key", F.col("whole"), "inner")
+    own = own.groupBy(text_key(F.col("host"), F.col("whole")).alias("text_key")).agg(F.collect_list("line").alias("lines"))
+    own = stored(own)
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(
         F.struct(*[F.col(c) for c in rest]).alias("row"),
         F.col(text_col).alias("text"),
-        host_key(F.col(host_col)).alias("host_key"),
+        text_key(F.col(host_col), whole_text(F.col(text_col))).alias("text_key"),
     )
-    over = over.select(host_key(F.col("host")).alias("host_key"), "lines")
-    rows = small_join(rows, over, "host_key", F.col("row"), "left").select("row", "text", "lines")
+    if (own.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES:
+        rows = rows.join(F.broadcast(own), "text_key", "left")
+    else:
+        rows = split_join(rows, own, "text_key", rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")), F.col("row"))
+    rows = rows.select("row", "text", "lines")
     schema = T.StructType(
         [rows.schema["row"]]
         + [T.StructField(k, T.LongType()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -197,3 +205,8 @@ def quality_rules(
 def host_key(host):
     """A join key for hosts that tells null from every text."""
     return F.concat(F.when(host.isNull(), "-").otherwise("+"), F.coalesce(host.cast("string"), F.lit("")))
+
+
+def text_key(host, whole):
+    """A join key for the copies of a text in one host."""
+    return F.concat(whole, host_key(host).cast("binary"))

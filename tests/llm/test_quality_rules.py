@@ -71,5 +71,23 @@ def test_a_shared_line_may_be_the_longest(spark):
     assert not any(r.kept or r.base_failed for r in quality_rules(short).collect())
 
 
+def test_a_line_stays_frequent_as_its_host_grows(spark):
+    own = lambda i: " ".join(f"w{i}_{k}" for k in range(25))
+    rows = [(i, f"share this\n{own(i)}" if i < 21 else own(i), "h") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [list(map(bytes, r.lines)) for r in frequent_lines(docs).collect()] == [[line_hash(b"share this")]]
+    assert all(r.clean_text == own(r.row.doc_id) for r in quality_rules(docs).collect())
+
+
+def test_many_frequent_lines_are_dealt_out(spark, monkeypatch):
+    own = lambda i: " ".join(f"w{i}_{k}" for k in range(25))
+    rows = [(i % 400, f"share this\n{own(i % 400)}", None if i % 2 else "h") for i in range(1000)] + [(1000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted(quality_rules(docs).collect(), key=str)
+    monkeypatch.setattr("sigloom.llm.quality_rules.BROADCAST_LINES", 0)
+    assert sorted(quality_rules(docs).collect(), key=str) == whole and len(whole) == 1001
+    assert all(r.clean_text == own(r.row.doc_id) for r in whole if r.row.doc_id < 1000)
+
+
 def test_no_rows(no_docs):
     assert quality_rules(no_docs).count() == 0

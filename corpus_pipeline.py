@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that Jaccard links hold together. Ids stand for documents; a null id is never dropped."""
-    copies = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document of smallest id of each group that Jaccard links (five words, 0.8) hold together. Ids stand for documents; a null id is never dropped."""
+    copies = jaccard_classes(docs, num=80, den=100, width=5).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

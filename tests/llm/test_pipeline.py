@@ -31,6 +31,17 @@ def test_every_stage(spark, odd_docs, sf):
     assert all(r.n_tokens * 4 == len(r.token_ids) for r in out)
 
 
+def test_near_copies_by_five_words(spark, sf):
+    words = [f"w{i}" for i in range(400)]
+    edited = [f"new{i}" if i % 47 == 23 else w for i, w in enumerate(words)]
+    docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(f"v{i}" for i in range(400)))]
+    grams = lambda text, n: set(zip(*(text.split()[i:] for i in range(n))))
+    share = lambda n: len(grams(docs[0][1], n) & grams(docs[1][1], n)) / len(grams(docs[0][1], n) | grams(docs[1][1], n))
+    assert share(5) >= 0.8 and share(4) < 0.85
+    left = corpus_pipeline.near(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf).collect()
+    assert {r.doc_id for r in left} == {1, 3}
+
+
 def test_run_and_registration(spark, sf):
     import __spark_entry__ as entry
 

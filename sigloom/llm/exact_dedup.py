@@ -90,10 +90,25 @@ def duplicate_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = duplicate_groups(docs, id_col, text_col, **how).where("NOT kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
-    )
+    """The documents that stay, with all their columns.
+
+    Of rows that repeat the id of the one that stays, the longest stays; of
+    equally long ones a hash of the row decides.
+    """
+    judged = duplicate_groups(docs, id_col, text_col, **how).where("group_size > 1")
+    judged = stored(judged.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"))
     normalise = how.get("normalise", squeezed)
-    same = docs[id_col].eqNullSafe(dropped["__id"]) & (F.sha2(normalise(docs[text_col]), 256) == dropped["__sha"])
-    return docs.join(dropped.distinct(), same, "left_anti")
+    of = lambda table: docs[id_col].eqNullSafe(table["__id"]) & (F.sha2(normalise(docs[text_col]), 256) == table["__sha"])
+    dropped = judged.where("NOT kept").drop("kept").distinct()
+    ties = judged.groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1 AND kept")
+    ties = ties.select("__id", "__sha")
+    if ties.isEmpty():
+        return docs.join(dropped, of(dropped), "left_anti")
+    # Rows with one id and text may differ in length; the shorter ones go with the tie.
+    again = stored(docs.join(ties, of(ties), "left_semi"))
+    whole = F.struct(*[F.col(c) for c in again.columns])
+    longest = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    order = F.struct(-longest, F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in again.columns]))
+    one = again.groupBy(F.col(id_col).alias("__id"), F.sha2(normalise(F.col(text_col)), 256).alias("__sha")).agg(F.min_by(whole, order).alias("row"))
+    gone = dropped.unionByName(ties).distinct()
+    return docs.join(gone, of(gone), "left_anti").unionByName(one.select("row.*"))

@@ -48,3 +48,10 @@ def test_documents_that_stay(odd_docs, no_docs):
     want = sorted([i for i, k, _, ok in brute(pairs(odd_docs)) if ok], key=repr)
     assert sorted([r.doc_id for r in kept.collect()], key=repr) == want
     assert duplicate_groups(no_docs).count() == 0 and exact_dedup(no_docs).count() == 0
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a b", "y"), (2, "a b", "x"), (3, "c d", "x"), (3, "c  d", "x"), (None, "e", "x"), (None, "e", "x"), (4, "f", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = exact_dedup(docs).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=repr) == [(1, "a b"), (3, "c  d"), (4, "f"), (None, "e")]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import lower_ascii, split_join, stored
 from .words import small_batches
 
-#: Characters of the longest vocabulary word that a name can hold.
+#: Bounds nothing here; the tests count the words of their short names up to it.
 MAX_WORD = 24
 RUNS = r"\p{L}+|\p{N}+"
 LETTERS = regex.compile(r"\p{L}+")
@@ -59,14 +59,20 @@ def viterbi(unit: str, words: dict[tuple[int, int], int], total: int) -> list[st
     equal splits the one whose last word is longest wins, at every end.
     """
     log_total, ten = math.log(total), math.log(10)
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for (at, n), count in words.items():
+        if count:
+            ending.setdefault(at + n, []).append((n, count))
     best, back = [0.0], [0]
+    # Where the best piece that is no word starts; it is the same for all ends up to the next better start.
+    start, top_start = 0, -math.inf
     for end in range(1, len(unit) + 1):
-        top, size = -math.inf, 1
-        for n in range(min(MAX_WORD, end), 0, -1):
-            count = words.get((end - n, n))
-            score = best[end - n] + (math.log(count) if count else ten * (1 - n)) - log_total
-            if score > top:
-                top, size = score, n
+        if best[end - 1] + ten * (end - 1) > top_start:
+            start, top_start = end - 1, best[end - 1] + ten * (end - 1)
+        n = end - start
+        choices = [(best[start] + ten * (1 - n) - log_total, n)]
+        choices += [(best[end - n] + math.log(count) - log_total, n) for n, count in ending.get(end, ())]
+        top, size = max(choices)
         best.append(top)
         back.append(size)
     out, end = [], len(unit)
@@ -99,10 +105,11 @@ def segmented(units: DataFrame, texts: DataFrame) -> DataFrame:
     """
     counts = texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts)
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
+    seen = counts.agg(F.sum("n").alias("n"), F.max(F.char_length("word")).alias("longest")).first()
+    total, longest = seen["n"] or 1, seen["longest"] or 1
     size = F.char_length("unit")
     spans = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("at")).select(
-        "unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.char_length("unit") - F.col("at")))).alias("len")
+        "unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("unit") - F.col("at")))).alias("len")
     )
     spans = spans.withColumn("word", F.substr("unit", F.col("at") + 1, F.col("len")))
     uses = spans.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

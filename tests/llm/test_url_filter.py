@@ -110,3 +110,13 @@ def test_no_rows(spark):
     assert judge_urls(pages, docs, RULES).count() == 0
     some = spark.createDataFrame([(1, "http://abc.org/x"), (2, None)], pages.schema)
     assert {r.verdict for r in judge_urls(some, docs, RULES).collect()} == {"allow"}
+
+
+def test_words_of_any_length_are_found(spark):
+    from sigloom.llm.url_filter import segmented
+
+    long = "donaudampfschifffahrtsgesellschaft"
+    units = spark.createDataFrame([(f"{long}shop",), ("x" * 60,)], "unit string")
+    texts = spark.createDataFrame([(f"{long} shop " * 20,)], "text string")
+    got = {r.unit: r.words for r in segmented(units, texts).collect()}
+    assert len(long) > MAX_WORD and got == {f"{long}shop": [long, "shop"], "x" * 60: ["x" * 60]}

@@ -9,6 +9,7 @@ from .byte_bpe import encode_decode
 from .exact_dedup import duplicate_groups
 from .jaccard_join import jaccard_classes
 from .license_scan import license_blocks
+from .line_dedup import ALL, keep_bitmaps, without_lines
 from .quality_rules import quality_rules
 from .queries import query, table
 from .token_counts import sentencepiece_pieces, token_counts
@@ -110,3 +111,26 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     pieces = sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
+SQL_LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+many AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, many.key IS NOT NULL AS gone FROM k LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op11_line_dedup", SQL_LINES)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = without_lines(docs, keep_bitmaps(docs, min_docs=10, drop=ALL))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

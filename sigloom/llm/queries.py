@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import queries_native, queries_pages, queries_text  # noqa: E402, F401
+from . import queries_native, queries_pages, queries_text, queries_vectors  # noqa: E402, F401

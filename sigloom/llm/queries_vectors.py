@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .centroids import cluster_report
+from .prefix_trie import numbered_turns, prefix_trie, shared_openings
 from .queries import query, table
+from .shared import stored
 
 CLUSTERS, ROUNDS = 40, 5
 
@@ -46,3 +48,51 @@ FROM a{ROUNDS} JOIN v USING (r) JOIN c{ROUNDS} c ON c.k = m % {CLUSTERS}
 @query("op12_centroid_clusters", SQL_CENTROIDS)
 def op12(spark, sf_dir):
     return cluster_report(table(spark, sf_dir, "embeddings"), clusters=CLUSTERS, rounds=ROUNDS).withColumnRenamed("id", "vec_id")
+
+
+SQL_TRIE = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+         md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM t),
+bits AS (
+  SELECT conv_id, list(CASE WHEN i < 0 THEN 4294967295 ELSE (ascii(substr(conv_id::VARCHAR, i // 8 + 1, 1)) >> (i % 8)) & 1 END ORDER BY i) AS b
+  FROM (SELECT DISTINCT conv_id FROM t), range(-1, 160) AS s(i)
+  WHERE i < 8 * length(conv_id::VARCHAR) GROUP BY conv_id),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(b, lambda x, y: xor(x >> 1, (xor(x, y) & 1) * 3988292384)), 4294967295) % 6 AS h
+  FROM bits),
+turns AS (
+  SELECT c.conv_id, 1 AS part, n.pos, n.id, n.text FROM c JOIN n ON n.conv_id = c.base WHERE n.pos <= h
+  UNION ALL SELECT c.conv_id, 2, n.pos, n.id, n.text FROM c JOIN n USING (conv_id) WHERE n.pos > h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM turns),
+path AS (
+  SELECT conv_id, depth, length(text) AS chars,
+         md5(string_agg(id, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+         md5(string_agg(id, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS up
+  FROM r
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c),
+nodes AS (
+  SELECT node, depth, any_value(CASE WHEN depth = 1 THEN 'root' ELSE up END) AS parent, any_value(chars) AS chars,
+         count(*) AS n_convs, min(conv_id) AS conv_id
+  FROM path GROUP BY node, depth),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+w AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+sub AS (
+  SELECT p.node, sum((w.n_convs - 1) * w.chars) AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+  FROM w JOIN path p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.node),
+ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM w LEFT JOIN nodes p ON p.node = w.parent JOIN sub ON sub.node = w.node LEFT JOIN ends ON ends.node = w.node
+"""
+
+
+@query("op13_prefix_trie", SQL_TRIE)
+def op13(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(shared_openings(stored(numbered_turns(turns))))

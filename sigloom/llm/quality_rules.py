@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .exact_dedup import squeezed
-from .shared import small_join, split_join, stored
+from .shared import lower_ascii, small_join, split_join, stored
 from .words import small_batches, text_buffer, windows, word_hashes, word_spans
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -53,8 +53,8 @@ def document_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def whole_text(text: Column) -> Column:
-    """One value for all copies of a text, whatever their white space and case."""
-    return F.unhex(F.md5(F.lower(squeezed(text))))
+    """One value for all copies of a text, whatever their white space and case (A-Z)."""
+    return F.unhex(F.md5(lower_ascii(squeezed(text))))
 
 
 def line_rows(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:

@@ -44,21 +44,17 @@ w AS (
 hits AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM hits, range(0, 8) AS t(k) GROUP BY r),
 nl AS (
-  SELECT r, source, line, words,
+  SELECT r, source, line, words, whole,
          list_aggregate(words, 'string_agg', ' ') AS norm
-  FROM (SELECT r, source, line,
+  FROM (SELECT r, source, line, whole,
                regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                   '[^\x20\x09-\x0D]+') AS words
-        FROM (SELECT r, source, unnest(lines) AS line FROM d))
+        FROM (SELECT r, source, unnest(lines) AS line,
+                     md5(translate(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS whole
+              FROM d))
   WHERE len(words) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM nl GROUP BY r),
-fam AS (SELECT r, first(norm ORDER BY octet_length(encode(norm)) DESC, norm DESC) AS family FROM nl GROUP BY r),
-hl AS (SELECT DISTINCT source, norm, family FROM nl JOIN fam USING (r)),
-hosts AS (SELECT source, count(DISTINCT family) AS docs FROM hl GROUP BY source),
-frequent AS (
-  SELECT c.source, c.norm FROM (SELECT source, norm, count(*) AS n FROM hl GROUP BY ALL) c
-  JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source
-  WHERE c.n > 20 AND h.docs > 20 AND c.n * 100 > h.docs * 10),
+frequent AS (SELECT source, norm FROM nl GROUP BY source, norm HAVING count(DISTINCT whole) > 20),
 lost AS (
   SELECT r, sum(len(words)) AS n FROM nl JOIN frequent f ON f.norm = nl.norm AND f.source IS NOT DISTINCT FROM nl.source
   GROUP BY r),

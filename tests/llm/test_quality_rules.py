@@ -15,27 +15,22 @@ def brute_counts(text):
     )
 
 
-def brute_frequent(rows, docs_limit, percent):
-    lines, families = defaultdict(set), defaultdict(set)
+def brute_frequent(rows, docs_limit):
+    """Lines in more than ``docs_limit`` different texts of their host, white space and case aside."""
+    holders = defaultdict(set)
     for host, text in rows:
-        own = {x for x in map(normalised, (text or "").encode().split(b"\n")) if x}
-        if own:
-            family = max(own, key=lambda x: (len(x), x))
-            families[host].add(family)
-            for x in own:
-                lines[host, x].add(family)
-    return {
-        (host, line_hash(x))
-        for (host, x), f in lines.items()
-        if len(f) > docs_limit and len(families[host]) > docs_limit and len(f) * 100 > len(families[host]) * percent
-    }
+        whole = b"".join((text or "").encode().lower().split())
+        for x in map(normalised, (text or "").encode().split(b"\n")):
+            if x:
+                holders[host, x].add(whole)
+    return {(host, line_hash(x)) for (host, x), texts in holders.items() if len(texts) > docs_limit}
 
 
 def test_counts_and_verdicts(spark, odd_docs, sf):
     docs = odd_docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet"), allowMissingColumns=True)
     docs = docs.select(odd_docs.columns)
     rows = [(r.source, r.text) for r in docs.collect()]
-    over = brute_frequent(rows, 2, 10)
+    over = brute_frequent(rows, 2)
     got = {(r.host, x) for r in frequent_lines(docs, line_docs=2).collect() for x in map(bytes, r.lines)}
     assert got == over and over
     judged = quality_rules(docs, line_docs=2).collect()
@@ -61,6 +56,12 @@ def test_copies_of_one_document_are_no_boilerplate(spark):
     assert all(r.kept and "share this" not in r.clean_text for r in judged)
 
 
+def test_case_beyond_ascii_tells_documents_apart(spark):
+    rows = [(i, f"share this\n{'É' if i % 2 else 'é'} own", "h") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [list(map(bytes, r.lines)) for r in frequent_lines(docs, line_docs=1).collect()] == [[line_hash(b"share this")]]
+
+
 def test_a_shared_line_may_be_the_longest(spark):
     shared = " ".join(f"shared{i}" for i in range(60))
     own = lambda i: " ".join(f"w{i}_{k}" for k in range(25))

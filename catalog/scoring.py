@@ -344,8 +344,8 @@ def absolute_correlation(spark, sf):
     ),
 )
 def factor_pair_alignment(spark, sf):
-    pairs = CR.aligned_pairs(B.wide_inputs(spark, sf), B.FACTORS)
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = CR.pair_summary(B.wide_inputs(spark, sf), B.FACTORS, width=B.width(spark, sf))
+    return pairs.where("a < b AND common > 0").select("a", "b", c("common").alias("n"))
 
 
 # --- gates, scores, mining -------------------------------------------------
@@ -487,8 +487,8 @@ walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL
 SELECT unnest(kept) AS factor_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)""",
 )
 def correlation_dedup(spark, sf):
-    pairs = CR.absolute_correlation(B.wide_inputs(spark, sf), B.FACTORS, 100, B.width(spark, sf))
-    return CR.greedy_distinct(mined(spark, sf), pairs, limit=0.12).select(FACTOR)
+    wide = B.wide_inputs(spark, sf)
+    return CR.greedy_distinct(wide, mined(spark, sf), limit=0.12, min_rows=100, width=B.width(spark, sf)).select(FACTOR)
 
 
 @query("factor_grid_scores")

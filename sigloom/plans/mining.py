@@ -265,5 +265,4 @@ def mine(
     from ..operators.longform import wide_signals
 
     wide = wide_signals(signals.where(c(FACTOR).isin(left) & c(target).isNotNull()), left)
-    pairs = CR.absolute_correlation(wide, left, min_rows=100, width=width)
-    return CR.greedy_distinct(sure, pairs, 0.6, keep_at_most)
+    return CR.greedy_distinct(wide, sure, 0.6, keep_at_most, min_rows=100, width=width)

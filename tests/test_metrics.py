@@ -86,7 +86,7 @@ def test_identical_factors_correlate_fully(spark):
     red = CR.redundant_pairs(CR.correlation_matrix(df, ["a", "b", "z"], width=40)).collect()
     assert [(r["a"], r["b"]) for r in red] == [("a", "b")]
     cands = spark.createDataFrame([("a", 0.3), ("b", 0.2), ("z", 0.1)], "factor_id string, score double")
-    kept = CR.greedy_distinct(cands, CR.absolute_correlation(df, ["a", "b", "z"], width=40)).select("factor_id")
+    kept = CR.greedy_distinct(df, cands, width=40).select("factor_id")
     assert sorted(r[0] for r in kept.collect()) == ["a", "z"]
 
 

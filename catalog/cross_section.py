@@ -29,7 +29,7 @@ def _base(spark, sf):
     ),
 )
 def rank(spark, sf):
-    df = C.with_ranks(_base(spark, sf), {"rank": "surge"}, B.width(spark, sf))
+    df = C.with_ranks(_base(spark, sf), {"rank": "surge"})
     return shaped(df.select(SYMBOL, DATE, "rank"))
 
 
@@ -62,7 +62,7 @@ def demean(spark, sf):
     ),
 )
 def quintile(spark, sf):
-    df = C.with_quantiles(_base(spark, sf).where(c("mom").isNotNull()), "mom", "quintile", 5, B.width(spark, sf))
+    df = C.with_quantiles(_base(spark, sf).where(c("mom").isNotNull()), "mom", "quintile", 5)
     crowd = df.groupBy(DATE).count().where(c("count") >= 25).select(DATE)
     return shaped(df.join(F.broadcast(crowd), DATE, "left_semi").select(SYMBOL, DATE, "quintile"))
 
@@ -76,7 +76,7 @@ def quintile(spark, sf):
     ),
 )
 def quantile(spark, sf):
-    df = C.with_quantiles(_base(spark, sf).where(c("mom").isNotNull()), "mom", "tercile", 3, B.width(spark, sf))
+    df = C.with_quantiles(_base(spark, sf).where(c("mom").isNotNull()), "mom", "tercile", 3)
     return shaped(df.select(SYMBOL, DATE, "tercile"))
 
 

@@ -1,71 +1,35 @@
-"""Per-date operators.
+"""Per-date operators for cross-sections of any size.
 
-``rank`` and ``neutral`` style Column builders suit cross-sections that fit a
-task and compose freely with the rolling builders.  The ``with_*`` forms take
-cross-sections of any size: means and deviations are combined map-side and come
-back as one row per date, ranks go through ``operators.ranking``.
+Means and deviations are combined map-side and come back as one row per date
+(or date and group); ranks come from a histogram of the date's values and
+places inside its ranges.  No task ever holds a whole date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import DATE
 from ..operators import ranking
-from ..operators.panel import by_calendar
 
 c = F.col
 
 
-# --- composable Columns ---------------------------------------------------
-
-def rank(x: Column, by: str = DATE) -> Column:
-    """Average-tie rank over the count of non-missing values."""
-    ordered = Window.partitionBy(by).orderBy(x.asc_nulls_last())
-    upto = F.count(x).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    place = (F.rank().over(ordered) + upto) / 2.0
-    return F.when(x.isNotNull(), place / F.count(x).over(Window.partitionBy(by)))
-
-
-def zscore(x: Column, by: str = DATE) -> Column:
-    w = Window.partitionBy(by)
-    return _standard(x, F.avg(x).over(w), F.stddev_samp(x).over(w))
-
-
-def demean(x: Column, by: str = DATE) -> Column:
-    return x - F.avg(x).over(Window.partitionBy(by))
-
-
-def quantile(x: Column, groups: int = 5, by: str = DATE) -> Column:
-    """Label 1..groups by the number of smaller values, as ``ranking.quantile_label`` has it."""
-    smaller = F.rank().over(Window.partitionBy(by).orderBy(x.asc_nulls_last())) - 1
-    n = F.count(x).over(Window.partitionBy(by))
-    above = [F.when(smaller > F.floor((n - 1) * k / groups), 1).otherwise(0) for k in range(1, groups)]
-    return F.when(x.isNotNull(), sum(above, F.lit(1)))
-
-
-def neutralize(x: Column, group: Column, by: str = DATE) -> Column:
-    """Distance from the mean of the value's group on its date; missing groups are one group."""
-    return x - F.avg(x).over(Window.partitionBy(by, group))
-
-
 def _standard(x: Column, mean: Column, sd: Column) -> Column:
     return F.when(F.coalesce(sd, F.lit(0.0)) == 0, x * 0.0).otherwise((x - mean) / sd)
 
 
-# --- any cross-section size ----------------------------------------------
-
-def with_ranks(df: DataFrame, ranks: dict[str, str], width: int | None = None) -> DataFrame:
-    """Add percent ranks: ``{"out": "column"}``."""
+def with_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """Add percent ranks (average ties, over the count of non-missing values): ``{"out": "column"}``."""
     for out, column in ranks.items():
-        df = ranking.order_stats(df, [DATE], column, "_r", width)
+        df = ranking.spread_stats(df, [DATE], column, "_r")
         df = df.withColumn(out, ranking.percent_rank("_r")).drop("_r_below", "_r_upto", "_r_n")
     return df
 
 
-def with_quantiles(df: DataFrame, column: str, out: str, groups: int = 5, width: int | None = None) -> DataFrame:
+def with_quantiles(df: DataFrame, column: str, out: str, groups: int = 5) -> DataFrame:
     """Quantile label 1..groups of ``column`` on each date."""
-    df = ranking.order_stats(df, [DATE], column, "_q", width)
+    df = ranking.spread_stats(df, [DATE], column, "_q")
     return df.withColumn(out, ranking.quantile_label("_q", groups)).drop("_q_below", "_q_upto", "_q_n")
 
 
@@ -75,12 +39,12 @@ def with_zscores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         *[F.stddev_samp(x).alias(f"_s_{o}") for o, x in columns.items()],
     )
     made = {o: _standard(c(x), c(f"_m_{o}"), c(f"_s_{o}")) for o, x in columns.items()}
-    return df.join(by_calendar(stats), DATE).select(*df.columns, *[v.alias(o) for o, v in made.items()])
+    return df.join(stats, DATE).select(*df.columns, *[v.alias(o) for o, v in made.items()])
 
 
 def with_demeaned(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     stats = df.groupBy(DATE).agg(*[F.avg(x).alias(f"_m_{o}") for o, x in columns.items()])
-    return df.join(by_calendar(stats), DATE).select(
+    return df.join(stats, DATE).select(
         *df.columns, *[(c(x) - c(f"_m_{o}")).alias(o) for o, x in columns.items()]
     )
 

@@ -3,15 +3,21 @@
 A formula such as ``rank(delta(ts_mean(close, 5), 10))`` is a Python expression
 over the builders of this package, so Python itself evaluates it: names become
 columns, calls become window expressions, arithmetic becomes Column arithmetic.
+
+``rank``, ``zscore``, ``demean``, ``quantile`` and ``neutralize`` look across a
+date. ``split`` cuts a formula at them: what they are taken of, they themselves
+and what is made of them are stages, and between the stages only Columns of one
+symbol's rows are left.
 """
 
 from __future__ import annotations
 
 import ast
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from . import cross, rolling, scalar
+from . import rolling, scalar
 
 BUILDERS = {
     **{
@@ -21,11 +27,6 @@ BUILDERS = {
             "ts_product delta pct_change shift decay_linear decay_exp"
         ).split()
     },
-    "rank": cross.rank,
-    "zscore": cross.zscore,
-    "demean": cross.demean,
-    "quantile": cross.quantile,
-    "neutralize": cross.neutralize,
     "abs": scalar.absolute,
     "sign": scalar.sign,
     "log": scalar.log,
@@ -37,6 +38,9 @@ BUILDERS = {
     "if_then": scalar.if_then,
 }
 
+#: Operators over one date, with the number of columns each is taken of; further arguments are numbers.
+PER_DATE = {"rank": 1, "zscore": 1, "demean": 1, "quantile": 1, "neutralize": 2}
+
 _ALLOWED = (
     ast.Expression, ast.BinOp, ast.UnaryOp, ast.Call, ast.Name, ast.Load, ast.Constant,
     ast.Add, ast.Sub, ast.Mult, ast.Div, ast.USub,
@@ -53,17 +57,71 @@ class _Divide(ast.NodeTransformer):
         return node
 
 
-def formula(text: str, extra: dict | None = None) -> Column:
-    """The Column a formula stands for."""
+def _checked(text: str) -> ast.Expression:
     tree = ast.parse(text.strip(), mode="eval")
     for node in ast.walk(tree):
         if not isinstance(node, _ALLOWED):
             raise ValueError(f"not part of a formula: {type(node).__name__} in {text!r}")
-        if isinstance(node, ast.Call) and not (isinstance(node.func, ast.Name) and node.func.id in BUILDERS):
+        if isinstance(node, ast.Call) and not (isinstance(node.func, ast.Name) and node.func.id in BUILDERS | PER_DATE):
             raise ValueError(f"unknown operator in {text!r}")
+    return tree
+
+
+def formula(text: str, extra: dict | None = None) -> Column:
+    """The Column a formula without per-date operators stands for."""
+    tree = _checked(text)
     calls = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    if calls & set(PER_DATE):
+        raise ValueError(f"looks across a date, so it is no Column of one symbol's rows: {text!r}")
     names = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} - calls
     tree = ast.fix_missing_locations(_Divide().visit(tree))
     scope = {n: F.col(n) for n in names} | {n: BUILDERS[n] for n in calls} | {"ratio": scalar.ratio} | (extra or {})
     value = eval(compile(tree, "<formula>", "eval"), {"__builtins__": {}}, scope)  # noqa: S307 - nodes checked above
     return value if isinstance(value, Column) else F.lit(float(value))
+
+
+@dataclass(frozen=True)
+class PerDate:
+    """One per-date node: its operator, the texts it is taken of, its number, and the column that it becomes."""
+
+    name: str
+    operator: str
+    inputs: tuple[str, ...]
+    number: int | None
+
+
+def split(formulas: dict[str, str]) -> tuple[list[list[PerDate]], dict[str, str]]:
+    """Stages of per-date nodes, and each formula in terms of the columns they become.
+
+    A node is in the stage after the last node inside it. Equal nodes are one,
+    within a formula and between formulas.
+    """
+    stages: list[list[PerDate]] = []
+    made: dict[tuple, tuple[str, int]] = {}
+
+    class Cut(ast.NodeTransformer):
+        depth = 0
+
+        def visit_Call(self, node):
+            if node.func.id not in PER_DATE:
+                return self.generic_visit(node)
+            outer, self.depth = self.depth, 0
+            node = self.generic_visit(node)
+            k = PER_DATE[node.func.id]
+            number = ast.literal_eval(node.args[k]) if len(node.args) > k else None
+            key = (node.func.id, tuple(ast.unparse(x) for x in node.args[:k]), number)
+            if key not in made:
+                if len(stages) == self.depth:
+                    stages.append([])
+                name = f"_d{len(made)}"
+                stages[self.depth].append(PerDate(name, *key))
+                made[key] = name, self.depth + 1
+            name, level = made[key]
+            self.depth = max(outer, level)
+            return ast.Name(name, ast.Load())
+
+    out = {}
+    for name, text in formulas.items():
+        cutter = Cut()
+        out[name] = ast.unparse(ast.fix_missing_locations(cutter.visit(_checked(text))))
+    return stages, out

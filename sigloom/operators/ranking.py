@@ -2,13 +2,15 @@
 
 A cross-section (all names of one date) has no natural bound.  Up to
 ``GROUP_ROW_LIMIT`` rows per group a plain window is the best plan: one shuffle
-by the group keys.  Beyond that the same numbers come from a range-partitioned
-global sort, which spreads one hot group over as many tasks as its rows need.
-Both give identical results.
+by the group keys.  Beyond that ranks come from ``spread_stats``, a histogram
+and places inside its ranges, and positions from a range-partitioned sort; both
+spread one hot group over many tasks.  All give identical results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
@@ -16,6 +18,9 @@ from ..session import cut
 GROUP_ROW_LIMIT = 2_000_000
 MAP_SIDE_TOP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 SALTS = 64
+#: Ranges of a histogram to an e-fold of the value, and the magnitude below which values share the middle range.
+RANGES = 8
+RANGE_ORIGIN = 1e12
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -93,28 +98,47 @@ def order_stats(
                 n: F.count(v).over(group),
             }
         )
-    placed = _global_positions(df, keys, [v.asc_nulls_last()], "_pos")
-    counts = placed.groupBy(*keys).agg(F.count(v).alias(n))
-    # Only repeated values need a second look; a hot value is combined map-side
-    # and its join partition is split by AQE's skew handling.
-    ties = (
-        placed.where(v.isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .where(F.col("_lo") < F.col("_hi"))
-    )
-    return (
-        placed.join(ties, [*keys, value], "left")
-        .join(counts, keys)
-        .withColumns(
-            {
-                below: F.when(v.isNotNull(), F.coalesce("_lo", "_pos") - 1),
-                upto: F.when(v.isNotNull(), F.coalesce("_hi", "_pos")),
-            }
-        )
-        .drop("_pos", "_lo", "_hi")
-        .select(*df.columns, below, upto, n)
+    return spread_stats(df, keys, value, prefix)
+
+
+def value_range(v: Column) -> Column:
+    """A whole number that never falls as the value rises: a signed logarithmic scale, RANGES to an e-fold.
+
+    It depends on nothing but the value, so no pass over the data chooses it,
+    and a group has at most some thousands of ranges however many rows it has.
+    """
+    steps = F.floor(F.log(F.abs(v) * RANGE_ORIGIN + 1) * RANGES)
+    return F.when(v < 0, -steps).when(v.isNotNull(), steps).otherwise(F.lit(None))
+
+
+def spread_stats(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
+    """``order_stats`` of groups of any size in one plan, with no task for a whole group.
+
+    A histogram of the group's values gives the counts below each range, and
+    places are found inside the ranges: rows are dealt out by (keys, range), so
+    a group that holds most rows is spread over its ranges. The one window
+    over a whole group runs over its histogram.
+    """
+    below, upto, n = f"{prefix}_below", f"{prefix}_upto", f"{prefix}_n"
+    v = F.col(value)
+    rows = df.withColumn("_range", value_range(v)).repartition(*keys, "_range")
+    # Reads every column, as the rows below do, so that both read one exchange.
+    whole = F.max(F.xxhash64(*rows.columns)).alias("_whole")
+    counts = rows.groupBy(*keys, "_range").agg(F.count(v).alias("_held"), whole).where("_whole IS NOT NULL").drop("_whole")
+    group = Window.partitionBy(*keys)
+    lower = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_lower": F.coalesce(F.sum("_held").over(lower), F.lit(0)), n: F.sum("_held").over(group)}).drop("_held")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_range"]]
+    joined = rows.alias("l").join(counts.alias("r"), reduce(lambda a, b: a & b, same)).select("l.*", "_lower", n)
+    inside = Window.partitionBy(*keys, "_range").orderBy(v)
+    to_here = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = joined.withColumns(
+        {
+            below: F.when(v.isNotNull(), F.col("_lower") + F.rank().over(inside) - 1),
+            upto: F.when(v.isNotNull(), F.col("_lower") + F.count(v).over(to_here)),
+        }
     )
+    return placed.select(*df.columns, below, upto, n)
 
 
 def average_rank(prefix: str) -> Column:

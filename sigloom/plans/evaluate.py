@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..columns import BAR, DATE, FACTOR, SYMBOL, VALUE
-from ..functions.formula import formula
+from ..functions import cross as C
+from ..functions.formula import PerDate, formula, split
 from ..operators import ic as IC, panel as P, walkforward as WF
 
 
-def compute_factor(df: DataFrame, text: str) -> DataFrame:
-    """[symbol, date, factor_value] of one formula on a numbered panel with features."""
-    return df.select(SYMBOL, DATE, formula(text).alias("factor_value"))
+def per_date(df: DataFrame, nodes: list[PerDate]) -> DataFrame:
+    """Add the columns of one stage's nodes; no task holds a whole date."""
+    inputs = {x: f"_in{i}" for i, x in enumerate(dict.fromkeys(x for n in nodes for x in n.inputs))}
+    out = df.withColumns({at: formula(x) for x, at in inputs.items()})
+    of = lambda name: {n.name: inputs[n.inputs[0]] for n in nodes if n.operator == name}
+    out = C.with_ranks(out, of("rank"))
+    if of("zscore"):
+        out = C.with_zscores(out, of("zscore"))
+    if of("demean"):
+        out = C.with_demeaned(out, of("demean"))
+    for n in nodes:
+        if n.operator == "quantile":
+            out = C.with_quantiles(out, inputs[n.inputs[0]], n.name, n.number or 5)
+        elif n.operator == "neutralize":
+            out = C.with_neutralized(out, *[inputs[x] for x in n.inputs], n.name)
+    return out.select(*df.columns, *[n.name for n in nodes])
 
 
 def compute_factors(df: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """One column per named formula, all in one select so that windows share their sorts."""
-    return df.select(SYMBOL, DATE, BAR, *keep, *[formula(t).alias(n) for n, t in formulas.items()])
+    """(symbol, date, bar_no, keep...) and one column per named formula, on a numbered panel with features.
+
+    The formulas are cut at their per-date operators (``formula.split``); each
+    stage adds its nodes once for all formulas. Formulas without such nodes
+    are one select, so that their windows share their sorts.
+    """
+    stages, rest = split(formulas)
+    for nodes in stages:
+        df = per_date(df, nodes)
+    return df.select(SYMBOL, DATE, BAR, *keep, *[formula(t).alias(n) for n, t in rest.items()])
+
+
+def compute_factor(df: DataFrame, text: str) -> DataFrame:
+    """[symbol, date, factor_value] of one formula on a numbered panel with features."""
+    return compute_factors(df, {"factor_value": text}).drop(BAR)
 
 
 def evaluate_formula(
@@ -26,12 +53,9 @@ def evaluate_formula(
     """Walk-forward folds, their averages and the IC series of one formula on raw bars."""
     panel = P.with_features(P.index_bars(P.positive_close(bars)))
     target = f"fwd_{horizon}"
-    value = formula(text)
-    long = panel.select(
-        F.lit("formula").alias(FACTOR), SYMBOL, DATE,
-        (-value if direction == "short" else value).alias(VALUE),
-        P.forward_return(horizon).alias(target),
-    )
+    values = compute_factors(panel.withColumn(target, P.forward_return(horizon)), {VALUE: text}, keep=(target,))
+    value = F.col(VALUE)
+    long = values.select(F.lit("formula").alias(FACTOR), SYMBOL, DATE, (-value if direction == "short" else value).alias(VALUE), target)
     folds = WF.fold_dates(P.trade_dates(panel), oos_start)
     metrics = WF.fold_metrics(long, folds, target, cost, horizon, width=width)
     return {

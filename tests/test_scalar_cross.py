@@ -7,9 +7,10 @@ from helpers import bars
 from pyspark.sql import functions as F
 
 from sigloom.functions import cross as C, scalar as S
-from sigloom.functions.formula import formula
+from sigloom.functions.formula import formula, split
 from sigloom.operators import panel as P
-from sigloom.plans.evaluate import compute_factor, evaluate_formula
+from sigloom.operators import ranking as K
+from sigloom.plans.evaluate import compute_factor, compute_factors, evaluate_formula
 
 D = dt.date(2024, 1, 2)
 
@@ -39,10 +40,8 @@ def test_cross_sections_skip_missing(spark):
     vals = [3.0, 1.0, None, 3.0, 2.0]
     df = spark.createDataFrame([(f"s{i}", D, v, "g" if i < 2 else None) for i, v in enumerate(vals)], "symbol string, date date, x double, g string")
     want = pd.Series(vals, dtype=float).rank(pct=True)
-    got = C.with_ranks(df, {"r": "x"}, width=5).orderBy("symbol").toPandas()["r"]
+    got = C.with_ranks(df, {"r": "x"}).orderBy("symbol").toPandas()["r"]
     np.testing.assert_allclose(got, want)
-    col = df.select("symbol", C.rank(F.col("x")).alias("r")).orderBy("symbol").toPandas()["r"]
-    np.testing.assert_allclose(col, want)
     z = C.with_zscores(df, {"z": "x"}).orderBy("symbol").toPandas()["z"]
     s = pd.Series(vals, dtype=float)
     np.testing.assert_allclose(z, (s - s.mean()) / s.std())
@@ -57,13 +56,54 @@ def test_formula_text_and_builders_agree(spark):
     a = compute_factor(df, "rank(-delta(close, 3)) * 2 / (high - low)").toPandas().sort_values(["symbol", "date"])
     from sigloom.functions import rolling as R
 
-    b = df.select(
-        "symbol", "date", S.ratio(C.rank(-R.delta(F.col("close"), 3)) * 2, F.col("high") - F.col("low")).alias("v")
-    ).toPandas().sort_values(["symbol", "date"])
-    np.testing.assert_allclose(a["factor_value"], b["v"])
+    b = df.select("symbol", "date", (-R.delta(F.col("close"), 3)).alias("v"), (F.col("high") - F.col("low")).alias("w"))
+    b = b.toPandas().sort_values(["symbol", "date"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = b.groupby("date")["v"].rank(pct=True) * 2 / b["w"].replace(0.0, np.nan)
+    np.testing.assert_allclose(a["factor_value"], want)
+
+
+def test_formulas_are_cut_at_per_date_nodes():
+    stages, rest = split({"a": "rank(ts_mean(rank(close), 5)) * rank(close)", "b": "zscore(rank(close)) + delta(rank(close), 2)"})
+    assert [[(n.operator, n.inputs) for n in s] for s in stages] == [
+        [("rank", ("close",))], [("rank", ("ts_mean(_d0, 5)",)), ("zscore", ("_d0",))],
+    ]
+    assert rest == {"a": "_d1 * _d0", "b": "_d2 + delta(_d0, 2)"}
+    assert split({"x": "close / open"}) == ([], {"x": "close / open"})
+    assert split({"x": "quantile(close, 4)"})[0][0][0].number == 4
+
+
+def test_nested_per_date_nodes_against_pandas(spark):
+    rng = np.random.RandomState(7)
+    closes = {f"s{k:02d}": [float(x) for x in rng.randint(5, 25, 24)] for k in range(15)}
+    df = P.with_features(P.index_bars(bars(spark, closes)))
+    got = compute_factor(df, "rank(ts_mean(zscore(close), 3)) - demean(quantile(close, 4)) * rank(close)")
+    got = got.toPandas().sort_values(["symbol", "date"])["factor_value"].to_numpy(dtype=float)
+    b = df.select("symbol", "date", "close").toPandas().sort_values(["symbol", "date"])
+    day = b.groupby("date")["close"]
+    b["z"] = (b["close"] - day.transform("mean")) / day.transform("std")
+    b["m"] = b.groupby("symbol")["z"].transform(lambda x: x.rolling(3).mean())
+    b["q"] = day.transform(lambda x: np.searchsorted(np.quantile(x, [0.25, 0.5, 0.75]), x, side="left") + 1.0)
+    want = b.groupby("date")["m"].rank(pct=True) - (b["q"] - b.groupby("date")["q"].transform("mean")) * day.rank(pct=True)
+    np.testing.assert_allclose(got, want)
+
+
+def test_a_hot_date_is_spread_through_a_formula(spark):
+    """A third of all rows on one date: no task gets the date, and ranks are exact."""
+    hot = spark.range(30_000).selectExpr("concat('s', id) AS symbol", "DATE'2024-01-02' AS date", "1L AS bar_no", "pow(id % 9973 + 1, 2) / 7D AS close")
+    cold = spark.range(60_000).selectExpr("concat('s', id % 600) AS symbol", "date_add(DATE'2024-02-01', int(id div 600)) AS date", "id div 600 AS bar_no", "1D + id % 13 AS close")
+    got = compute_factor(hot.unionByName(cold), "rank(close)")
+    want = hot.toPandas().set_index("symbol")["close"].rank(pct=True).sort_index()
+    mine = got.where("date = DATE'2024-01-02'").toPandas().set_index("symbol")["factor_value"].sort_index()
+    np.testing.assert_allclose(mine, want)
+    ranges = hot.select(K.value_range(F.col("close")).alias("r")).groupBy("r").count().agg(F.max("count"), F.count("r")).first()
+    assert ranges[0] < 30_000 / 4 and ranges[1] > 30
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    over_date = [x for x in plan.splitlines() if "Window [" in x and "_range" not in x and "_held" not in x]
+    assert over_date == []
 
 
-@pytest.mark.parametrize("bad", ["close.real", "__import__('os')", "foo(close)", "[close]", "close if close else 1"])
+@pytest.mark.parametrize("bad", ["close.real", "__import__('os')", "foo(close)", "[close]", "close if close else 1", "rank(close)"])
 def test_formula_rejects_what_is_not_a_formula(spark, bad):
     with pytest.raises(ValueError):
         formula(bad)
@@ -88,6 +128,6 @@ def test_quantile_and_neutralize_in_formulas(spark):
     rng = np.random.RandomState(2)
     rows = [(D, f"s{k:02d}", float(v), "ab"[k % 2]) for k, v in enumerate(rng.randint(0, 12, 40))] + [(D, "none", None, "a")]
     df = spark.createDataFrame(rows, "date date, symbol string, x double, sector string")
-    got = df.select("symbol", formula("quantile(x, 4)").alias("q"), formula("neutralize(x, sector)").alias("m")).toPandas().set_index("symbol")
+    got = compute_factors(df.withColumn("bar_no", F.lit(1)), {"q": "quantile(x, 4)", "m": "neutralize(x, sector)"}).select("symbol", "q", "m").toPandas().set_index("symbol")
     split = C.with_neutralized(C.with_quantiles(df, "x", "q", 4), "x", "sector", "m").select("symbol", "q", "m").toPandas().set_index("symbol")
     pd.testing.assert_frame_equal(got.sort_index(), split.sort_index(), check_dtype=False)

@@ -15,7 +15,7 @@ from sigloom.session import cut
 from . import testbed as B
 from .registry import query, shaped
 from .scoring import mono_sql
-from .sql import avg_rank, corr, day, part, qlabel, with_
+from .sql import avg_rank, corr, day, eigen_cte, inverse_parts, part, qlabel, with_
 
 c = F.col
 SNAP = "2000-12-31"
@@ -121,10 +121,25 @@ def factor_diversity(spark, sf):
     return shaped(df.select("diversity_score", "mean_ep", "ep_median", "ep_p95"))
 
 
-@query("effective_factor_count")
+_N_EFF = """(SELECT exp(-sum(l / t * ln(l / t + 1e-12))) AS n_eff FROM (SELECT l, sum(l) OVER () AS t FROM (SELECT unnest(eig) AS l FROM eigen) WHERE l > 0.01))"""
+
+
+def eigen_(names: str, body: str) -> str:
+    """``with_`` plus the eigenvalues of the snapshot's correlations as ``eigen``."""
+    head = with_(f"snapwide {names}", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    return head + ",\n" + eigen_cte("eigen", "snapwide", B.FACTORS) + "\n" + body
+
+
+@query(
+    "effective_factor_count",
+    eigen_(
+        "",
+        f"SELECT round(n_eff, 1) AS n_effective, {len(B.FACTORS)}::BIGINT AS n_total, n_eff < {len(B.FACTORS)} * 0.5 AS cluster_warning FROM {_N_EFF}",
+    ),
+)
 def effective_factor_count(spark, sf):
-    """exp(entropy) of eigenvalues: no SQL, tested against numpy."""
-    return H.factor_diversity(snapshot(spark, sf), B.FACTORS).select("n_effective", "n_total", "cluster_warning")
+    """exp(entropy) of the eigenvalues of the snapshot's correlations."""
+    return shaped(H.factor_diversity(snapshot(spark, sf), B.FACTORS).select("n_effective", "n_total", "cluster_warning"))
 
 
 def det_sql(cells: list[list[str]]) -> str:
@@ -153,19 +168,59 @@ def multi_collinearity(spark, sf):
     return shaped(H.collinearity(wide, "mom", _COLS[1:]).drop("top"))
 
 
-@query("redundancy_report")
+_INV = inverse_parts("snap6", "snapwide", B.FACTORS)
+_LIST = "[" + ", ".join(f"'{f}'" for f in B.FACTORS) + "]"
+part(
+    "redundancy",
+    [_INV],
+    f"""SELECT {_LIST}[d.i + 1] AS factor_id, 1 - 1 / d.v AS r2, t.factor AS top_factor, t.beta AS top_beta FROM {_INV} d
+        JOIN (SELECT x.i, {_LIST}[x.j + 1] AS factor, abs(x.v / y.v) AS beta, row_number() OVER (PARTITION BY x.i ORDER BY abs(x.v / y.v) DESC) AS rn
+          FROM {_INV} x JOIN {_INV} y ON y.i = x.i AND y.j = x.i WHERE x.i <> x.j) t ON t.i = d.i AND t.rn = 1 WHERE d.i = d.j""",
+)
+
+
+@query(
+    "redundancy_report",
+    with_(
+        "redundancy",
+        "SELECT factor_id, round(r2, 3) AS r_squared, r2 > 0.85 AS is_redundant, top_factor, round(top_beta, 3) AS top_beta FROM redundancy",
+    ),
+)
 def redundancy_report(spark, sf):
-    """Every factor regressed on all others; the linear solve has no SQL, tested against numpy."""
-    return shaped(RP.redundancy_report(snapshot(spark, sf), B.FACTORS).drop("top"))
+    """Every factor regressed on all others, with the largest coefficient; SQL inverts the matrix by pivoting."""
+    out = RP.redundancy_report(snapshot(spark, sf).dropna(subset=B.FACTORS), B.FACTORS)
+    first = F.get("top", F.lit(0))
+    return shaped(out.select(FACTOR, "r_squared", "is_redundant", first["factor"].alias("top_factor"), first["beta"].alias("top_beta")), 3)
 
 
+def _without(f: str) -> str:
+    """Diversity of the snapshot's factors without ``f``, in SQL."""
+    own = [x for x in B.FACTORS if x != f]
+    rows = ", ".join(f"({i}, {', '.join(repr(float(x)) for x in d)})" for i, d in enumerate(H.directions(len(own))))
+    sums = " + ".join(f"w{i} * ({x} - avg({x}) OVER w) / (stddev_pop({x}) OVER w + 1e-12)" for i, x in enumerate(own))
+    part(f"dirs_{f}", [], f"SELECT * FROM (VALUES {rows}) AS d(direction, {', '.join(f'w{i}' for i in range(len(own)))})")
+    part(f"projected_{f}", ["snapwide", f"dirs_{f}"], f"SELECT direction, {sums} AS p FROM snapwide CROSS JOIN dirs_{f} WINDOW w AS (PARTITION BY direction)")
+    part(f"ep_{f}", [f"projected_{f}"], ep_sql(f"projected_{f}", "direction", "p"))
+    return f"SELECT '{f}' AS factor_id, round(greatest(0, least(1, 1 - avg(ep) / 2)), 3) AS diversity_before FROM ep_{f}"
+
+
+part("diversity_without", [], " UNION ALL ".join(_without(f) for f in B.FACTORS))
+from .sql import PARTS  # noqa: E402
+
+PARTS["diversity_without"] = ([f"ep_{f}" for f in B.FACTORS], PARTS["diversity_without"][1])
+part(
+    "checks",
+    ["redundancy", "diversity_without", "ep_dirs"],
+    f"""SELECT factor_id, round(r2, 3) AS r_squared, r2 > 0.85 AS is_redundant, diversity_before, diversity_after, round(n_eff, 1) AS n_effective,
+        n_eff < {len(B.FACTORS)} * 0.5 AS cluster_warning, {len(B.FACTORS)}::BIGINT AS n_total
+        FROM redundancy JOIN diversity_without USING (factor_id)
+        CROSS JOIN (SELECT round(greatest(0, least(1, 1 - avg(ep) / 2)), 3) AS diversity_after FROM ep_dirs) CROSS JOIN n_eff""",
+)
 part(
     "penalty_inputs",
-    ["health", "ic"],
-    f"""SELECT h.factor_id, mr * mr * 5 AS r_squared, mr * mr * 5 > 0.85 AS is_redundant, 0.9 AS diversity_before,
-        0.9 - abs(mf) AS diversity_after, mr < 0 AS cluster_warning, 4 - 10 * abs(mf) AS n_effective, 4::BIGINT AS n_total, n AS n_ic,
-        {_SCORE} AS health_score, {_CHANGE} AS regime_change, abs(mf) AS composite_score
-        FROM health h JOIN (SELECT factor_id, count(*) AS n FROM ic GROUP BY 1) USING (factor_id)""",
+    ["checks", "health", "ic"],
+    f"""SELECT c.*, n AS n_ic, {_SCORE} AS health_score, {_CHANGE} AS regime_change, abs(mf) AS composite_score
+        FROM checks c JOIN health h USING (factor_id) JOIN (SELECT factor_id, count(*) AS n FROM ic GROUP BY 1) USING (factor_id)""",
 )
 part(
     "penalties",
@@ -180,40 +235,37 @@ part(
 )
 
 
+def _after_checks(names: str, body: str) -> str:
+    """Parts that need ``checks`` come after the eigenvalues."""
+    base = eigen_("redundancy diversity_without ep_dirs health ic", "") .rstrip() + f",\nn_eff AS {_N_EFF}"
+    late = [n for n in ("checks", "penalty_inputs", "penalties", *names.split()) if n]
+    return base + ",\n" + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in dict.fromkeys(late)) + "\n" + body
+
+
+@query(
+    "candidate_checks",
+    _after_checks(
+        "",
+        "SELECT factor_id, r_squared, is_redundant, diversity_before, diversity_after, cluster_warning, n_effective, n_total FROM checks",
+    ),
+)
+def candidate_checks(spark, sf):
+    return shaped(H.candidate_checks(snapshot(spark, sf).dropna(subset=B.FACTORS), B.FACTORS))
+
+
 def penalty_inputs(spark, sf):
-    """Candidate checks in the shape the penalties expect, made from the factors' own series."""
+    """Every factor's checks as a candidate beside the others, its health and its score, all from its own values and series."""
     ic = daily(spark, sf)
-    health = H.ic_health(ic)
-    raw = ic.groupBy(FACTOR).agg(F.count("ic").alias("n_ic"), F.avg("ic").alias("mf"))
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy(FACTOR).orderBy(F.desc(DATE))
-    recent = (
-        ic.withColumns({"_rn": F.row_number().over(newest), "_n": F.count(F.lit(1)).over(Window.partitionBy(FACTOR))})
-        .where(c("_rn") <= F.least(F.lit(60), F.greatest(F.lit(20), F.floor(c("_n") / 2))))
-        .groupBy(FACTOR).agg(F.avg("ic").alias("mr"))
-    )
-    r2 = c("mr") * c("mr") * 5
-    return health.join(raw, FACTOR).join(recent, FACTOR).select(
-        FACTOR,
-        r2.alias("r_squared"),
-        (r2 > 0.85).alias("is_redundant"),
-        F.lit(0.9).alias("diversity_before"),
-        (0.9 - F.abs("mf")).alias("diversity_after"),
-        (c("mr") < 0).alias("cluster_warning"),
-        (4 - F.abs("mf") * 10).alias("n_effective"),
-        F.lit(4).alias("n_total"),
-        "n_ic",
-        "health_score",
-        "regime_change",
-        F.abs("mf").alias("composite_score"),
-    )
+    series = ic.groupBy(FACTOR).agg(F.count("ic").alias("n_ic"), F.abs(F.avg("ic")).alias("composite_score"))
+    checks = H.candidate_checks(snapshot(spark, sf).dropna(subset=B.FACTORS), B.FACTORS)
+    health = H.ic_health(ic).select(FACTOR, "health_score", "regime_change")
+    return checks.join(health, FACTOR).join(series, FACTOR)
 
 
 @query(
     "factor_penalties",
-    with_(
-        "penalties",
+    _after_checks(
+        "",
         """SELECT factor_id, round(total, 3) AS penalty, round(greatest(0.15, 1 - total), 3) AS multiplier, shrink AS n_eff_shrinkage,
         round(composite_score * greatest(0.15, 1 - total) * shrink, 6) AS rank_score FROM penalties""",
     ),

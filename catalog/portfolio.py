@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sigloom.columns import DATE, FACTOR, SYMBOL, VALUE
 from sigloom.operators import composite as CO, indicators as I, panel as P, portfolio as PF, quality as QL
@@ -15,7 +15,7 @@ from . import testbed as B
 from .registry import query, shaped
 from .scoring import mined, mono_sql
 from .sources_joins import symbols
-from .sql import avg_rank, corr, day, part, qlabel, with_
+from .sql import avg_rank, corr, day, inverse_parts, part, qlabel, with_
 
 c = F.col
 AS_OF = "2000-12-31"
@@ -103,26 +103,63 @@ def voting_sides(spark, sf):
     return shaped(CO.voting_sides(daily, P.trade_dates(B.panel(spark, sf))))
 
 
+_FILLED = ", ".join(
+    f"CASE WHEN o.f_{f} THEN max(l.value) FILTER (WHERE l.factor_id = '{f}') ELSE 0 END AS {f}" for f in B.FACTORS
+)
+part(
+    "on_days",
+    ["enddays"],
+    f"SELECT date, {', '.join(f'bool_or(factor_id = {chr(39)}{f}{chr(39)}) AS f_{f}' for f in B.FACTORS)} FROM enddays GROUP BY date",
+)
+part(
+    "filled",
+    ["signals", "on_days"],
+    f"""SELECT * FROM (SELECT l.symbol, o.date, {_FILLED} FROM (SELECT * FROM signals WHERE value IS NOT NULL) l JOIN on_days o USING (date)
+        GROUP BY l.symbol, o.date, {', '.join(f'o.f_{f}' for f in B.FACTORS)})
+        WHERE {' AND '.join(f'{f} IS NOT NULL' for f in B.FACTORS)} QUALIFY count(*) OVER (PARTITION BY date) >= 50""",
+)
+_DAY_INV = inverse_parts("day", "filled", B.FACTORS, "date")
+_ZS = ", ".join(f"({f} - avg({f}) OVER d) / (stddev_pop({f}) OVER d + 1e-12)" for f in B.FACTORS)
+part(
+    "outliers",
+    ["filled", _DAY_INV],
+    f"""SELECT symbol, date, distance FROM (
+        SELECT *, rank() OVER (PARTITION BY date ORDER BY distance) - 1 AS below, count(*) OVER (PARTITION BY date) AS n FROM (
+          SELECT symbol, z.date, sqrt(greatest(sum(z[v.i + 1] * z[v.j + 1] * v.v), 0)) AS distance
+          FROM (SELECT symbol, date, [{_ZS}] AS z FROM filled WINDOW d AS (PARTITION BY date)) z JOIN {_DAY_INV} v ON v.date = z.date GROUP BY symbol, z.date))
+        WHERE below > (n - 1) * 4 // 5""",
+)
+
+
 @query(
     "voting_composite",
     with_(
-        "labels_v sides",
-        f"""SELECT symbol, {day('date')}, round(avg(CASE WHEN q = best THEN 1.0 WHEN q = 6 - best THEN -1.0 ELSE 0 END), 6) AS value
-        FROM labels_v JOIN sides USING (factor_id, date) GROUP BY symbol, date""",
+        "labels_v sides outliers",
+        f"""SELECT v.symbol, {day('v.date', 'date')}, round(v.value * CASE WHEN o.symbol IS NULL THEN 1 ELSE 0.5 END, 6) AS value FROM (
+        SELECT symbol, date, avg(CASE WHEN q = best THEN 1.0 WHEN q = 6 - best THEN -1.0 ELSE 0 END) AS value
+        FROM labels_v JOIN sides USING (factor_id, date) GROUP BY symbol, date) v LEFT JOIN outliers o ON o.symbol = v.symbol AND o.date = v.date""",
     ),
 )
 def voting_composite(spark, sf):
-    """The outlier step needs 100 names sharing all factors, more than any date has at this scale; tested apart."""
+    """Votes, halved for the day's outliers; 50 names suffice at this scale."""
     df = B.signals(spark, sf)
-    return shaped(CO.voting_composite(df, B.FACTORS, "fwd_5", width=B.width(spark, sf)))
+    return shaped(CO.voting_composite(df, B.FACTORS, "fwd_5", min_names=50, width=B.width(spark, sf)))
 
 
-@query("voting_outliers")
+@query(
+    "voting_outliers",
+    with_("outliers", f"SELECT symbol, {day('date')}, rank() OVER (PARTITION BY date ORDER BY distance DESC) AS place FROM outliers"),
+)
 def voting_outliers(spark, sf):
-    """Mahalanobis outliers per date, with a lower floor on names; tested against numpy."""
+    """Mahalanobis outliers per date, farthest first; SQL inverts each date's correlations by pivoting.
+
+    Distances are compared by their order: eigenvalues are damped by 1e-6 here, and not there.
+    """
     df = B.signals(spark, sf)
     labels, daily = CO.end_means(df, "fwd_5", B.width(spark, sf))
-    return shaped(CO.distance_outliers(labels, daily, B.FACTORS, 50, B.width(spark, sf)))
+    far = CO.distance_outliers(labels, daily, B.FACTORS, 50, B.width(spark, sf))
+    place = F.rank().over(Window.partitionBy(DATE).orderBy(F.desc("distance")))
+    return shaped(far.select(SYMBOL, DATE, place.alias("place")))
 
 
 @query(

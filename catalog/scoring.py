@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigloom.columns import DATE, FACTOR, SYMBOL, VALUE
-from sigloom.operators import bootstrap as BS, correlation as CR, gates as G, ic as IC, indicators as I, panel as P
+from sigloom.operators import bootstrap as BS, correlation as CR, gates as G, health as H, ic as IC, indicators as I, panel as P
 from sigloom.operators import quintiles as Q, walkforward as WF
 from sigloom.operators.longform import wide_signals
 from sigloom.plans import mining as M
 
 from . import testbed as B
 from .registry import query, shaped
-from .sql import avg_rank, corr, day, part, qlabel, with_
+from .sql import avg_rank, corr, day, inverse_parts, part, qlabel, with_
 
 c = F.col
 
@@ -349,12 +349,23 @@ def factor_pair_alignment(spark, sf):
 
 
 # --- gates, scores, mining -------------------------------------------------
+GATE_DAY = "2000-12-31"
+# A close relative of one factor is already promoted, so that one adds little beside the others.
+part(
+    "gate_snap",
+    ["signals"],
+    f"""SELECT *, rev * rev AS echo FROM (SELECT symbol, {", ".join(f"max(value) FILTER (WHERE factor_id = '{f}') AS {f}" for f in B.FACTORS)}
+        FROM signals WHERE date = (SELECT max(date) FROM signals WHERE date <= DATE '{GATE_DAY}') GROUP BY symbol)
+        WHERE {" AND ".join(f"{f} IS NOT NULL" for f in B.FACTORS)}""",
+)
+_GATE_INV = inverse_parts("gate", "gate_snap", [*B.FACTORS, "echo"])
 part(
     "gate_inputs",
-    ["averages", "abs_corr"],
-    """SELECT v.*, coalesce(m.max_corr, 0) AS max_corr FROM averages v LEFT JOIN (
+    ["averages", "abs_corr", _GATE_INV],
+    f"""SELECT v.*, coalesce(m.max_corr, 0) AS max_corr, round(1 - 1 / d.v, 3) AS r_squared FROM averages v LEFT JOIN (
        SELECT f, max(abs_corr) AS max_corr FROM (SELECT a AS f, abs_corr FROM abs_corr UNION ALL SELECT b, abs_corr FROM abs_corr)
-       GROUP BY f) m ON m.f = v.factor_id""",
+       GROUP BY f) m ON m.f = v.factor_id
+       JOIN {_GATE_INV} d ON d.i = d.j AND [{", ".join(f"'{f}'" for f in B.FACTORS)}][d.i + 1] = v.factor_id""",
 )
 _GATES = [
     ("ic", "round(avg_ic, 4)", "abs(avg_ic) >= 0.01", 0.01),
@@ -362,7 +373,7 @@ _GATES = [
     ("turnover", "round(avg_turnover, 4)", "avg_turnover <= 0.5", 0.5),
     ("monotonicity", "round(avg_monotonicity, 3)", "abs(avg_monotonicity) >= 0.0", 0.0),
     ("correlation", "round(max_corr, 3)", "max_corr < 0.6", 0.6),
-    ("multi_collinearity", "0.0", "TRUE", 0.85),
+    ("multi_collinearity", "round(r_squared, 3)", "r_squared <= 0.85", 0.85),
 ]
 
 
@@ -370,7 +381,11 @@ def gate_inputs(spark, sf):
     pairs = CR.absolute_correlation(B.wide_inputs(spark, sf), B.FACTORS, 0, B.width(spark, sf), against=B.FACTORS)
     worst = CR.largest_correlation(pairs)
     averages = WF.walk_forward(fold_metrics(spark, sf))
-    return averages.join(worst, FACTOR, "left").withColumns({"r_squared": F.lit(0.0), "n_existing": F.lit(5)})
+    signals = B.signals(spark, sf)
+    last = signals.where(c(DATE) <= F.lit(GATE_DAY).cast("date")).agg(F.max(DATE)).first()[0]
+    today = wide_signals(signals.where(c(DATE) == F.lit(last)), B.FACTORS).withColumn("echo", c("rev") * c("rev"))
+    redundancy = H.collinearity_of_all(today, [*B.FACTORS, "echo"]).select(FACTOR, "r_squared")
+    return averages.join(worst, FACTOR, "left").join(redundancy, FACTOR).withColumn("n_existing", F.lit(6))
 
 
 @query(

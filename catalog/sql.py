@@ -106,3 +106,51 @@ part(
     f"""SELECT *, CASE WHEN x IS NOT NULL THEN {avg_rank('x', 'factor_id, date')}
         / count(x) OVER (PARTITION BY factor_id, date) END AS value FROM long_inputs""",
 )
+
+
+def inverse_parts(name: str, source: str, columns: list[str], by: str | None = None) -> str:
+    """Parts that invert the correlation matrix of ``columns`` (of each ``by``); the last has (by, i, j, v). Its name comes back.
+
+    A constant column counts as uncorrelated.
+    """
+    k = len(columns)
+    own = f"{by}, " if by else ""
+    same = "".join(f" AND {x}.{by} = a.{by}" for x in "x") if by else ""
+    cell = lambda i, j, a, b: "1.0" if i == j else f"coalesce({corr(a, b)}, 0)"
+    cells = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': {cell(i, j, a, b)}}}" for i, a in enumerate(columns) for j, b in enumerate(columns))
+    group = f" GROUP BY {by}" if by else ""
+    part(f"{name}_inv0", [source], f"SELECT {own}x.i AS i, x.j AS j, x.v AS v FROM (SELECT {own}unnest([{cells}]) AS x FROM {source}{group})")
+    for p in range(k):
+        was, now = f"{name}_inv{p}", f"{name}_inv{p + 1}"
+        on = lambda t: same.replace("x.", f"{t}.")
+        part(
+            now,
+            [was],
+            f"""SELECT {"a." + own if by else ""}a.i, a.j, CASE WHEN a.i = {p} AND a.j = {p} THEN 1 / d.v WHEN a.i = {p} THEN a.v / d.v WHEN a.j = {p} THEN -a.v / d.v
+                ELSE a.v - r.v * s.v / d.v END AS v FROM {was} a JOIN {was} d ON d.i = {p} AND d.j = {p}{on("d")} JOIN {was} r ON r.i = a.i AND r.j = {p}{on("r")}
+                JOIN {was} s ON s.i = {p} AND s.j = a.j{on("s")}""",
+        )
+    return f"{name}_inv{k}"
+
+
+def eigen_cte(name: str, source: str, columns: list[str], sweeps: int = 8) -> str:
+    """Recursive CTEs for the eigenvalues (one list ``eig``) of the correlation matrix of ``columns``, by cyclic rotations."""
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    cells = ", ".join("1.0::DOUBLE" if a == b else f"corr({a}, {b})" for a in columns for b in columns)
+    at = lambda m, i, j: f"{m}[({i}) * {k} + ({j}) + 1]"
+    turn = lambda m, first, second, i, j, on: (
+        f"CASE WHEN {on} = p THEN c * {at(m, *first)} - s * {at(m, *second)} WHEN {on} = q THEN s * {at(m, *first)} + c * {at(m, *second)} ELSE {at(m, i, j)} END"
+    )
+    i, j = f"(x // {k})", f"(x % {k})"
+    return f"""{name}_rot AS (
+  SELECT 0 AS step, [{cells}] AS a FROM {source}
+  UNION ALL
+  SELECT step + 1, list_transform(range({k * k}), lambda x: {turn('b', ('p', j), ('q', j), i, j, i)}) FROM (
+    SELECT *, list_transform(range({k * k}), lambda x: {turn('a', (i, 'p'), (i, 'q'), i, j, j)}) AS b FROM (
+      SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (
+        SELECT *, CASE WHEN abs({at('a', 'p', 'q')}) < 1e-300 THEN 0 ELSE (CASE WHEN tau < 0 THEN -1 ELSE 1 END) / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (
+          SELECT *, ({at('a', 'q', 'q')} - {at('a', 'p', 'p')}) / (2 * nullif({at('a', 'p', 'q')}, 0)) AS tau FROM (
+            SELECT step, a, {[x for x, _ in pairs]}[step % {len(pairs)} + 1] AS p, {[x for _, x in pairs]}[step % {len(pairs)} + 1] AS q
+            FROM {name}_rot WHERE step < {sweeps * len(pairs)})))))),
+{name} AS (SELECT list_transform(range({k}), lambda x: a[x * {k} + x + 1]) AS eig FROM {name}_rot WHERE step = {sweeps * len(pairs)})"""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
-from . import quintiles as Q, ranking
+from . import moments as MO, quintiles as Q, ranking
 from .longform import wide_signals
 from .panel import beside, by_calendar, trade_dates
 
@@ -114,37 +114,30 @@ def distance_outliers(
 ) -> DataFrame:
     """(symbol, date) beyond the 80th percentile of the Mahalanobis distance among the day's factors.
 
-    Covariances combine map-side into one row per date; only those k-by-k
-    matrices meet numpy.  Distances are then row arithmetic.
+    Covariances are merged as matrices into one row per date; only those k-by-k
+    matrices meet numpy. The distance is a form over two arrays of the row, so
+    the plan's size grows with k, not with its square.
     """
     k = len(factors)
     # Absent factors of a date (no usable quantiles that day) drop out by counting as zero throughout.
     present = daily.groupBy(DATE).agg(
         *[F.max(F.when(c(FACTOR) == f, 1).otherwise(0)).alias(f"_on{i}") for i, f in enumerate(factors)]
     )
-    wide = wide_signals(labels, factors).join(by_calendar(present), DATE)
+    wide = wide_signals(labels, factors).join(present, DATE)
     filled = [F.when(c(f"_on{i}") == 1, c(f)).otherwise(0.0) for i, f in enumerate(factors)]
     rows = wide.select(SYMBOL, DATE, *[x.alias(f) for x, f in zip(filled, factors)]).dropna(subset=factors)
-    stats = rows.groupBy(DATE).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(factors)],
-        *[F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(factors)],
-        *[F.covar_pop(factors[i], factors[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)],
-    ).where(c("_n") >= min_names)
-    cell = lambda i, j: c(f"_c{min(i, j)}_{max(i, j)}") / ((c(f"_s{i}") + 1e-12) * (c(f"_s{j}") + 1e-12))
-    flat = F.array(*[cell(i, j) for i in range(k) for j in range(k)])
-    stats = stats.select(
-        DATE, *[f"_m{i}" for i in range(k)], *[f"_s{i}" for i in range(k)],
-        _whitening(flat, k).alias("_w"),
-    ).where(c("_w").isNotNull())
-    z = F.array(*[(c(f) - c(f"_m{i}")) / (c(f"_s{i}") + 1e-12) for i, f in enumerate(factors)])
-    form: Column = F.lit(0.0)
-    for i in range(k):
-        for j in range(k):
-            form = form + c("_z")[i] * c("_z")[j] * c("_w")[i * k + j]
-    measured = rows.join(by_calendar(stats), DATE).withColumn("_z", z).select(
-        SYMBOL, DATE, F.sqrt(F.greatest(form, F.lit(0.0))).alias("distance")
-    )
+    stats = MO.grouped_moments(rows, factors, DATE).where(c("n") >= min_names)
+    sd = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sqrt(F.greatest(F.get("cov", i * (k + 1)), F.lit(0.0))))
+    stats = stats.withColumn("sd", sd)
+    cell = lambda v, i: v / ((F.get("sd", F.floor(i / k).cast("int")) + 1e-12) * (F.get("sd", i % k) + 1e-12))
+    stats = stats.select(DATE, "mean", "sd", _whitening(F.transform("cov", cell), k).alias("_w")).where(c("_w").isNotNull())
+    z = F.zip_with(F.zip_with(F.array(*factors), "mean", lambda x, m: x - m), "sd", lambda x, s: x / (s + 1e-12))
+    measured = rows.join(stats, DATE).select(SYMBOL, DATE, z.alias("_z"), "_w")
+    add = lambda a, b: a + b
+    place = F.sequence(F.lit(0), F.lit(k - 1))
+    inner = lambda i: F.aggregate(F.zip_with("_z", F.slice("_w", i * k + 1, F.lit(k)), lambda x, w: x * w), F.lit(0.0), add)
+    form = F.aggregate(place, F.lit(0.0), lambda total, i: total + F.get("_z", i) * inner(i))
+    measured = measured.select(SYMBOL, DATE, F.sqrt(F.greatest(form, F.lit(0.0))).alias("distance"))
     ranked = ranking.order_stats(measured, [DATE], "distance", "d", width)
     return ranked.where(c("d_below") > F.floor((c("d_n") - 1) * 4 / 5)).select(SYMBOL, DATE, "distance")
 

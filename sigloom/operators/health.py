@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL
 from ..functions.scalar import ratio
+from . import moments as MO
+from .panel import beside
 
 c = F.col
 
@@ -92,27 +94,10 @@ def directions(k: int, n: int = 200, seed: int = 42) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def _moments(wide: DataFrame, factors: list[str]):
-    """Complete rows only: n, means, population deviations and correlations, in one aggregate.
-
-    What comes back is k + k + k(k-1)/2 numbers, k factors.
-    """
-    rows = wide.dropna(subset=factors)
-    k = len(factors)
-    up = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    got = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(factors)],
-        *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(factors)],
-        *[F.covar_pop(factors[i], factors[j]).alias(f"c{i}_{j}") for i, j in up],
-    ).first()
-    n = int(got["n"])
-    mean = np.array([got[f"m{i}"] or 0.0 for i in range(k)])
-    sd = np.array([got[f"s{i}"] or 0.0 for i in range(k)])
-    cov = np.diag((sd / (sd + 1e-12)) ** 2)
-    for i, j in up:
-        cov[i, j] = cov[j, i] = (got[f"c{i}_{j}"] or 0.0) / ((sd[i] + 1e-12) * (sd[j] + 1e-12))
-    return rows, n, mean, sd, cov
+def standardised(n: int, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Population deviations, and the covariances of the values divided by them."""
+    sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    return sd, cov / np.outer(sd + 1e-12, sd + 1e-12)
 
 
 def effective_count(cov: np.ndarray) -> float:
@@ -131,61 +116,127 @@ DIVERSITY_SCHEMA = (
 
 
 def factor_diversity(wide: DataFrame, factors: list[str], projections: int = 200, seed: int = 42) -> DataFrame:
-    """How spread out a factor set is on one date (wide: one row per symbol); one row out.
+    """How spread out a factor set is on one date (wide: one row per symbol); one row out."""
+    return diversity_of_sets(wide, {"all": factors}, projections, seed).drop("name")
+
 
-    Each row is projected on every direction and combined map-side into one
-    group per direction, so nothing but those groups is shuffled.
+def diversity_of_sets(wide: DataFrame, sets: dict[str, list[str]], projections: int = 200, seed: int = 42) -> DataFrame:
+    """``factor_diversity`` of several sets of factors at once: a row per named set, over rows that have all of them.
+
+    One matrix of moments serves all sets. Each row is projected on every
+    direction of every set and combined map-side into one group per set and
+    direction, so nothing but those groups is shuffled.
     """
-    spark, k = wide.sparkSession, len(factors)
-    if k < 3:
-        return spark.createDataFrame([(1.0, float(k), k, False, None, None, None)], DIVERSITY_SCHEMA)
-    rows, n, mean, sd, cov = _moments(wide, factors)
+    spark = wide.sparkSession
+    schema = f"name string, {DIVERSITY_SCHEMA}"
+    few = [(x, 1.0, float(len(f)), len(f), False, None, None, None) for x, f in sets.items() if len(f) < 3]
+    sets = {x: f for x, f in sets.items() if len(f) >= 3}
+    factors = list(dict.fromkeys(f for own in sets.values() for f in own))
+    if not sets:
+        return spark.createDataFrame(few, schema)
+    n, mean, covariances = MO.moment_matrix(wide, factors)
     if n < 50:
-        return spark.createDataFrame([(0.5, float(k), k, False, None, None, None)], DIVERSITY_SCHEMA)
-    n_eff = effective_count(cov)
+        return spark.createDataFrame(few + [(x, 0.5, float(len(f)), len(f), False, None, None, None) for x, f in sets.items()], schema)
+    sd, cov = standardised(n, covariances)
+    table, facts = [], []
+    for name, own in sets.items():
+        at = [factors.index(f) for f in own]
+        part = cov[np.ix_(at, at)]
+        dirs = directions(len(own), projections, seed)
+        spread = np.sqrt(np.einsum("dk,kl,dl->d", dirs, part, dirs))
+        full = np.zeros((len(dirs), len(factors)))
+        full[:, at] = dirs
+        table += [(name, d.tolist(), float(s)) for d, s in zip(full, spread)]
+        n_eff = effective_count(part)
+        facts.append((name, round(n_eff, 1), len(own), bool(n_eff < len(own) * 0.5)))
     z = F.array(*[(c(f) - float(mean[i])) / float(sd[i] + 1e-12) for i, f in enumerate(factors)])
-    dirs = directions(k, projections, seed)
-    spread = np.sqrt(np.einsum("dk,kl,dl->d", dirs, cov, dirs))
-    table = F.lit([[*map(float, d), float(s)] for d, s in zip(dirs, spread)])
-    projected = rows.select(z.alias("z"), F.posexplode(table).alias("direction", "d")).select(
-        "direction",
-        F.element_at("d", -1).alias("sd"),
-        F.aggregate(F.zip_with("z", F.slice("d", 1, k), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("p"),
-    )
-    per_direction = projected.groupBy("direction").agg(
+    rows = wide.dropna(subset=factors)
+    dot = F.aggregate(F.zip_with("z", "d", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    every = F.inline(F.array(*[F.struct(F.lit(x).alias("name"), F.lit(d).alias("d"), F.lit(s).alias("sd"), F.lit(i).alias("direction")) for i, (x, d, s) in enumerate(table)]))
+    projected = rows.select(z.alias("z"), every).select("name", "direction", "sd", dot.alias("p"))
+    per_direction = projected.groupBy("name", "direction").agg(
         F.max("sd").alias("sd"), _distance(F.count(F.lit(1)), ratio(c("p"), c("sd"))).alias("d")
-    ).select(F.when(c("sd") < 1e-12, 999.0).otherwise(c("d")).alias("ep"))
-    return per_direction.agg(
+    ).select("name", F.when(c("sd") < 1e-12, 999.0).otherwise(c("d")).alias("ep"))
+    scores = per_direction.groupBy("name").agg(
         F.avg("ep").alias("m"), F.percentile("ep", F.lit(0.5)).alias("p50"), F.percentile("ep", F.lit(0.95)).alias("p95")
-    ).select(
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - c("m") / 2.0)), 3).alias("diversity_score"),
-        F.lit(round(n_eff, 1)).alias("n_effective"),
-        F.lit(k).alias("n_total"),
-        F.lit(bool(n_eff < k * 0.5)).alias("cluster_warning"),
-        F.round("m", 3).alias("mean_ep"),
-        F.round("p50", 3).alias("ep_median"),
-        F.round("p95", 3).alias("ep_p95"),
     )
+    facts = spark.createDataFrame(facts, "name string, n_effective double, n_total int, cluster_warning boolean")
+    out = scores.join(facts, "name").select(
+        "name",
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - c("m") / 2.0)), 3).alias("diversity_score"),
+        "n_effective", "n_total", "cluster_warning",
+        F.round("m", 3).alias("mean_ep"), F.round("p50", 3).alias("ep_median"), F.round("p95", 3).alias("ep_p95"),
+    )
+    return out.unionByName(spark.createDataFrame(few, schema)) if few else out
+
+
+COLLINEARITY_SCHEMA = f"{FACTOR} string, r_squared double, is_redundant boolean, top array<struct<factor:string,beta:double>>"
+
+
+def _regressed(cov: np.ndarray, i: int) -> tuple[float, np.ndarray]:
+    """R² and coefficients of column i on all the others."""
+    rest = np.arange(len(cov)) != i
+    gram, cross = cov[np.ix_(rest, rest)], cov[rest, i]
+    beta = np.linalg.lstsq(gram, cross, rcond=1e-12)[0]
+    return (float((2 * beta @ cross - beta @ gram @ beta) / cov[i, i]) if cov[i, i] > 0 else 0.0), beta
+
+
+def leave_one_out(cov: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """R² and coefficients of every column on all the others, from one inverse.
+
+    Where the matrix is close to singular the columns are solved one by one.
+    """
+    if len(cov) > 1 and np.diag(cov).min() > 0 and np.linalg.cond(cov) < 1e8:
+        inverse = np.linalg.inv(cov)
+        own = np.diag(inverse)
+        return [(1 - 1 / (cov[i, i] * own[i]), np.delete(-inverse[i] / own[i], i)) for i in range(len(cov))]
+    return [_regressed(cov, i) for i in range(len(cov))]
+
+
+def _verdict(candidate: str, existing: list[str], r2: float, beta: np.ndarray, threshold: float) -> tuple:
+    top = sorted(zip(existing, np.abs(beta)), key=lambda kv: -kv[1])[:3]
+    return candidate, round(float(r2), 3), bool(r2 > threshold), [(f, round(float(b), 3)) for f, b in top]
 
 
 def collinearity(wide: DataFrame, candidate: str, existing: list[str], threshold: float = 0.85) -> DataFrame:
     """R² of the candidate on all existing factors together, with the three largest coefficients.
 
-    Normal equations from one aggregate; the solve is k by k.
+    One matrix of moments in one job; the solve is k by k.
     """
-    spark = wide.sparkSession
-    schema = f"{FACTOR} string, r_squared double, is_redundant boolean, top array<struct<factor:string,beta:double>>"
-    if not existing:
-        return spark.createDataFrame([(candidate, 0.0, False, [])], schema)
-    _, n, _, _, cov = _moments(wide, [candidate, *existing])
+    n, _, cov = MO.moment_matrix(wide, [candidate, *existing]) if existing else (0, None, None)
     if n < 50:
-        return spark.createDataFrame([(candidate, 0.0, False, [])], schema)
-    gram, cross = cov[1:, 1:], cov[1:, 0]
-    beta = np.linalg.lstsq(gram, cross, rcond=1e-12)[0]
-    r2 = float((2 * beta @ cross - beta @ gram @ beta) / cov[0, 0]) if cov[0, 0] > 0 else 0.0
-    top = sorted(zip(existing, np.abs(beta)), key=lambda kv: -kv[1])[:3]
-    rows = [(candidate, round(r2, 3), r2 > threshold, [(f, round(float(b), 3)) for f, b in top])]
-    return spark.createDataFrame(rows, schema)
+        return wide.sparkSession.createDataFrame([(candidate, 0.0, False, [])], COLLINEARITY_SCHEMA)
+    r2, beta = _regressed(standardised(n, cov)[1], 0)
+    return wide.sparkSession.createDataFrame([_verdict(candidate, existing, r2, beta, threshold)], COLLINEARITY_SCHEMA)
+
+
+def collinearity_of_all(wide: DataFrame, factors: list[str], threshold: float = 0.85) -> DataFrame:
+    """``collinearity`` of each factor against all the others: one job and one inverse, however many factors."""
+    n, _, cov = MO.moment_matrix(wide, factors) if len(factors) > 1 else (0, None, None)
+    if n < 50:
+        rows = [(f, 0.0, False, []) for f in factors]
+    else:
+        solved = leave_one_out(standardised(n, cov)[1])
+        rows = [_verdict(f, [x for x in factors if x != f], r2, beta, threshold) for f, (r2, beta) in zip(factors, solved)]
+    return wide.sparkSession.createDataFrame(rows, COLLINEARITY_SCHEMA)
+
+
+def candidate_checks(wide: DataFrame, factors: list[str]) -> DataFrame:
+    """What the penalties need about each factor as a candidate beside all the others, on one date.
+
+    (factor_id, r_squared, is_redundant, diversity_before, diversity_after,
+    cluster_warning, n_effective, n_total). Fewer than three others make no
+    redundancy.
+    """
+    sets = {f: [x for x in factors if x != f] for f in factors}
+    reports = diversity_of_sets(wide, sets | {"*": factors})
+    after = reports.where("name = '*'").select(c("diversity_score").alias("diversity_after"), "cluster_warning", "n_effective", "n_total")
+    before = reports.where("name <> '*'").select(c("name").alias(FACTOR), c("diversity_score").alias("diversity_before"))
+    if len(factors) > 3:
+        redundancy = collinearity_of_all(wide, factors).drop("top")
+    else:
+        redundancy = before.select(FACTOR, F.lit(0.0).alias("r_squared"), F.lit(False).alias("is_redundant"))
+    return beside(redundancy.join(before, FACTOR), after)
 
 
 def latest_snapshot(df: DataFrame, at_least: int = 25) -> DataFrame:

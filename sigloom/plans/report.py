@@ -55,11 +55,7 @@ def market_diagnostics(df: DataFrame, target: str = "fwd_5", min_days: int = 80,
 
 def redundancy_report(wide: DataFrame, factors: list[str]) -> DataFrame:
     """Each factor against all the others on one date (wide: a row per symbol)."""
-    out = None
-    for f in factors:
-        row = H.collinearity(wide, f, [x for x in factors if x != f])
-        out = row if out is None else out.unionByName(row)
-    return out
+    return H.collinearity_of_all(wide, factors)
 
 
 def compare_methods(

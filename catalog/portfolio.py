@@ -125,7 +125,7 @@ part(
     ["filled", _DAY_INV],
     f"""SELECT symbol, date, distance FROM (
         SELECT *, rank() OVER (PARTITION BY date ORDER BY distance) - 1 AS below, count(*) OVER (PARTITION BY date) AS n FROM (
-          SELECT symbol, z.date, sqrt(greatest(sum(z[v.i + 1] * z[v.j + 1] * v.v), 0)) AS distance
+          SELECT symbol, z.date, round(sqrt(greatest(sum(z[v.i + 1] * z[v.j + 1] * v.v), 0)), 9) AS distance
           FROM (SELECT symbol, date, [{_ZS}] AS z FROM filled WINDOW d AS (PARTITION BY date)) z JOIN {_DAY_INV} v ON v.date = z.date GROUP BY symbol, z.date))
         WHERE below > (n - 1) * 4 // 5""",
 )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
 from . import moments as MO, quintiles as Q, ranking
-from .longform import wide_signals
 from .panel import beside, by_calendar, trade_dates
 
 c = F.col
@@ -120,24 +119,24 @@ def distance_outliers(
     """
     k = len(factors)
     # Absent factors of a date (no usable quantiles that day) drop out by counting as zero throughout.
-    present = daily.groupBy(DATE).agg(
-        *[F.max(F.when(c(FACTOR) == f, 1).otherwise(0)).alias(f"_on{i}") for i, f in enumerate(factors)]
-    )
-    wide = wide_signals(labels, factors).join(present, DATE)
-    filled = [F.when(c(f"_on{i}") == 1, c(f)).otherwise(0.0) for i, f in enumerate(factors)]
-    rows = wide.select(SYMBOL, DATE, *[x.alias(f) for x, f in zip(filled, factors)]).dropna(subset=factors)
-    stats = MO.grouped_moments(rows, factors, DATE).where(c("n") >= min_names)
+    present = daily.groupBy(DATE).agg(F.collect_set(FACTOR).alias("_on"))
+    values = labels.groupBy(SYMBOL, DATE).agg(F.map_from_entries(F.collect_set(F.struct(FACTOR, VALUE))).alias("_of"))
+    filled = F.transform(F.lit(factors), lambda f: F.when(F.array_contains("_on", f), F.try_element_at("_of", f)).otherwise(0.0))
+    rows = values.join(present, DATE).select(SYMBOL, DATE, filled.alias("x"))
+    rows = rows.where(F.forall("x", lambda v: v.isNotNull()))
+    stats = MO.grouped_moments(rows, c("x"), k, DATE).where(c("n") >= min_names)
     sd = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sqrt(F.greatest(F.get("cov", i * (k + 1)), F.lit(0.0))))
-    stats = stats.withColumn("sd", sd)
+    stats = stats.select(DATE, "mean", "cov", sd.alias("sd"))
     cell = lambda v, i: v / ((F.get("sd", F.floor(i / k).cast("int")) + 1e-12) * (F.get("sd", i % k) + 1e-12))
     stats = stats.select(DATE, "mean", "sd", _whitening(F.transform("cov", cell), k).alias("_w")).where(c("_w").isNotNull())
-    z = F.zip_with(F.zip_with(F.array(*factors), "mean", lambda x, m: x - m), "sd", lambda x, s: x / (s + 1e-12))
-    measured = rows.join(stats, DATE).select(SYMBOL, DATE, z.alias("_z"), "_w")
+    z = F.zip_with(F.zip_with("x", "mean", lambda x, m: x - m), "sd", lambda x, s: x / (s + 1e-12))
     add = lambda a, b: a + b
-    place = F.sequence(F.lit(0), F.lit(k - 1))
-    inner = lambda i: F.aggregate(F.zip_with("_z", F.slice("_w", i * k + 1, F.lit(k)), lambda x, w: x * w), F.lit(0.0), add)
-    form = F.aggregate(place, F.lit(0.0), lambda total, i: total + F.get("_z", i) * inner(i))
-    measured = measured.select(SYMBOL, DATE, F.sqrt(F.greatest(form, F.lit(0.0))).alias("distance"))
+    # z'w is one array; its product with z the squared distance.
+    row = lambda i: F.aggregate(F.zip_with("_z", F.slice("_w", i * k + 1, F.lit(k)), lambda x, w: x * w), F.lit(0.0), add)
+    form = F.aggregate(F.transform("_z", lambda x, i: x * row(i)), F.lit(0.0), add)
+    measured = rows.join(stats, DATE).select(SYMBOL, DATE, z.alias("_z"), "_w")
+    # Rounded, so that distances that are equal but for the order of summing tie.
+    measured = measured.select(SYMBOL, DATE, F.round(F.sqrt(F.greatest(form, F.lit(0.0))), 9).alias("distance"))
     ranked = ranking.order_stats(measured, [DATE], "distance", "d", width)
     return ranked.where(c("d_below") > F.floor((c("d_n") - 1) * 4 / 5)).select(SYMBOL, DATE, "distance")
 

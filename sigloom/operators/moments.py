@@ -77,17 +77,17 @@ def _merged(key: str):
     return run
 
 
-def grouped_moments(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """(key, n, mean, cov) of the rows with all ``columns``: a list of k means, and k * k population covariances in rows.
+def grouped_moments(df: DataFrame, x: Column, k: int, key: str) -> DataFrame:
+    """(key, n, mean, cov) of the rows whose array ``x`` has ``k`` values: k means, and k * k population covariances in rows.
 
     A task merges its rows into one matrix per key, some of a key's matrices
     meet in each of FAN_IN groups, and those meet at last; the plan's size
-    does not depend on k * k. Rows without a key are left out.
+    does not depend on k. Rows without a key or with a missing value are left out.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n bigint, mean array<double>, spread array<double>"
-    rows = df.dropna(subset=[key, *columns]).select(key, F.array(*[F.col(x).cast("double") for x in columns]).alias("x"))
-    out = rows.mapInArrow(_partial(key, len(columns)), schema)
+    rows = df.select(key, x.alias("x")).where(F.col(key).isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+    out = rows.mapInArrow(_partial(key, k), schema)
     deal = F.pmod(F.spark_partition_id(), F.lit(FAN_IN))
     out = out.withColumn("_deal", deal).repartition(key, "_deal").drop("_deal").sortWithinPartitions(key).mapInArrow(_merged(key), schema)
     out = out.repartition(key).sortWithinPartitions(key).mapInArrow(_merged(key), schema)
@@ -97,7 +97,8 @@ def grouped_moments(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 def moment_matrix(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, population covariances) of the rows with all ``columns``: one job, k * k + k + 1 numbers back."""
     k = len(columns)
-    got = grouped_moments(df.withColumn("_all", F.lit(0)), columns, "_all").first()
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    got = grouped_moments(df.withColumn("_all", F.lit(0)), x, k, "_all").first()
     if got is None:
         return 0, np.zeros(k), np.zeros((k, k))
     return int(got["n"]), np.array(got["mean"]), np.array(got["cov"]).reshape(k, k)

@@ -22,7 +22,7 @@ def frame(spark, n, k, groups=1, seed=0):
 def test_grouped_moments_match_numpy(spark, monkeypatch, held):
     monkeypatch.setattr(MO, "HELD", held)
     df, data, names = frame(spark, 500, 4, groups=3)
-    got = {r["g"]: r for r in MO.grouped_moments(df.unionByName(df.limit(5).withColumn("x0", F.lit(None).cast("double"))), names, "g").collect()}
+    got = {r["g"]: r for r in MO.grouped_moments(df.unionByName(df.limit(5).withColumn("x0", F.lit(None).cast("double"))), F.array(*names), 4, "g").collect()}
     assert set(got) == {0, 1, 2}
     for g, own in data.groupby("g"):
         assert got[g]["n"] == len(own)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import split_join, stored
+from .shared import discard, split_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         large = stored(_star(now.union(now.select("v", "u")).toDF("u", "v"), larger=True))
-        now, before = stored(_star(large, larger=False)), mark
+        after, before = stored(_star(large, larger=False)), mark
+        discard(now, large)
+        now = after
         mark = _mark(now)
         if mark == before:
             break

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, HOT_LEAST, split_join, stored
+from .shared import BROADCAST_ROWS, HOT_LEAST, discard, split_join, stored
 from .words import shingle_sets, small_batches
 
 WIDTH = 4
@@ -379,6 +379,7 @@ class Join:
         close = stored(close.mapInArrow(close_pairs(self.num, self.den), "x long, y long"))
         whole = self.with_sets(close, close.count(), ("tokens",)).select("x", "y", "x_tokens", "y_tokens")
         new = stored(whole.mapInArrow(overlaps, "x long, y long, x_size long, y_size long, shared long"))
+        discard(close)
         self.answers = new if self.answers is None else self.answers.union(new)
         return new.where(self.links()).count()
 
@@ -439,9 +440,11 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     pairs = stored(favourite(stars.where(state.possible("x", "y"))))
     state.verify(pairs, pairs.count())
     comps = state.components()
-    lists = lists.select("token", "sid", "size", "place")
+    lists, was = lists.select("token", "sid", "size", "place"), lists
     while True:
-        lists = stored(labelled(lists, comps))
+        now = stored(labelled(lists, comps))
+        discard(was)
+        lists = was = now
         # The largest component of each list, and its set of least place.
         main = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
         most = main.groupBy("token").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -460,16 +463,18 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         tried = pairs.count()
         found = state.verify(pairs, tried) if tried else 0
         if found:
-            comps = state.components()
+            comps, old = state.components(), comps
+            discard(old)
         if found * STAR_YIELD < tried or not tried:
             break
+        discard(main, strays)
 
     # What is left: sets outside their list's main component against all sets of the list.
     marks = sets.select("sid", "sketch").dropDuplicates(["sid"])
-    rows = stored(rows.join(marks, "sid"))
+    marked = stored(rows.join(marks, "sid"))
     # A long list is a grid of parts of its entries by parts of its probes.
     pieces = {"across": F.col("n") / LIST_PART, "down": (F.col("n") - F.col("most")) / PROBES}
-    rows = rows.join(main.select("token", *[F.ceil(x).cast("int").alias(k) for k, x in pieces.items()]), "token")
+    rows = marked.join(main.select("token", *[F.ceil(x).cast("int").alias(k) for k, x in pieces.items()]), "token")
     part = lambda k: F.pmod(F.xxhash64("sid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     entries = rows.select("*", F.lit(0).alias("probe"), part("across").alias("i"), every("down").alias("j"))
@@ -478,11 +483,14 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     both = [x.select("token", chunk, "probe", "sid", "comp", "size", "place", "sketch") for x in (entries, probes)]
     both = both[0].union(both[1]).repartition("token", "chunk").sortWithinPartitions("token", "chunk", "probe", "size", "place")
     met = both.mapInArrow(match_lists(num, den), "x long, y long, x_size long, y_size long, apart long").distinct()
-    left = stored(state.untried(stored(met)))
+    # A pair is an answer's or open by what is known of it and a pivot, before it is written.
+    found = stored(state.untried(met))
+    discard(marked, main, was, strays)
     x, y = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
-    left = stored(state.underived(left).select(x, y, "apart").distinct())
+    left = stored(state.underived(found).select(x, y, "apart").distinct())
+    discard(found)
     # One link joins a component to another, so each one's closest pair is tried first, then more and more of them.
-    take = 1
+    take, held = 1, left
     while True:
         between = left
         for side, name in (("x", "a"), ("y", "b")):
@@ -497,7 +505,11 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         if not n:
             return comps
         if state.verify(pairs, n):
-            comps = state.components()
+            comps, old = state.components(), comps
+            discard(old)
+        # What one round has tried or joined needs no other look.
+        discard(held)
+        left, held = between.drop("a", "b"), between
         take *= TRY_MORE
 
 

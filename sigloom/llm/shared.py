@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,7 +35,25 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more, and let Spark drop the shuffle files of plans that are gone.
+
+    For rounds of an iteration: their tables would else stay until the cluster clears the folder.
+    """
+    jvm = None
+    for table in tables:
+        if path := getattr(table, "stored_at", None):
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    if jvm:
+        gc.collect()
+        jvm.System.gc()
 
 
 def small_join(rows: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigloom.columns import DATE, FACTOR, SYMBOL, VALUE
-from sigloom.operators import feedback as FB, health as H, ic as IC, lifecycle as L, quintiles as Q
+from sigloom.operators import feedback as FB, health as H, ic as IC, lifecycle as L, panel as P
+from sigloom.plans import lifecycle as LP, mining as M
 from sigloom.session import cut
 from sigloom.sources import logs as LG, tables as ST
 
@@ -21,20 +22,8 @@ TODAY = "2001-06-01"
 
 
 # --- registry built from the factors' own metrics --------------------------
-def horizon_signals(spark, sf):
-    """(factor, horizon, symbol, date, value, fwd): one row per horizon, unpivoted, no join."""
-    df = B.signals(spark, sf, targets=("fwd_7", "fwd_14", "fwd_30"))
-    hs = F.array(*[F.struct(F.lit(h).alias("horizon"), c(f"fwd_{h}").alias("fwd")) for h in (7, 14, 30)])
-    return df.select(FACTOR, SYMBOL, DATE, VALUE, F.inline(hs))
-
-
 def horizon_metrics(spark, sf):
-    by = [FACTOR, "horizon"]
-    pairs = Q.labelled(horizon_signals(spark, sf), "fwd", by, B.width(spark, sf))
-    days = cut(Q.daily_scores(pairs, "fwd", by))
-    ic = IC.ic_summary(days.where(c("ic").isNotNull()), by)
-    rows = days.groupBy(*by).agg(F.sum("n_stocks").alias("rows"))
-    return rows.join(ic, by).join(Q.quintile_returns(days, by).drop("n_days"), by)
+    return LP.horizon_metrics(B.signals(spark, sf, targets=("fwd_7", "fwd_14", "fwd_30")), width=B.width(spark, sf))
 
 
 def multi_horizon(spark, sf):
@@ -244,6 +233,86 @@ def health_transition(spark, sf):
     return shaped(transitions(spark, sf).drop("health_watch_count", "retire_reason_after"))
 
 
+# --- health over a span of days --------------------------------------------
+part("asof_days", ["daynos"], "SELECT date AS as_of, no AS as_no FROM daynos ORDER BY no DESC LIMIT 20")
+part(
+    "facing_asof",
+    ["facing_ic", "daynos", "asof_days"],
+    "SELECT factor_id || '|' || as_no AS factor_id, date, ic FROM facing_ic JOIN daynos USING (date) JOIN asof_days ON no <= as_no - 5",
+)
+part("asof_parts", ["facing_asof"], PARTS["ic_parts"][1].replace("FROM ic)", "FROM facing_asof)"))
+part("asof_ep", ["asof_parts"], ep_sql("asof_parts", "factor_id, part"))
+part("asof_health", ["asof_parts", "asof_ep"], PARTS["health"][1].replace("ic_parts", "asof_parts").replace("ic_ep", "asof_ep"))
+part(
+    "rolling20",
+    ["pairs", "watched"],
+    f"""SELECT factor_id, date, CASE WHEN sum(n) OVER w >= 100 THEN coalesce(avg(ic) OVER w, 0) ELSE 0 END AS rolling FROM (
+        SELECT factor_id, date, count(*) AS n, CASE WHEN count(*) >= 10 THEN {corr('rv', 'rf')} * any_value(CASE WHEN direction = 'short' THEN -1 ELSE 1 END) END AS ic
+        FROM (SELECT p.factor_id, p.date, w.direction, {avg_rank('p.value', 'p.factor_id, p.date')} AS rv, {avg_rank('p.fwd', 'p.factor_id, p.date')} AS rf
+          FROM pairs p JOIN watched w USING (factor_id)) GROUP BY factor_id, date)
+        WINDOW w AS (PARTITION BY factor_id ORDER BY date ROWS 19 PRECEDING)""",
+)
+part(
+    "day_checks",
+    ["rolling20", "daynos", "asof_days", "asof_health"],
+    f"""SELECT r.*, {_SCORE} AS health_score, {_CHANGE} AS regime_change FROM (
+        SELECT factor_id, as_no, any_value(as_of) AS as_of, arg_max(rolling, no) AS rolling_ic_20d FROM rolling20 JOIN daynos USING (date) JOIN asof_days ON no <= as_no - 5
+        GROUP BY factor_id, as_no) r JOIN asof_health h ON h.factor_id = r.factor_id || '|' || as_no""",
+)
+part(
+    "steps",
+    ["day_checks"],
+    """SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY as_no) AS step, rolling_ic_20d < 0.005 OR health_score < 0.45 OR regime_change AS sick,
+       rolling_ic_20d >= 0.01 AND health_score >= 0.65 AND NOT regime_change AS well FROM day_checks""",
+)
+
+
+@query(
+    "health_path",
+    with_("watched steps", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""",
+path AS (
+  SELECT factor_id, 0::BIGINT AS step, NULL::DATE AS as_of, 0.0::DOUBLE AS ic, status AS before, status AS after, health_watch_count::BIGINT AS n FROM watched
+  UNION ALL
+  SELECT p.factor_id, s.step, s.as_of, s.rolling_ic_20d, p.after,
+    CASE WHEN p.after = 'promoted' AND sick AND n + 1 >= 5 THEN 'watchlist' WHEN p.after = 'watchlist' AND well THEN 'promoted'
+      WHEN p.after = 'watchlist' AND n + 1 >= 10 THEN 'retired' ELSE p.after END,
+    CASE WHEN (p.after = 'promoted' AND NOT sick) OR (p.after = 'watchlist' AND well) THEN 0 ELSE n + 1 END
+  FROM path p JOIN steps s ON s.factor_id = p.factor_id AND s.step = p.step + 1 WHERE p.after IN ('promoted', 'watchlist'))
+SELECT factor_id, {day('as_of')}, round(ic, 6) AS rolling_ic_20d, before AS status_before, after AS status_after, n AS watch_count_after FROM path WHERE step > 0""",
+)
+def health_path(spark, sf):
+    """Twenty days of checks folded in one job."""
+    dates = P.trade_dates(B.panel(spark, sf))
+    return shaped(LP.caught_up(B.signals(spark, sf), registry(spark, sf), dates, width=B.width(spark, sf)))
+
+
+LIVE = {"live_a": "rank(-delta(close, 3))", "live_b": "rank(ts_mean(volume, 10))", "live_c": "rank(-ts_std(ret_1d, 20))", "live_d": "rank(ret_20d)"}
+
+
+def live_registry(spark, sf):
+    """A registry of formulas that can be evaluated."""
+    rows = [(i, f, "us", "watchlist" if i == "live_d" else "promoted", "long", 3) for i, f in LIVE.items()]
+    df = spark.createDataFrame(rows, f"{FACTOR} string, formula string, market string, status string, direction string, health_watch_count int")
+    return ST.conformed(df, "factor_registry")
+
+
+def live_panel(spark, sf):
+    return B.featured(spark, sf, spread=True).withColumns({f"fwd_{h}": P.forward_return(h) for h in (5, *LP.HORIZONS)})
+
+
+@query("daily_lifecycle")
+def daily_lifecycle(spark, sf):
+    """One whole day over the grid's twenty-bar ranks of volume: the registry afterwards. Its steps have checked queries; the chain is tested."""
+    grid = [x for x in M.factor_grid() if len(x.inners) == 1 and "volume" in x.formula and "20" in x.formula]
+    day_ = F.lit("2001-06-01").cast("date")
+    out = LP.daily_lifecycle(
+        live_panel(spark, sf), grid, live_registry(spark, sf), ST.feedback_source(postmortem(spark, sf)), day_,
+        F.lit(NOW).cast("timestamp"), "us", resamples=2000, width=B.width(spark, sf),
+    )
+    return shaped(out["registry"].select(FACTOR, "formula", "direction", "status", "composite_score", "health_watch_count"))
+
+
 @query(
     "health_log",
     with_("moves", f"SELECT '{TODAY}' AS date, factor_id, round(rolling_ic_20d, 6) AS rolling_ic_20d, status AS status_before, status_after FROM moves"),

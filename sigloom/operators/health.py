@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..columns import DATE, FACTOR, SYMBOL
 from ..functions.scalar import ratio
 from . import moments as MO
-from .panel import beside
 
 c = F.col
 
@@ -221,22 +220,40 @@ def collinearity_of_all(wide: DataFrame, factors: list[str], threshold: float =
     return wide.sparkSession.createDataFrame(rows, COLLINEARITY_SCHEMA)
 
 
-def candidate_checks(wide: DataFrame, factors: list[str]) -> DataFrame:
-    """What the penalties need about each factor as a candidate beside all the others, on one date.
+def candidate_checks(wide: DataFrame, factors: list[str], promoted: list[str] | None = None) -> DataFrame:
+    """What the penalties need about each factor as a candidate beside the ``promoted`` ones (None: all the others), on one date.
 
     (factor_id, r_squared, is_redundant, diversity_before, diversity_after,
-    cluster_warning, n_effective, n_total). Fewer than three others make no
-    redundancy.
+    cluster_warning, n_effective, n_total). Rows that have all factors count,
+    so one matrix of moments and one job of projections serve all candidates.
+    Fewer than three others make no redundancy and a full diversity before.
     """
-    sets = {f: [x for x in factors if x != f] for f in factors}
-    reports = diversity_of_sets(wide, sets | {"*": factors})
-    after = reports.where("name = '*'").select(c("diversity_score").alias("diversity_after"), "cluster_warning", "n_effective", "n_total")
-    before = reports.where("name <> '*'").select(c("name").alias(FACTOR), c("diversity_score").alias("diversity_before"))
-    if len(factors) > 3:
-        redundancy = collinearity_of_all(wide, factors).drop("top")
-    else:
-        redundancy = before.select(FACTOR, F.lit(0.0).alias("r_squared"), F.lit(False).alias("is_redundant"))
-    return beside(redundancy.join(before, FACTOR), after)
+    beside_it = {f: [x for x in (factors if promoted is None else promoted) if x != f] for f in factors}
+    sets = {f"-{f}": own for f, own in beside_it.items()} | {f"+{f}": [*own, f] for f, own in beside_it.items()}
+    # Equal sets are looked at once.
+    distinct = {tuple(sorted(own)): name for name, own in reversed(sets.items())}
+    wide = wide.dropna(subset=list(dict.fromkeys(x for own in sets.values() for x in own)))
+    reports = diversity_of_sets(wide, {name: list(own) for own, name in distinct.items()})
+    named = wide.sparkSession.createDataFrame(
+        [(f, distinct[tuple(sorted(sets[f"-{f}"]))], distinct[tuple(sorted(sets[f"+{f}"]))]) for f in factors],
+        f"{FACTOR} string, before string, after string",
+    )
+    before = reports.select(c("name").alias("before"), c("diversity_score").alias("diversity_before"))
+    after = reports.select(c("name").alias("after"), c("diversity_score").alias("diversity_after"), "cluster_warning", "n_effective", "n_total")
+    return _redundancy(wide, beside_it).join(named.join(before, "before").join(after, "after").drop("before", "after"), FACTOR)
+
+
+def _redundancy(wide: DataFrame, beside_it: dict[str, list[str]], threshold: float = 0.85) -> DataFrame:
+    """(factor_id, r_squared, is_redundant) of each factor on its own list of at least three others, from one matrix."""
+    names = list(dict.fromkeys(x for f, own in beside_it.items() for x in (f, *own)))
+    n, _, cov = MO.moment_matrix(wide, names)
+    cov = standardised(n, cov)[1] if n else cov
+    rows = []
+    for f, own in beside_it.items():
+        at = [names.index(x) for x in (f, *own)]
+        r2 = _regressed(cov[np.ix_(at, at)], 0)[0] if n >= 50 and len(own) >= 3 else 0.0
+        rows.append((f, round(float(r2), 3), bool(r2 > threshold)))
+    return wide.sparkSession.createDataFrame(rows, f"{FACTOR} string, r_squared double, is_redundant boolean")
 
 
 def latest_snapshot(df: DataFrame, at_least: int = 25) -> DataFrame:

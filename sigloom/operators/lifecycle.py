@@ -72,10 +72,8 @@ def recent_ic(df: DataFrame, target: str = "fwd_5", dates: int = 20, min_rows: i
     )
 
 
-def health_transition(df: DataFrame) -> DataFrame:
-    """Next status and watch count from rolling_ic_20d, health_score and regime_change."""
-    ic, score, change = c("rolling_ic_20d"), c("health_score"), c("regime_change")
-    status, count = c("status"), F.coalesce("health_watch_count", F.lit(0))
+def next_state(status: Column, count: Column, ic: Column, score: Column, change: Column) -> tuple[Column, Column]:
+    """Status and watch count after one check."""
     promoted, watched = status == "promoted", status == "watchlist"
     unhealthy = (ic < WATCH_IC) | (score < WATCH_SCORE) | change
     recovered = (ic >= RECOVER_IC) & (score >= RECOVER_SCORE) & ~change
@@ -90,6 +88,15 @@ def health_transition(df: DataFrame) -> DataFrame:
         .when(promoted | watched, count + 1)
         .otherwise(count)
     )
+    return after, next_count
+
+
+def health_transition(df: DataFrame) -> DataFrame:
+    """Next status and watch count from rolling_ic_20d, health_score and regime_change."""
+    status = c("status")
+    after, next_count = next_state(
+        status, F.coalesce("health_watch_count", F.lit(0)), c("rolling_ic_20d"), c("health_score"), c("regime_change")
+    )
     return df.withColumns(
         {
             "status_after": after,
@@ -99,6 +106,38 @@ def health_transition(df: DataFrame) -> DataFrame:
     )
 
 
+def health_path(states: DataFrame, checks: DataFrame) -> DataFrame:
+    """Every check of a span of days in order: (factor, as_of, rolling_ic_20d, status_before, status_after, watch_count_after).
+
+    ``states``: factor, status, health_watch_count before the span. ``checks``:
+    factor, as_of, rolling_ic_20d, health_score, regime_change. A factor's
+    checks are bounded by the calendar and folded in one row, so a missed week
+    is caught up in one job and equals day-by-day runs. A retired factor is
+    not checked any more.
+    """
+    check = F.struct("as_of", "rolling_ic_20d", "health_score", "regime_change")
+    series = checks.groupBy(FACTOR).agg(F.array_sort(F.collect_list(check)).alias("_checks"))
+    kind = checks.schema["as_of"].dataType.simpleString()
+    entry = f"struct<as_of:{kind},rolling_ic_20d:double,status_before:string,status_after:string,watch_count_after:int>"
+    start = F.struct(
+        c("status").alias("status"), F.coalesce("health_watch_count", F.lit(0)).cast("int").alias("n"),
+        F.array().cast(f"array<{entry}>").alias("log"),
+    )
+
+    def fold(at: Column, x: Column) -> Column:
+        after, n = next_state(at["status"], at["n"], x["rolling_ic_20d"], x["health_score"], x["regime_change"])
+        line = F.struct(
+            x["as_of"].alias("as_of"), x["rolling_ic_20d"].alias("rolling_ic_20d"), at["status"].alias("status_before"),
+            after.alias("status_after"), n.cast("int").alias("watch_count_after"),
+        )
+        checked = at["status"].isin("promoted", "watchlist")
+        log = F.when(checked, F.concat(at["log"], F.array(line))).otherwise(at["log"])
+        return F.struct(after.alias("status"), n.cast("int").alias("n"), log.alias("log"))
+
+    folded = F.aggregate("_checks", start, fold, lambda at: at["log"])
+    return states.select(FACTOR, "status", "health_watch_count").join(series, FACTOR).select(FACTOR, F.inline(folded))
+
+
 def health_log(transitions: DataFrame, as_of: Column) -> DataFrame:
     return transitions.select(
         as_of.alias("date"), FACTOR, "rolling_ic_20d", c("status").alias("status_before"), "status_after"

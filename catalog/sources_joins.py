@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from sigloom.columns import BAR, DATE, SYMBOL
 from sigloom.functions import rolling as R, scalar as S
 from sigloom.operators import panel as P, portfolio as PF, quality as QL
-from sigloom.sources import bars as SB, freshness as FR, tables as ST
+from sigloom.session import ensure_checkpoint_dir
+from sigloom.sources import bars as SB, freshness as FR, slices as SL, tables as ST
 
 from . import testbed as B
 from .registry import query, shaped
@@ -419,3 +422,23 @@ def replace_day_slice(spark, sf):
         SYMBOL, DATE, F.lit(-1.0).alias("close")
     )
     return shaped(ST.replace_slice(stored, new, [DATE]), 7)
+
+
+@query(
+    "stored_slices",
+    with_(
+        "panel",
+        f"""SELECT symbol, {day('date')}, round(CASE WHEN date = DATE '2001-06-04' THEN -1 WHEN date >= DATE '2001-06-01' AND volume > 60 THEN close * 2
+        ELSE close END, 7) AS close FROM panel WHERE date <> DATE '2001-06-04' OR volume > 60""",
+    ),
+)
+def stored_slices(spark, sf):
+    """A stored table by day: written whole, then some rows upserted, then one day replaced; read back."""
+    df = B.panel(spark, sf).select(SYMBOL, DATE, "close", "volume")
+    folder = f"{ensure_checkpoint_dir(spark)}/bars-{uuid.uuid4().hex}"
+    SL.replace_slices(df, folder, [DATE])
+    some = df.where((c(DATE) >= F.lit("2001-06-01").cast("date")) & (c("volume") > 60))
+    SL.upsert_slices(some.withColumn("close", c("close") * 2), folder, [SYMBOL, DATE], [DATE])
+    day_ = some.where(c(DATE) == F.lit("2001-06-04").cast("date")).withColumn("close", F.lit(-1.0))
+    SL.replace_slices(day_, folder, [DATE])
+    return shaped(SL.read_slices(spark, folder, f"{SYMBOL} string, {DATE} date, close double").select(SYMBOL, DATE, "close"), 7)

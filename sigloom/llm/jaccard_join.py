@@ -34,8 +34,9 @@ COUNTED = 2_000_000
 MET = 2
 #: Sets in one part of a heavy shingle's list, and in one block.
 LIST_PART = 1000
-#: Sets outside the main component that one task compares with one part of a list.
-PROBES = 4000
+#: Sets outside the main component that one task compares with so many entries of a list; each is dealt to every part of the other.
+PROBES = 8000
+ENTRIES = 8000
 BLOCK = 256
 #: Stars are tried again while one in so many links; what they leave is matched list by list either way.
 STAR_YIELD = 10
@@ -473,7 +474,7 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     marks = sets.select("sid", "sketch").dropDuplicates(["sid"])
     marked = stored(rows.join(marks, "sid"))
     # A long list is a grid of parts of its entries by parts of its probes.
-    pieces = {"across": F.col("n") / LIST_PART, "down": (F.col("n") - F.col("most")) / PROBES}
+    pieces = {"across": F.col("n") / ENTRIES, "down": (F.col("n") - F.col("most")) / PROBES}
     rows = marked.join(main.select("token", *[F.ceil(x).cast("int").alias(k) for k, x in pieces.items()]), "token")
     part = lambda k: F.pmod(F.xxhash64("sid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))

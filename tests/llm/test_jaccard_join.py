@@ -53,7 +53,7 @@ def test_documents_and_odd_rows(spark, odd_docs, sf):
 
 def test_dense_group_and_common_passage(spark, monkeypatch):
     """Near copies around the threshold, and a passage that most texts share; heavy lists in small parts and blocks."""
-    for name, value in {"HEAVY_LEAST": 4, "MET": 2, "LIST_PART": 7, "PROBES": 5, "BLOCK": 4}.items():
+    for name, value in {"HEAVY_LEAST": 4, "MET": 2, "LIST_PART": 7, "ENTRIES": 7, "PROBES": 5, "BLOCK": 4}.items():
         monkeypatch.setattr(J, name, value)
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(30)]

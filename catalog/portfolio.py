@@ -494,24 +494,33 @@ part(
 )
 
 
+_SIDE = "CASE WHEN score > 0 THEN 'long' ELSE 'short' END"
+_STOP = "CASE WHEN score > 0 THEN greatest(round(close - 2 * atr_14, 2), round(close * 0.9, 2)) ELSE least(round(close + 2 * atr_14, 2), round(close * 1.1, 2)) END"
+_TARGET = "CASE WHEN score > 0 THEN round(close + 3 * atr_14, 2) ELSE least(round(close - 3 * atr_14, 2), round(close * 1.1, 2)) END"
+
+
 @query(
     "export_rows",
     with_(
-        "scored",
-        f"""SELECT symbol, '{AS_OF}' AS as_of, score AS value, side AS selected_side, CASE WHEN score > 0 THEN 'long' ELSE 'short' END AS direction,
-        round(CASE WHEN score > 0 THEN greatest(round(close - 2 * atr_14, 2), round(close * 0.9, 2))
-        ELSE least(round(close + 2 * atr_14, 2), round(close * 1.1, 2)) END, 1) AS stop, round(sharpe, 3) AS lookback_sharpe FROM scored""",
+        "scored chosen eff",
+        f"""SELECT s.symbol, '{AS_OF}' AS as_of, score AS value, s.side AS selected_side, {_SIDE} AS direction, round({_STOP}, 1) AS stop, round({_TARGET}, 0) AS target,
+        round(close, 0) AS entry, round(atr_14, 0) AS atr, floor(4 * ln(1 + CASE WHEN abs(round(close, 2) - {_STOP}) > 0.01 THEN abs({_TARGET} - round(close, 2)) / abs(round(close, 2) - {_STOP}) ELSE 0 END))::BIGINT AS rr_band,
+        round(s.sharpe, 3) AS lookback_sharpe, c.factor_id AS selected_factor, strftime(e.date, '%Y-%m-%d') AS trade_date, 5::BIGINT AS hold_days, 'rolling_best' AS method
+        FROM scored s CROSS JOIN chosen c CROSS JOIN eff e""",
     ),
 )
 def export_rows(spark, sf):
-    out = EX.export(
-        B.panel(spark, sf), B.signals(spark, sf), AS_OF, "cn", ret="fwd_5", lookback=40, n_picks=10, width=B.width(spark, sf)
-    )
+    """Prices are compared in whole units (the stop in tenths) and the ratio in bands, as engines differ on halves of a cent."""
+    panel, signals = EX.recent_panel(B.bars(spark, sf), B.FORMULAS, AS_OF)
+    out = EX.export(panel, signals, AS_OF, "cn", ret="fwd_5", lookback=40, n_picks=10, width=B.width(spark, sf))
     field = lambda name, t="string": F.get_json_object("detail", f"$.{name}").cast(t)
+    near = lambda name, digits=0: F.round(field(name, "double"), digits).alias(name)
+    texts = [field(x).alias(x) for x in ("selected_side", "direction", "selected_factor", "trade_date", "method")]
     return shaped(
         out.select(
-            SYMBOL, "as_of", "value", field("selected_side").alias("selected_side"), field("direction").alias("direction"),
-            F.round(field("stop", "double"), 1).alias("stop"), F.round(field("lookback_sharpe", "double"), 3).alias("lookback_sharpe"),
+            SYMBOL, "as_of", "value", *texts, near("stop", 1), near("target"), near("entry"), near("atr"),
+            F.floor(F.log1p(field("rr", "double")) * 4).alias("rr_band"), field("hold_days", "int").alias("hold_days"),
+            F.round(field("lookback_sharpe", "double"), 3).alias("lookback_sharpe"),
         )
     )
 
@@ -535,8 +544,9 @@ part(
     ),
 )
 def accepted_picks(spark, sf):
+    _, signals = EX.recent_panel(B.bars(spark, sf), B.FORMULAS, AS_OF)
     out = EX.pick_list(
-        B.signals(spark, sf), AS_OF, SB.security_metadata(symbols(spark, sf)), quality(spark, sf), ret="fwd_5",
+        signals, AS_OF, SB.security_metadata(symbols(spark, sf)), quality(spark, sf), ret="fwd_5",
         lookback=40, n_picks=10, candidates=50, allowed=REGIONS, width=B.width(spark, sf),
     )
     return shaped(out.select(SYMBOL, "rank", "rejected", "place", "weight"))

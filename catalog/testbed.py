@@ -108,3 +108,14 @@ def signals(spark: SparkSession, sf: str, targets=("fwd_5",), factors=None) -> D
     long = long_signals(wide_inputs(spark, sf), factors or FACTORS, keep=list(targets))
     ranked = ranking.order_stats(long, [FACTOR, DATE], VALUE, "_r", width(spark, sf))
     return ranked.withColumn(VALUE, ranking.percent_rank("_r")).drop("_r_below", "_r_upto", "_r_n")
+
+
+#: The test factors as formulas; ``signals`` computes the same values.
+FORMULAS = {
+    "mom": "rank(delta(ts_mean(close, 5), 10))",
+    "range": "rank(ts_mean((high - low) / close, 10))",
+    "rev": "rank(-ret_5d)",
+    "surge": "rank(volume / ts_mean(volume, 20))",
+    "vol": "rank(-ts_std(ret_1d, 20))",
+    "vpdiv": "rank(-ts_corr(close, volume, 20))",
+}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..columns import DATE
+from ..columns import DATE, SYMBOL
 from ..operators import ranking
 
 c = F.col
@@ -19,18 +19,38 @@ def _standard(x: Column, mean: Column, sd: Column) -> Column:
     return F.when(F.coalesce(sd, F.lit(0.0)) == 0, x * 0.0).otherwise((x - mean) / sd)
 
 
+def _ordered(df: DataFrame, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add columns made of ``ranking.spread_stats`` ("_s") of other columns: ``{"out": ("column", expression)}``.
+
+    Several columns are ranked together, as rows of one long table: a plan
+    grows with every ranking of a ranked table. (symbol, date) is the key of ``df``.
+    """
+    if not wanted:
+        return df
+    if len(wanted) == 1:
+        (out, (column, made)), = wanted.items()
+        return ranking.spread_stats(df, [DATE], column, "_s").withColumn(out, made).drop("_s_below", "_s_upto", "_s_n")
+    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    cells = [F.struct(F.lit(i).alias("_of"), c(x).cast("double").alias("_v")) for i, x in enumerate(columns)]
+    ranked = ranking.spread_stats(df.select(SYMBOL, DATE, F.inline(F.array(*cells))), [DATE, "_of"], "_v", "_s")
+    picked = [F.max(F.when(c("_of") == columns.index(column), made)).alias(out) for out, (column, made) in wanted.items()]
+    return df.join(ranked.groupBy(SYMBOL, DATE).agg(*picked), [SYMBOL, DATE]).select(*df.columns, *wanted)
+
+
 def with_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     """Add percent ranks (average ties, over the count of non-missing values): ``{"out": "column"}``."""
-    for out, column in ranks.items():
-        df = ranking.spread_stats(df, [DATE], column, "_r")
-        df = df.withColumn(out, ranking.percent_rank("_r")).drop("_r_below", "_r_upto", "_r_n")
-    return df
+    return _ordered(df, {out: (column, ranking.percent_rank("_s")) for out, column in ranks.items()})
 
 
 def with_quantiles(df: DataFrame, column: str, out: str, groups: int = 5) -> DataFrame:
     """Quantile label 1..groups of ``column`` on each date."""
-    df = ranking.spread_stats(df, [DATE], column, "_q")
-    return df.withColumn(out, ranking.quantile_label("_q", groups)).drop("_q_below", "_q_upto", "_q_n")
+    return _ordered(df, {out: (column, ranking.quantile_label("_s", groups))})
+
+
+def with_places(df: DataFrame, ranks: dict[str, str], quantiles: dict[str, tuple[str, int]]) -> DataFrame:
+    """``with_ranks`` and ``with_quantiles`` of many columns at once; ``quantiles``: ``{"out": ("column", groups)}``."""
+    labels = {out: (column, ranking.quantile_label("_s", groups)) for out, (column, groups) in quantiles.items()}
+    return _ordered(df, {out: (column, ranking.percent_rank("_s")) for out, column in ranks.items()} | labels)
 
 
 def with_zscores(df: DataFrame, columns: dict[str, str]) -> DataFrame:

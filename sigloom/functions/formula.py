@@ -125,3 +125,31 @@ def split(formulas: dict[str, str]) -> tuple[list[list[PerDate]], dict[str, str]
         cutter = Cut()
         out[name] = ast.unparse(ast.fix_missing_locations(cutter.visit(_checked(text))))
     return stages, out
+
+
+#: Bars before the current one that a feature of the panel looks at.
+FEATURE_BARS = {"ret_1d": 1, "ret_5d": 5, "ret_20d": 20, "volume_ratio": 19}
+#: Operators that look n bars back; the other rolling ones look at n bars including the current one.
+SHIFTS = {"delta", "pct_change", "shift"}
+#: Operators whose value depends on all bars so far.
+ENDLESS = {"decay_exp"}
+
+
+def look_back(text: str) -> int | None:
+    """How many bars before the current one a formula's value depends on; None where on all of them."""
+
+    def of(node: ast.AST) -> int | None:
+        if isinstance(node, ast.Name):
+            return FEATURE_BARS.get(node.id, 0)
+        name = node.func.id if isinstance(node, ast.Call) else ""
+        if name in ENDLESS:
+            return None
+        windowed = name in SHIFTS or name.startswith(("ts_", "decay_"))
+        parts = node.args[:-1] if windowed else node.args if name else list(ast.iter_child_nodes(node))
+        inner = [of(x) for x in parts]
+        if None in inner:
+            return None
+        own = ast.literal_eval(node.args[-1]) - (name not in SHIFTS) if windowed else 0
+        return max(inner, default=0) + own
+
+    return of(_checked(text).body)

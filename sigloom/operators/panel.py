@@ -29,6 +29,40 @@ def index_bars(df: DataFrame, spread: bool = False) -> DataFrame:
     return df.withColumn(BAR, F.row_number().over(w))
 
 
+def bars_around(bars: DataFrame, first: str, last: str, back: int | None, ahead: int = 0) -> DataFrame:
+    """The bars that values on the dates from ``first`` to ``last`` depend on: ``back`` bars of each symbol before them, ``ahead`` after.
+
+    A look at the two key columns finds where each symbol's bars have to
+    begin and end; the outermost of these dates are constants of the scan, so
+    it skips all other files and row groups. Symbols without a bar in between are left out. ``back`` None keeps all
+    bars before.
+    """
+    day = F.col(DATE)
+    since, until = F.lit(first).cast("date"), F.lit(last).cast("date")
+    keys = bars.select(SYMBOL, DATE)
+    there = keys.where((day >= since) & (day <= until)).groupBy(SYMBOL).agg(F.min(DATE).alias("_from"), F.max(DATE).alias("_to"))
+
+    def edge(rows: DataFrame, n: int, order: Column, out: str, pick) -> DataFrame:
+        near = rows.withColumn("_k", F.row_number().over(Window.partitionBy(SYMBOL).orderBy(order))).where(F.col("_k") <= n)
+        return near.groupBy(SYMBOL).agg(pick(DATE).alias(out))
+
+    spans = there
+    if back:
+        spans = spans.join(edge(keys.where(day < since), back, F.desc(DATE), "_early", F.min), SYMBOL, "left")
+    if ahead:
+        spans = spans.join(edge(keys.where(day > until), ahead, F.asc(DATE), "_late", F.max), SYMBOL, "left")
+    begin = F.coalesce("_early", "_from") if back else F.col("_from")
+    end = F.coalesce("_late", "_to") if ahead else F.col("_to")
+    spans = spans.select(SYMBOL, begin.alias("_begin"), end.alias("_end"))
+    outer = spans.agg(F.min("_begin").alias("low"), F.max("_end").alias("high")).first()
+    if outer["low"] is None:
+        return bars.where("false")
+    high = day <= F.lit(outer["high"])
+    rows = bars.where(high if back is None else high & (day >= F.lit(outer["low"]))).join(spans, SYMBOL)
+    inside = day <= F.col("_end")
+    return rows.where(inside if back is None else inside & (day >= F.col("_begin"))).drop("_begin", "_end")
+
+
 def forward_return(h: int, close: str = "close") -> Column:
     c = F.col(close)
     return ratio(F.lead(c, h).over(R.by_symbol()), c) - 1

@@ -15,15 +15,13 @@ def per_date(df: DataFrame, nodes: list[PerDate]) -> DataFrame:
     inputs = {x: f"_in{i}" for i, x in enumerate(dict.fromkeys(x for n in nodes for x in n.inputs))}
     out = df.withColumns({at: formula(x) for x, at in inputs.items()})
     of = lambda name: {n.name: inputs[n.inputs[0]] for n in nodes if n.operator == name}
-    out = C.with_ranks(out, of("rank"))
+    out = C.with_places(out, of("rank"), {n.name: (inputs[n.inputs[0]], n.number or 5) for n in nodes if n.operator == "quantile"})
     if of("zscore"):
         out = C.with_zscores(out, of("zscore"))
     if of("demean"):
         out = C.with_demeaned(out, of("demean"))
     for n in nodes:
-        if n.operator == "quantile":
-            out = C.with_quantiles(out, inputs[n.inputs[0]], n.name, n.number or 5)
-        elif n.operator == "neutralize":
+        if n.operator == "neutralize":
             out = C.with_neutralized(out, *[inputs[x] for x in n.inputs], n.name)
     return out.select(*df.columns, *[n.name for n in nodes])
 

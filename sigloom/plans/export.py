@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
+from ..functions.formula import look_back
 from ..operators import indicators as I, panel as P, portfolio as PF, quality as QL, ranking, selection as SE
+from ..operators.longform import long_signals
 from ..session import cut
+from .evaluate import compute_factors
 
 c = F.col
 
@@ -23,6 +26,27 @@ def _day(dates: DataFrame, as_of: str):
     return dates.where(c(DATE) <= F.lit(as_of).cast("date")).agg(F.max(DATE)).first()[0]
 
 
+def recent_panel(
+    bars: DataFrame, formulas: dict[str, str], as_of: str, horizon: int = 5, lookback: int = 40, lag: int = 0, more: int = 15
+) -> tuple[DataFrame, DataFrame]:
+    """(panel, signals) that a report on ``as_of`` needs, and nothing older.
+
+    The dates are the last ``lookback + lag`` before the report's and its own.
+    How far back their values reach follows from the formulas (and ``more``
+    bars for the trade levels); the scan is bounded by it. Signals have the
+    values of ``formulas`` and ``fwd_<horizon>`` on those dates only, and are
+    what a run over all history gives.
+    """
+    days = bars.select(DATE).distinct().where(c(DATE) <= F.lit(as_of).cast("date")).orderBy(F.desc(DATE)).limit(lookback + lag + 1)
+    bounds = days.agg(F.min(DATE).alias("first"), F.max(DATE).alias("last")).first()
+    spans = [look_back(x) for x in formulas.values()]
+    back = None if None in spans else max([more, *spans])
+    near = P.bars_around(bars, str(bounds["first"]), str(bounds["last"]), back, horizon)
+    panel = P.with_features(P.index_bars(P.positive_close(near))).withColumn(f"fwd_{horizon}", P.forward_return(horizon))
+    wide = compute_factors(panel, formulas, keep=(f"fwd_{horizon}",)).where(c(DATE).between(bounds["first"], bounds["last"]))
+    return panel, long_signals(wide, list(formulas), keep=[f"fwd_{horizon}"])
+
+
 def export(
     panel: DataFrame, signals: DataFrame, as_of: str, market: str, ret: str = "fwd_5", lookback: int = 40,
     n_picks: int = 10, width: int | None = None,

@@ -10,6 +10,8 @@ from .shared import small_join, stored
 #: Hash digits of the uniform variate; 13 hexadecimal digits are 52 bits.
 DIGITS = 13
 POWER = 0.5
+#: A larger rate is the sum of equal parts of at most this, each with a variate of its own.
+PART_RATE = 64
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -84,21 +86,29 @@ def poisson_mix(
 
     A document's count is the Poisson quantile, at its source's rate, of a
     variate hashed from seed and id, so the same rows come out on every run
-    and after any lost executor. Rows are dealt out and sorted by
+    and after any lost executor. Above PART_RATE it is the sum of the quantiles
+    of equal parts, whose variates are hashed from seed, id and part: a sum of
+    Poisson variables is one, and no array grows with the rate. Rows are dealt out and sorted by
     ``shuffle_key``, a hash of seed, id and copy. Null text has no characters;
     null sources are one source; null ids share one variate, as do repeated
     rows. No rows give no rows.
     """
     rates = stored(source_rates(docs, weights, power, epochs, text_col, source_col))
-    rates = rates.select("source_key", "rate", poisson_steps(F.col("rate")).alias("steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int")
+    rates = rates.withColumn("parts", parts)
+    rates = rates.select("source_key", "rate", "parts", poisson_steps(F.col("rate") / F.col("parts")).alias("steps"))
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
         host_key(F.col(source_col)).alias("source_key"),
         F.col(id_col).alias("id"),
     )
     rows = small_join(rows, rates, "source_key", F.col("id"))
-    draw = uniform(seed, F.col("id"))
-    rows = rows.withColumn("draw", draw).withColumn("n", F.size(F.filter("steps", lambda p: p < F.col("draw"))))
+    reached = lambda draw: F.size(F.filter("steps", lambda p: p < draw))
+    in_parts = F.aggregate(
+        F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + reached(uniform(seed, F.col("id"), F.lit("part"), part))
+    )
+    rows = rows.withColumn("draw", uniform(seed, F.col("id")))
+    rows = rows.withColumn("n", F.when(F.col("parts") == 1, reached(F.col("draw"))).otherwise(in_parts))
     rows = rows.where("n > 0").select("row", "id", "rate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
     rows = rows.withColumn("shuffle_key", F.md5(seeded(seed, F.col("id"), F.col("copy_no"))))
     return rows.select("row", "copy_no", "shuffle_key", "rate").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

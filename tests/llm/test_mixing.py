@@ -10,15 +10,17 @@ from sigloom.llm.mixing import poisson_mix, source_rates
 def brute_counts(rows, rates, seed=17):
     out = Counter()
     for doc_id, source in rows:
-        name = "null" if doc_id is None else str(doc_id)
-        draw = (int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
-        rate, k = rates[source], 0
-        term = total = math.exp(-rate)
-        while total < draw:
-            k += 1
-            term *= rate / k
-            total += term
-        out[doc_id, source] += k
+        name = f"{seed}|" + ("null" if doc_id is None else str(doc_id))
+        parts = max(math.ceil(rates[source] / 64), 1)
+        for own in [name] if parts == 1 else [f"{name}|part|{j}" for j in range(1, parts + 1)]:
+            draw = (int(hashlib.md5(own.encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            rate, k = rates[source] / parts, 0
+            term = total = math.exp(-rate)
+            while total < draw:
+                k += 1
+                term *= rate / k
+                total += term
+            out[doc_id, source] += k
     return +out
 
 
@@ -51,6 +53,16 @@ def test_expected_total(spark):
     assert abs(per["a"] - 10_000) < 400 and abs(per["b"] - 10_000) < 400
 
 
+def test_rates_above_one_part(spark):
+    docs = spark.createDataFrame([(i, "abc", "a") for i in range(5)] + [(9, "x" * 6000, "b")], "doc_id long, text string, source string")
+    check(docs, weights={"a": 1.0, "b": 0.2})
+
+
+def test_a_rate_of_a_million(spark):
+    docs = spark.createDataFrame([(1, "a", "a"), (2, "x" * 1_000_000, "b")], "doc_id long, text string, source string")
+    assert abs(poisson_mix(docs, weights={"a": 1.0}).count() - 1_000_001) < 5000
+
+
 def test_large_rate_does_not_underflow(spark):
     docs = spark.createDataFrame([(1, "abc", "a"), (2, "x" * 6000, "b")], "doc_id long, text string, source string")
     n = poisson_mix(docs, weights={"a": 1.0}).count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import regex
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import lower_ascii, split_join, stored
 from .words import small_batches
 
-#: Bounds nothing here; the tests count the words of their short names up to it.
-MAX_WORD = 24
+#: Words shorter than this are looked up by themselves, longer ones by their first letters.
+HEAD = 8
+#: Letters of a unit whose places are looked at as one row.
+PIECE = 256
 RUNS = r"\p{L}+|\p{N}+"
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -101,21 +104,42 @@ def segmented(units: DataFrame, texts: DataFrame) -> DataFrame:
     """(unit, words) for distinct units, by the unigram counts of the words of ``texts``.
 
     Counts come from all texts. Only words that occur inside a unit travel
-    back to it, so no task needs the vocabulary.
+    back to it, so no task needs the vocabulary. A place in a unit is looked
+    at for words of HEAD letters and more only while its first 8, 16, 32, ...
+    letters begin some word, so a very long unit costs a few rows a letter,
+    whatever the longest word is.
     """
     counts = texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts)
-    seen = counts.agg(F.sum("n").alias("n"), F.max(F.char_length("word")).alias("longest")).first()
+    counts = stored(counts.withColumn("size", F.char_length("word")))
+    seen = counts.agg(F.sum("n").alias("n"), F.max("size").alias("longest")).first()
     total, longest = seen["n"] or 1, seen["longest"] or 1
-    size = F.char_length("unit")
-    spans = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("at")).select(
-        "unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("unit") - F.col("at")))).alias("len")
-    )
-    spans = spans.withColumn("word", F.substr("unit", F.col("at") + 1, F.col("len")))
-    uses = spans.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    met = split_join(spans, counts, "word", uses, F.struct("unit", "at"), "inner")
-    found = met.groupBy("unit").agg(F.collect_list(F.struct("at", "len", "n")).alias("found"))
-    return units.join(found, "unit", "left").mapInArrow(segment_units(total), "unit string, words array<string>")
+    units = stored(units.select("unit", F.unhex(F.md5("unit")).alias("uid")))
+    # Places come from short pieces of a unit, so that none of their rows carries the whole of a long one.
+    pieces = units.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1, F.lit(PIECE))).alias("from"))
+    pieces = pieces.select("uid", "from", F.substr("unit", F.col("from") + 1, F.lit(PIECE + 2 * HEAD)).alias("unit"))
+    inside = F.sequence(F.lit(0), F.least(F.lit(PIECE), F.char_length("unit")) - 1)
+    places = pieces.select("uid", "from", "unit", F.explode(inside).alias("place"))
+    near = places.select("uid", (F.col("from") + F.col("place")).alias("at"), F.substr("unit", F.col("place") + 1, F.lit(2 * HEAD - 1)).alias("text"))
+    spans = near.select("uid", "at", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.char_length("text")))).alias("len"))
+    spans = spans.select("uid", "at", "len", F.substr("text", F.lit(1), F.col("len")).alias("word"))
+    uses = spans.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    met = [split_join(spans, counts.where(F.col("size") < HEAD).drop("size"), "word", uses.withColumnRenamed("uses", "n"), F.struct("uid", "at"), "inner").select("uid", "at", "len", "n")]
+    size = HEAD
+    while size <= longest:
+        head = lambda text: F.xxhash64(F.substring(text, 1, size))
+        own = F.when(F.col("size") < 2 * size, F.struct("word", "size", "n"))
+        heads = counts.where(F.col("size") >= size).groupBy(head("word").alias("head")).agg(F.collect_list(own).alias("words"))
+        rows = near.where(F.char_length("text") >= size).withColumn("head", head("text"))
+        uses = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+        rows = stored(split_join(rows, heads, "head", uses, F.struct("uid", "at"), "inner"))
+        if rows.isEmpty():
+            break
+        words = rows.select("uid", "at", "text", F.inline("words")).where(F.startswith("text", "word"))
+        met.append(words.select("uid", "at", F.col("size").alias("len"), "n"))
+        size *= 2
+        near = rows.select("uid", "at").join(units, "uid").select("uid", "at", F.substr("unit", F.col("at") + 1, F.lit(2 * size - 1)).alias("text"))
+    found = reduce(DataFrame.unionByName, met).groupBy("uid").agg(F.collect_list(F.struct("at", "len", "n")).alias("found"))
+    return units.join(found, "uid", "left").select("unit", "found").mapInArrow(segment_units(total), "unit string, words array<string>")
 
 
 def judge_urls(
@@ -131,7 +155,7 @@ def judge_urls(
     its log odds are above 0; a tie allows. Null urls, and urls without
     ``://``, have no tokens and follow the classes' shares.
 
-    Work is done per distinct url and host; repeated rows are judged alike. No
+    Work is done per distinct url and host, whatever their length; repeated rows are judged alike. No
     rows give no rows. Without texts every letter run is its own word.
     """
     key = F.coalesce(F.col(url_col), F.lit(""))
@@ -183,5 +207,5 @@ def judge_urls(
     )
     whole = stored(whole)
     rows = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), key.alias("url"))
-    judged = split_join(rows, whole.drop("n"), "url", whole.select("url", "n"), F.col("row"), "left")
+    judged = split_join(rows, whole.drop("n"), "url", whole.select("url", "n"), F.monotonically_increasing_id(), "left")
     return judged.select("row", "host", "path", "rule", "verdict", "score")

@@ -1,12 +1,13 @@
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
 import regex
 
 from sigloom.llm.queries_pages import RULES
-from sigloom.llm.url_filter import MAX_WORD, judge_urls, viterbi
+from sigloom.llm.url_filter import judge_urls, viterbi
 
 
 def split(url):
@@ -43,7 +44,7 @@ def brute_split(unit, counts, total):
 def test_viterbi_is_the_best_split():
     counts = {"the": 50, "cat": 9, "at": 20, "hec": 2, "a": 30, "t": 5, "pills": 4, "cheap": 3}
     for unit in ("thecat", "cheappill", "cheappills", "x", "atat", "qzthe"):
-        words = {(i, n): counts[unit[i : i + n]] for i in range(len(unit)) for n in range(1, MAX_WORD) if unit[i : i + n] in counts and i + n <= len(unit)}
+        words = {(i, n): counts[unit[i : i + n]] for i in range(len(unit)) for n in range(1, len(unit) + 1) if unit[i : i + n] in counts and i + n <= len(unit)}
         got = viterbi(unit, words, 200)
         assert "".join(got) == unit
         score = sum((math.log(counts[w]) if w in counts else math.log(10) * (1 - len(w))) - math.log(200) for w in got)
@@ -59,7 +60,7 @@ def brute_verdicts(urls, texts):
         out = []
         for run in regex.findall(r"\p{L}+|\p{N}+", host.lower()):
             if run[0].isalpha():
-                words = {(i, n): letters[run[i : i + n]] for i in range(len(run)) for n in range(1, MAX_WORD + 1) if letters.get(run[i : i + n]) and i + n <= len(run)}
+                words = {(i, n): letters[run[i : i + n]] for i in range(len(run)) for n in range(1, len(run) + 1) if letters.get(run[i : i + n]) and i + n <= len(run)}
                 out += ["host " + w for w in viterbi(run, words, total)]
             else:
                 out.append("host " + run)
@@ -119,4 +120,15 @@ def test_words_of_any_length_are_found(spark):
     units = spark.createDataFrame([(f"{long}shop",), ("x" * 60,)], "unit string")
     texts = spark.createDataFrame([(f"{long} shop " * 20,)], "text string")
     got = {r.unit: r.words for r in segmented(units, texts).collect()}
-    assert len(long) > MAX_WORD and got == {f"{long}shop": [long, "shop"], "x" * 60: ["x" * 60]}
+    assert got == {f"{long}shop": [long, "shop"], "x" * 60: ["x" * 60]}
+
+
+def test_a_host_of_fifty_thousand_letters(spark):
+    from sigloom.llm.url_filter import segmented
+
+    name = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=50_000))
+    texts = spark.createDataFrame([(f"{name} shop",), ("abcdefghijkl " * 9,)], "text string")
+    units = spark.createDataFrame([(name + "shop",), ("abcdefghijklshop",), (name[5:],)], "unit string")
+    got = {r.unit: r.words for r in segmented(units, texts).collect()}
+    assert got[name + "shop"] == [name, "shop"] and got["abcdefghijklshop"] == ["abcdefghijkl", "shop"]
+    assert "".join(got[name[5:]]) == name[5:]

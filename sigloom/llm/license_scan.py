@@ -154,11 +154,11 @@ DECIDING = frozenset(
     "affero lesser nc nd sa noncommercial noderivatives noderivs sharealike commercial derivatives alike cc0 zero only later "
     "advertising neither endorse not mit isc bsd apache mozilla gnu creative".split()
 )
-#: Words that may not come up in the text after a shorter license: they belong to further clauses of another.
-CLAUSES = frozenset(("advertising", "neither", "endorse"))
-FURTHER = {"BSD-2-Clause": CLAUSES, "BSD-3-Clause": frozenset(("advertising",))}
-#: Words after a license in which those are looked for.
-AFTER = 60
+#: What goes on after a shorter license in a longer one: where most of it follows, the text is not the shorter one.
+NEITHER = TEMPLATES["BSD-3-Clause"][TEMPLATES["BSD-3-Clause"].index("Neither") :]
+FURTHER = {"BSD-2-Clause": (ADVERTISING, NEITHER), "BSD-3-Clause": (ADVERTISING,)}
+#: The share of a clause's words that make it that clause.
+CLAUSE_SHARE = 0.5
 CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "free software", "public domain", "conditions", "as is")
 CUE = re.compile("|".join(CUES), re.IGNORECASE)
 #: The largest share of a template's words that a block may lack, change or add between them.
@@ -254,35 +254,52 @@ class Scanner:
                     continue
                 missing, extra, (first, last) = wording(want, part)
                 if len(missing) + len(extra) <= allowed and self.same_license(missing, extra):
-                    after = own[at + last : at + last + AFTER]
-                    if not FURTHER.get(name, frozenset()).isdisjoint(after):
+                    if any(self.follows(clause, own[at + last :]) for clause in FURTHER.get(name, ())):
                         continue
                     out.append((len(want) - len(missing) - len(extra), name, missing, extra, (at + first, at + last)))
         return out
 
+    def follows(self, clause: str, after: list[str]) -> bool:
+        """Whether a clause comes next, at its own place: right after, with room for as many other words."""
+        want = words_of(clause)
+        steps = difflib.SequenceMatcher(None, want, after[: 2 * len(want)], autojunk=False).get_matching_blocks()
+        return sum(x.size for x in steps if x.size >= STRAY) >= CLAUSE_SHARE * len(want)
+
     def same_license(self, missing: list[str], extra: list[str]) -> bool:
         """No number and no deciding word may differ: versions and clauses tell licenses apart."""
         return not any(w.isdigit() or w in DECIDING for w in missing + extra)
 
-    def confirm(self, block: str, ranked: list[tuple[float, str]]):
-        """(template, saved, missing, extra, (start, end) in the block) of the longest wording in it, or None.
+    def winners(self, text: str, hits: list[tuple]) -> list[tuple]:
+        """(start, end, license, saved, missing, extra) of the wordings that stay among (common, name, missing, extra, start, end).
 
-        Of equally long ones the best-ranked counts.
+        Wordings that overlap are one block. All templates are ranked by what
+        they save of it as raw dictionaries, and the best-ranked one whose
+        wording is confirmed wins, at its longest place; wordings that overlap
+        it go. What is left of the block is ranked again.
         """
-        places = [(m.start(), m.end()) for m in WORDS.finditer(block)]
-        order = {name: i for i, (_, name) in enumerate(ranked)}
-        found = [x for x in self.wordings(words_of(block)) if x[1] in order]
-        if not found:
-            return None
-        _, name, missing, extra, (first, last) = min(found, key=lambda x: (-x[0], order[x[1]]))
-        return name, ranked[order[name]][0], missing, extra, (places[first][0], places[last - 1][1])
+        out = []
+        todo = sorted(hits, key=lambda x: (x[4], x[5]))
+        while todo:
+            block, end = [todo[0]], todo[0][5]
+            for x in todo[1:]:
+                if x[4] < end:
+                    block.append(x)
+                    end = max(end, x[5])
+            todo = todo[len(block) :]
+            ranked = self.rank(text[block[0][4] : end])
+            order = {name: (i, max(share, 0.0)) for i, (share, name) in enumerate(ranked)}
+            best = min(block, key=lambda x: (order[x[1]][0], -x[0], x[4]))
+            _, name, missing, extra, start, stop = best
+            out.append((start, stop, name, order[name][1], missing, extra))
+            todo = sorted([x for x in block if x[5] <= start or x[4] >= stop] + todo, key=lambda x: (x[4], x[5]))
+        return out
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, license, saved, missing, extra) of each candidate block; license is null if no wording fits.
 
         Every cue is looked at with as many words on both sides as the longest
-        wording has. Where wordings overlap the longest stays. What is left of
-        a line between wordings, and has a cue of its own, is a block without
+        wording has. Where wordings overlap, what their templates save as
+        dictionaries decides (``winners``). What is left of a line between wordings, and has a cue of its own, is a block without
         a license; of a long line, the words about its cues.
         """
         places = [(m.start(), m.end()) for m in WORDS.finditer(text)]
@@ -301,11 +318,7 @@ class Scanner:
         for low, high in regions:
             own = [text[a:b].lower() for a, b in places[low:high]]
             hits += [(*x[:4], places[low + x[4][0]][0], places[low + x[4][1] - 1][1]) for x in self.wordings(own)]
-        out = []
-        for _, name, missing, extra, start, end in sorted(hits, key=lambda x: (-x[0], x[4], x[1])):
-            if all(end <= x[0] or start >= x[1] for x in out):
-                share = max(self.saved(text[start:end], [name])[name], 0.0)
-                out.append((start, end, name, share, missing, extra))
+        out = self.winners(text, hits)
         taken = sorted((x[0], x[1]) for x in out)
         ends = [x[1] for x in taken]
         left: list[list[int]] = []
@@ -335,10 +348,10 @@ class Scanner:
 def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per candidate block: doc_id, start and end (code points), license, saved, missing, extra.
 
-    Every line of every text is looked at. ``saved`` is the share of the
-    block's compressed size that the best (or the confirmed) template saves as
-    a raw dictionary. Null and empty texts have no blocks. Ties between
-    templates go by name. Repeated rows repeat their blocks. Other columns are
+    Every text with a cue is looked at, about each of its cues. ``saved`` is
+    the share of the block's compressed size that the winning template (of a
+    block without a license, the best one) saves as a raw dictionary. Null and
+    empty texts have no blocks. Templates that save the same go by name. Repeated rows repeat their blocks. Other columns are
     not read.
     """
     chosen = TEMPLATES if templates is None else templates

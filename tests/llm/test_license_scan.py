@@ -4,8 +4,57 @@ from sigloom.llm.license_scan import TEMPLATES, Scanner, license_blocks, words_o
 def test_every_template_is_found_whole():
     scanner = Scanner(TEMPLATES)
     for name, text in TEMPLATES.items():
-        ranked = scanner.rank(text)
-        assert scanner.confirm(text, ranked)[0] == name and ranked[0][1] == name
+        assert scanner.rank(text)[0][1] == name
+        assert [x[2] for x in scanner.scan(text)] == [name]
+
+
+def test_what_dictionaries_save_decides(monkeypatch):
+    scanner = Scanner(TEMPLATES)
+    text = f"Intro. {TEMPLATES['MIT whole']} Outro."
+    assert [x[2] for x in scanner.scan(text)] == ["MIT whole"]
+    rank = scanner.rank
+    monkeypatch.setattr(scanner, "rank", lambda block: rank(block)[::-1])
+    assert [x[2] for x in scanner.scan(text) if x[2]][:1] == ["MIT"]
+    monkeypatch.setattr(scanner, "saved", lambda block, names: dict.fromkeys(names, 0.0))
+    monkeypatch.setattr(scanner, "rank", rank)
+    assert [x[2] for x in scanner.scan(text) if x[2]][:1] == ["MIT"]  # nothing saved: by name
+
+
+def brute(text, templates, allowed=0.2):
+    """The best-ranked template of which any run of words of the text is a wording, for a text that is one block."""
+    scanner, own = Scanner(templates), words_of(text)
+    fits = set()
+    for name, want in scanner.words.items():
+        most = int(allowed * len(want))
+        for i in range(len(own)):
+            for j in range(i + 1, min(len(own), i + len(want) + most) + 1):
+                # Longest common subsequence of words, by the table.
+                row = [0] * (len(want) + 1)
+                for w in own[i:j]:
+                    last = row[:]
+                    for k, x in enumerate(want):
+                        row[k + 1] = last[k] + 1 if w == x else max(row[k], last[k + 1])
+                common = row[-1]
+                if len(want) - common + (j - i) - common <= most:
+                    fits.add(name)
+    return next((name for _, name in scanner.rank(text) if name in fits), None)
+
+
+def test_small_texts_against_brute_force():
+    templates = {"alpha": "permission is given to any person to use the alpha work", "alpha long": "permission is given to any person to use the alpha work and to sell copies of it", "beta": "redistribution of the beta work in any form is allowed"}
+    scanner = Scanner(templates)
+    base = list(templates.values())
+    texts = [f"so {base[0]} ends", f"so {base[1]} ends", f"x {base[2]} y", base[1].replace("sell", "give"), base[0].replace("any person", "all"),
+             base[2].replace("beta", "gamma").replace("form", "shape"), base[1].replace("and to sell", ""), "permission is given to nobody here today"]
+    for text in texts:
+        found = [x[2] for x in scanner.scan(text) if x[2]]
+        assert found[:1] == [x for x in [brute(text, templates)] if x], text
+
+
+def test_a_further_clause_is_known_by_its_words():
+    scan = lambda t: [x[2] for x in Scanner(TEMPLATES).scan(t) if x[2]]
+    assert scan(f"{TEMPLATES['BSD-2-Clause']} We neither ship nor endorse builds of it.") == ["BSD-2-Clause"]
+    assert scan(f"{TEMPLATES['BSD-2-Clause']} 3. {TEMPLATES['BSD-3-Clause'].split('3. ')[1].replace('contributors', 'friends and the many helpers')}") != ["BSD-2-Clause"]
 
 
 def test_wording_and_versions():

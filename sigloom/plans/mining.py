@@ -3,7 +3,8 @@
 Plan: bars are shuffled once by symbol; all inner expressions are window columns
 on that partitioning; candidates are unpivoted to rows (factor, symbol, date,
 value) and shuffled once by (factor, date), after which ranking and aggregating
-the scores need no further shuffle of rows.  Products of ranks take one more.
+the scores need no further shuffle of rows.  Products of ranks take one more;
+each of their distinct terms is ranked once.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def factor_grid() -> list[Candidate]:
 
 
 def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[str]) -> DataFrame:
-    """(factor_id, term, x, symbol, date, keep...) of one batch; factor_id is the candidate's number.
+    """(factor_id, x, symbol, date, keep...) of one batch; factor_id is the candidate's number.
 
     Distinct inner expressions become window columns once, however many
     candidates use them.
@@ -147,9 +148,9 @@ def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[s
     at = {x: f"_x{i}" for i, x in enumerate(inners)}
     columns = panel.select(SYMBOL, DATE, *keep, *[formula(x).cast("double").alias(at[x]) for x in inners])
     rows = [
-        F.struct(F.lit(i).alias(FACTOR), F.lit(t).alias("term"), c(at[x]).alias("x"))
+        F.struct(F.lit(i).alias(FACTOR), c(at[x]).alias("x"))
         for i, cand in batch
-        for t, x in enumerate(cand.inners)
+        for x in cand.inners
     ]
     return columns.select(SYMBOL, DATE, *keep, F.inline(F.array(*rows)))
 
@@ -160,6 +161,27 @@ def _batches(panel: DataFrame, grid: list[tuple[int, Candidate]], keep: list[str
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def product_signals(
+    panel: DataFrame, products: list[tuple[int, Candidate]], keep: list[str], width: int | None = None, batch: int = 60
+) -> DataFrame:
+    """(factor_id, symbol, date, value, keep...) of products of ranks.
+
+    Each distinct inner expression is ranked once, however many products have
+    it as a term; the ranks of one bar then meet in one row, where all
+    products are taken.
+    """
+    inners = sorted({x for _, cand in products for x in cand.inners})
+    terms = _batches(panel, [(i, Candidate((x,))) for i, x in enumerate(inners)], keep, batch)
+    ranked = ranking.order_stats(terms, [FACTOR, DATE], "x", "_x", width)
+    rank = ranking.percent_rank("_x")
+    cells = [F.max(F.when(c(FACTOR) == i, rank)).alias(f"_r{i}") for i in range(len(inners))]
+    wide = ranked.groupBy(SYMBOL, DATE).agg(*cells, *[F.max(k).alias(k) for k in keep])
+    at = {x: c(f"_r{i}") for i, x in enumerate(inners)}
+    value = lambda cand: reduce(lambda a, b: a * b, [at[x] for x in cand.inners])
+    rows = [F.struct(F.lit(i).alias(FACTOR), value(cand).alias(VALUE)) for i, cand in products]
+    return wide.select(SYMBOL, DATE, *keep, F.inline(F.array(*rows)))
+
+
 def grid_signals(
     panel: DataFrame, grid: list[Candidate], keep: list[str], width: int | None = None, batch: int = 60
 ) -> DataFrame:
@@ -178,16 +200,7 @@ def grid_signals(
     if singles:
         parts.append(_batches(panel, singles, keep, batch).withColumnRenamed("x", VALUE).select(*out))
     if products:
-        most = max(len(x.inners) for _, x in products)
-        terms = _batches(panel, products, keep, batch)
-        ranked = ranking.order_stats(terms, [FACTOR, DATE, "term"], "x", "_x", width)
-        rank = ranking.percent_rank("_x")
-        side_by_side = ranked.groupBy(FACTOR, DATE, SYMBOL).agg(
-            *[F.max(F.when(c("term") == t, rank)).alias(f"_t{t}") for t in range(most)],
-            F.count("x").alias("_have"), F.count(F.lit(1)).alias("_need"), *[F.max(k).alias(k) for k in keep],
-        )
-        value = reduce(lambda a, b: a * b, [c("_t0"), *[F.coalesce(f"_t{t}", F.lit(1.0)) for t in range(1, most)]])
-        parts.append(side_by_side.withColumn(VALUE, F.when(c("_have") == c("_need"), value)).select(*out))
+        parts.append(product_signals(panel, products, keep, width, batch).select(*out))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -29,8 +29,10 @@ NUM, DEN = 85, 100
 #: The heavy shingles are those in at least a millionth of all postings, so there are a million at most.
 HEAVY_PARTS = 1_000_000
 HEAVY_LEAST = 16
+#: Bytes of text whose shingles a task makes at once.
+TEXT_BYTES = 1 << 20
 #: Shingles that a task counts together, and how often one must be met there to be reported.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 MET = 2
 #: Sets in one part of a heavy shingle's list, and in one block.
 LIST_PART = 1000
@@ -69,7 +71,7 @@ def describe(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, []
-        for rows in small_batches(batches, "text"):
+        for rows in small_batches(batches, "text", TEXT_BYTES):
             runs, at = shingle_sets(rows.column("text"), width)
             sizes = np.diff(at)
             ids = rows.column("id").to_numpy(zero_copy_only=False)
@@ -110,7 +112,7 @@ def post(width: int, num: int, den: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = Heavy(*sent.value)
         seen: set[int] = set()
-        for rows in small_batches(batches, "text"):
+        for rows in small_batches(batches, "text", TEXT_BYTES):
             runs, at = shingle_sets(rows.column("text"), width)
             sids, counts = set_ids(runs, at), heavy.find(runs)
             keep, lengths, own = [], [], []
@@ -236,7 +238,7 @@ def set_rows(width: int):
     """Texts to (sid, size, sketch, tokens): tokens are the packed shingle hashes of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in small_batches(batches, "text"):
+        for rows in small_batches(batches, "text", TEXT_BYTES):
             runs, at = shingle_sets(rows.column("text"), width)
             packed = [runs[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
             marks = [sketch(runs[a:b]) for a, b in zip(at[:-1], at[1:])]

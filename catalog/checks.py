@@ -339,9 +339,35 @@ def dominant_periods(spark, sf):
     return shaped(D.dominant_periods(daily(spark, sf)))
 
 
-@query("wavelet_health")
+_LAGS = ", ".join(
+    f"({scale}, {first + j}, {float(w)!r})" for scale in D.SCALES for first, weights in [D.morlet_weights(scale)] for j, w in enumerate(weights) if w
+)
+part(
+    "waves",
+    ["ic"],
+    f"""SELECT factor_id, scale, avg(e) FILTER (WHERE i > n - 60) / (avg(e) FILTER (WHERE i <= n - 60) + 1e-12) AS r FROM (
+        SELECT b.factor_id, b.i, b.n, k.scale, abs(sum(k.w * a.ic)) AS e FROM days b CROSS JOIN kernel k
+        JOIN days a ON a.factor_id = b.factor_id AND a.i = b.i - k.lag WHERE b.n >= 80 GROUP BY b.factor_id, b.i, b.n, k.scale)
+        GROUP BY factor_id, scale""".replace(
+        "days b", "(SELECT factor_id, ic, row_number() OVER (PARTITION BY factor_id ORDER BY date) AS i, count(*) OVER (PARTITION BY factor_id) AS n FROM ic) b"
+    ).replace("days a", "(SELECT factor_id, ic, row_number() OVER (PARTITION BY factor_id ORDER BY date) AS i FROM ic) a").replace(
+        "kernel k", f"(VALUES {_LAGS}) AS k(scale, lag, w)"
+    ),
+)
+
+
+@query(
+    "wavelet_health",
+    with_(
+        "waves",
+        f"""SELECT factor_id, weak AS weakening_scales, CASE WHEN n = 0 THEN 'insufficient_data' WHEN weak >= n * 0.6 THEN 'degrading'
+        WHEN weak >= n * 0.3 THEN 'caution' ELSE 'healthy' END AS overall FROM (
+          SELECT f.factor_id, count(w.r) AS n, count(*) FILTER ((w.r - 1) * 100 < -30) AS weak FROM (SELECT DISTINCT factor_id FROM ic) f
+          LEFT JOIN waves w USING (factor_id) GROUP BY f.factor_id)""",
+    ),
+)
 def wavelet_health(spark, sf):
-    """Wavelet convolution: no SQL, tested on constructed series."""
+    """Recent against earlier wavelet energy; SQL adds up the same weights lag by lag."""
     return shaped(D.wavelet_health(daily(spark, sf)).drop("scales"))
 
 

@@ -155,7 +155,7 @@ def repair_directions(spark, sf):
         "signals registry",
         f"""SELECT factor_id, symbol, {day('date')}, round(CASE WHEN direction = 'short' THEN -value ELSE value END, 6) AS value
         FROM signals JOIN (SELECT factor_id, direction FROM registry) USING (factor_id)""",
-    ),
+    ).replace("signals AS (", "signals AS MATERIALIZED (", 1).replace("registry AS (", "registry AS MATERIALIZED (", 1),
 )
 def orient_short_factors(spark, sf):
     directions = cut(registry(spark, sf).select(FACTOR, "direction"))

@@ -371,13 +371,59 @@ def wavelet_health(spark, sf):
     return shaped(D.wavelet_health(daily(spark, sf)).drop("scales"))
 
 
-@query("phase_space_dimension")
+_SHARES = [0.05, 0.1, 0.2, 0.3, 0.5]
+part(
+    "gaps",
+    ["ic"],
+    """SELECT factor_id, list(d ORDER BY d) AS d FROM (
+         SELECT a.factor_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM pts a JOIN pts b ON b.factor_id = a.factor_id AND b.i > a.i
+         WHERE a.n >= 315) GROUP BY factor_id""".replace(
+        "pts a",
+        "(SELECT * FROM (SELECT factor_id, ic AS x, lead(ic, 5) OVER w AS y, lead(ic, 10) OVER w AS z, row_number() OVER w AS i, count(*) OVER (PARTITION BY factor_id) AS n FROM ic WINDOW w AS (PARTITION BY factor_id ORDER BY date)) WHERE z IS NOT NULL) a",
+    ).replace(
+        "pts b",
+        "(SELECT * FROM (SELECT factor_id, ic AS x, lead(ic, 5) OVER w AS y, lead(ic, 10) OVER w AS z, row_number() OVER w AS i FROM ic WINDOW w AS (PARTITION BY factor_id ORDER BY date)) WHERE z IS NOT NULL) b",
+    ),
+)
+part(
+    "dimension",
+    ["gaps", "ic"],
+    f"""SELECT factor_id, dim FROM (SELECT DISTINCT factor_id FROM ic) LEFT JOIN (
+        SELECT factor_id, coalesce(avg((ln(share) - ln(before_share)) / (ln(r) - ln(before_r))) FILTER (WHERE ln(r) > ln(before_r)), 3.0) AS dim FROM (
+          SELECT *, lag(r) OVER w AS before_r, lag(share) OVER w AS before_share FROM (
+            SELECT factor_id, share, d[floor(share * (len(d) - 1))::BIGINT + 1] AS r FROM gaps, (VALUES {", ".join(f"({x}::DOUBLE)" for x in _SHARES)}) AS s(share)) WHERE r > 0
+          WINDOW w AS (PARTITION BY factor_id ORDER BY share)) GROUP BY factor_id) USING (factor_id)""",
+)
+_DIM = "CASE WHEN dim IS NULL THEN 3.0 ELSE round(dim, 2) END"
+
+
+@query(
+    "phase_space_dimension",
+    with_(
+        "dimension",
+        f"""SELECT factor_id, {_DIM} AS dimension, CASE WHEN dim IS NULL THEN 'insufficient_data' WHEN dim < 1.5 THEN 'periodic' WHEN dim < 2.0 THEN 'low_dim_chaos'
+        WHEN dim < 2.5 THEN 'moderate_complexity' ELSE 'random' END AS verdict, coalesce(dim < 2.5, FALSE) AS predictable FROM dimension""",
+    ),
+)
 def phase_space_dimension(spark, sf):
-    """Seeded subsample of embedded points: no SQL, tested against numpy."""
+    """Growth of the share of close pairs; SQL sorts all pair distances, the operator counts them."""
     return shaped(D.phase_dimension(daily(spark, sf)))
 
 
-@query("full_diagnosis")
+@query(
+    "full_diagnosis",
+    with_(
+        "waves dft halflife dimension ic",
+        f"""SELECT f.factor_id, CASE WHEN weak >= n * 0.6 AND n > 0 THEN 'EXIT' WHEN weak >= n * 0.3 AND n > 0 THEN 'REDUCE' ELSE 'HOLD' END AS action,
+        CASE WHEN n = 0 THEN 'insufficient_data' WHEN weak >= n * 0.6 THEN 'degrading' WHEN weak >= n * 0.3 THEN 'caution' ELSE 'healthy' END AS wavelet,
+        weak AS weakening_scales, least(greatest(3, least(20, CAST(floor(p / 2) AS BIGINT))), greatest(3, halflife)) AS suggested_hold_days, halflife AS ic_halflife,
+        round(p, 0) AS dominant_period, {_DIM} AS phase_dimension, coalesce(dim < 2.5, FALSE) AS predictable FROM (
+          SELECT f.factor_id, count(w.r) AS n, count(*) FILTER ((w.r - 1) * 100 < -30) AS weak FROM (SELECT DISTINCT factor_id FROM ic) f
+          LEFT JOIN waves w USING (factor_id) GROUP BY f.factor_id) f
+        JOIN (SELECT factor_id, arg_max(round(n / k, 1), (power, k)) AS p FROM dft GROUP BY factor_id) USING (factor_id)
+        JOIN halflife USING (factor_id) JOIN dimension USING (factor_id)""",
+    ),
+)
 def full_diagnosis(spark, sf):
     return shaped(D.full_diagnosis(daily(spark, sf)))
 

@@ -13,7 +13,7 @@ from sigloom.plans import report as RP
 from sigloom.session import cut
 
 from . import testbed as B
-from .registry import query, shaped
+from .registry import ORACLES, query, shaped
 from .scoring import mono_sql
 from .sql import avg_rank, corr, day, eigen_cte, inverse_parts, part, qlabel, with_
 
@@ -428,7 +428,10 @@ def full_diagnosis(spark, sf):
     return shaped(D.full_diagnosis(daily(spark, sf)))
 
 
-@query("market_diagnostics")
+_CROWDED = "n_stocks >= 30 AND ic IS NOT NULL QUALIFY count(*) OVER (PARTITION BY factor_id) >= 80"
+
+
+@query("market_diagnostics", ORACLES["full_diagnosis"].replace("n_stocks >= 10 AND ic IS NOT NULL", _CROWDED))
 def market_diagnostics(spark, sf):
     return shaped(RP.market_diagnostics(B.signals(spark, sf), width=B.width(spark, sf)))
 

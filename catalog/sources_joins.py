@@ -200,10 +200,8 @@ def data_freshness(spark, sf):
        FROM events""",
 )
 def expected_new_york_day(spark, sf):
-    ev = B.table(spark, sf, "events")
-    # the stored timestamps carry no zone and mean UTC
-    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), c("ts").cast("timestamp_ntz"))
-    return shaped(ev.select("event_id", F.to_date(local).alias("expected")))
+    """The stored timestamps carry no zone and mean UTC."""
+    return shaped(B.table(spark, sf, "events").select("event_id", FR.new_york_day(c("ts")).alias("expected")))
 
 
 # --- filters ---------------------------------------------------------------

@@ -14,8 +14,8 @@ def latest_date(df: DataFrame) -> DataFrame:
 
 
 def new_york_day(utc: Column) -> Column:
-    """Calendar day in New York of a UTC timestamp."""
-    return F.to_date(F.from_utc_timestamp(utc, "America/New_York"))
+    """Calendar day in New York of a UTC timestamp, with or without a zone of its own (the session's is UTC)."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), utc.cast("timestamp_ntz")))
 
 
 def readiness(df: DataFrame, expected: Column | None = None) -> DataFrame:

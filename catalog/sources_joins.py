@@ -9,12 +9,13 @@ from pyspark.sql import Window, functions as F
 from sigloom.columns import BAR, DATE, SYMBOL
 from sigloom.functions import rolling as R, scalar as S
 from sigloom.operators import panel as P, portfolio as PF, quality as QL
+from sigloom.plans.evaluate import compute_factors
 from sigloom.session import ensure_checkpoint_dir
 from sigloom.sources import bars as SB, freshness as FR, slices as SL, tables as ST
 
 from . import testbed as B
 from .registry import query, shaped
-from .sql import day, part, with_
+from .sql import avg_rank, day, part, with_
 
 c = F.col
 
@@ -222,6 +223,24 @@ def universe_top_n(spark, sf):
     return shaped(P.universe(enriched(spark, sf), 40).select(SYMBOL, DATE, "market_cap"), 2)
 
 
+@query(
+    "universe_factor",
+    with_(
+        "enriched panel",
+        f"""SELECT symbol, {day('date')}, round({avg_rank('x', 'date')} / count(*) OVER (PARTITION BY date), 6) AS factor_value FROM (
+          SELECT p.symbol, p.date, p.x FROM (SELECT symbol, date, close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY bar_no) AS x FROM panel) p
+          JOIN (SELECT symbol, date FROM enriched QUALIFY row_number() OVER (PARTITION BY date ORDER BY market_cap DESC NULLS LAST, symbol) <= 40) u USING (symbol, date))
+        WHERE x IS NOT NULL""",
+    ),
+)
+def universe_factor(spark, sf):
+    """A factor whose cross-sections are the 40 largest names of each date; its differences see all bars."""
+    bars = P.membership(P.positive_close(enriched(spark, sf)), 40)
+    panel = P.with_features(P.index_bars(bars))
+    out = compute_factors(panel, {"factor_value": "rank(delta(close, 5))"}, member=P.MEMBER)
+    return shaped(out.where(c("factor_value").isNotNull()).select(SYMBOL, DATE, "factor_value"))
+
+
 @query(
     "tradable_boards",
     """SELECT CAST(p_partkey AS VARCHAR) || CASE WHEN p_size % 3 = 0 THEN '.BJ' ELSE '.SZ' END AS symbol FROM part

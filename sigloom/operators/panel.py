@@ -100,6 +100,15 @@ def universe(df: DataFrame, n: int, cap: str = "market_cap") -> DataFrame:
     return top_rows(df, [DATE], order, n, out="_cap_rank").drop("_cap_rank")
 
 
+MEMBER = "in_universe"
+
+
+def membership(df: DataFrame, n: int, cap: str = "market_cap") -> DataFrame:
+    """Flag (MEMBER) the rows of ``universe``; (symbol, date) is the key. Before numbering, so that one shuffle by symbol follows."""
+    top = universe(df.select(SYMBOL, DATE, cap), n, cap).select(SYMBOL, DATE, F.lit(True).alias(MEMBER))
+    return df.join(top, [SYMBOL, DATE], "left").withColumn(MEMBER, F.coalesce(MEMBER, F.lit(False)))
+
+
 def trade_dates(df: DataFrame) -> DataFrame:
     """Distinct dates with their index from 0.  One row per DATE: bounded by the calendar."""
     everything = Window.partitionBy(F.lit(0)).orderBy(DATE)

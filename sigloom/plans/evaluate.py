@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import BAR, DATE, FACTOR, SYMBOL, VALUE
 from ..functions import cross as C
@@ -10,10 +10,16 @@ from ..functions.formula import PerDate, formula, split
 from ..operators import ic as IC, panel as P, walkforward as WF
 
 
-def per_date(df: DataFrame, nodes: list[PerDate]) -> DataFrame:
-    """Add the columns of one stage's nodes; no task holds a whole date."""
-    inputs = {x: f"_in{i}" for i, x in enumerate(dict.fromkeys(x for n in nodes for x in n.inputs))}
-    out = df.withColumns({at: formula(x) for x, at in inputs.items()})
+def masked(x: Column, member: str | None) -> Column:
+    """Missing outside the universe that the flag column ``member`` marks."""
+    return x if member is None else F.when(F.col(member), x)
+
+
+def per_date(df: DataFrame, nodes: list[PerDate], member: str | None = None) -> DataFrame:
+    """Add the columns of one stage's nodes; no task holds a whole date. Names outside the universe are missing from every cross-section."""
+    inputs = {x: f"_in{i}" for i, x in enumerate(dict.fromkeys(n.inputs[0] for n in nodes))}
+    groups = {x: f"_by{i}" for i, x in enumerate(dict.fromkeys(x for n in nodes for x in n.inputs[1:]))}
+    out = df.withColumns({at: masked(formula(x), member) for x, at in inputs.items()} | {at: formula(x) for x, at in groups.items()})
     of = lambda name: {n.name: inputs[n.inputs[0]] for n in nodes if n.operator == name}
     out = C.with_places(out, of("rank"), {n.name: (inputs[n.inputs[0]], n.number or 5) for n in nodes if n.operator == "quantile"})
     if of("zscore"):
@@ -22,21 +28,23 @@ def per_date(df: DataFrame, nodes: list[PerDate]) -> DataFrame:
         out = C.with_demeaned(out, of("demean"))
     for n in nodes:
         if n.operator == "neutralize":
-            out = C.with_neutralized(out, *[inputs[x] for x in n.inputs], n.name)
+            out = C.with_neutralized(out, inputs[n.inputs[0]], groups[n.inputs[1]], n.name)
     return out.select(*df.columns, *[n.name for n in nodes])
 
 
-def compute_factors(df: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+def compute_factors(df: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = (), member: str | None = None) -> DataFrame:
     """(symbol, date, bar_no, keep...) and one column per named formula, on a numbered panel with features.
 
     The formulas are cut at their per-date operators (``formula.split``); each
     stage adds its nodes once for all formulas. Formulas without such nodes
-    are one select, so that their windows share their sorts.
+    are one select, so that their windows share their sorts. ``member`` names
+    a flag (``panel.membership``): rolling operators see all of a symbol's
+    bars, cross-sections and results only those inside the universe.
     """
     stages, rest = split(formulas)
     for nodes in stages:
-        df = per_date(df, nodes)
-    return df.select(SYMBOL, DATE, BAR, *keep, *[formula(t).alias(n) for n, t in rest.items()])
+        df = per_date(df, nodes, member)
+    return df.select(SYMBOL, DATE, BAR, *keep, *[masked(formula(t), member).alias(n) for n, t in rest.items()])
 
 
 def compute_factor(df: DataFrame, text: str) -> DataFrame:
@@ -46,12 +54,15 @@ def compute_factor(df: DataFrame, text: str) -> DataFrame:
 
 def evaluate_formula(
     bars: DataFrame, text: str, oos_start: str, horizon: int = 5, cost: float = 0.003, direction: str = "long",
-    width: int | None = None,
+    width: int | None = None, universe: int | None = None, cap: str = "market_cap",
 ) -> dict[str, DataFrame]:
-    """Walk-forward folds, their averages and the IC series of one formula on raw bars."""
-    panel = P.with_features(P.index_bars(P.positive_close(bars)))
+    """Walk-forward folds, their averages and the IC series of one formula on raw bars; ``universe`` keeps the largest names of each date."""
+    bars, member = P.positive_close(bars), None
+    if universe is not None:
+        bars, member = P.membership(bars, universe, cap), P.MEMBER
+    panel = P.with_features(P.index_bars(bars))
     target = f"fwd_{horizon}"
-    values = compute_factors(panel.withColumn(target, P.forward_return(horizon)), {VALUE: text}, keep=(target,))
+    values = compute_factors(panel.withColumn(target, P.forward_return(horizon)), {VALUE: text}, keep=(target,), member=member)
     value = F.col(VALUE)
     long = values.select(F.lit("formula").alias(FACTOR), SYMBOL, DATE, (-value if direction == "short" else value).alias(VALUE), target)
     folds = WF.fold_dates(P.trade_dates(panel), oos_start)

@@ -64,16 +64,16 @@ def caught_up(signals: DataFrame, registry: DataFrame, dates: DataFrame, width:
     return L.health_path(held, daily_checks(facing, dates, width=width, **how))
 
 
-def registry_signals(panel: DataFrame, registry: DataFrame, target: str = "fwd_5") -> DataFrame:
+def registry_signals(panel: DataFrame, registry: DataFrame, target: str = "fwd_5", member: str | None = None) -> DataFrame:
     """(factor, symbol, date, value, target) of the registry's factors under watch, from their formulas (a factor list)."""
     formulas = {r[FACTOR]: r["formula"] for r in L.under_watch(registry).select(FACTOR, "formula").collect()}
-    wide = compute_factors(panel, formulas, keep=(target,)).drop(BAR)
+    wide = compute_factors(panel, formulas, keep=(target,), member=member).drop(BAR)
     return long_signals(wide, list(formulas), keep=[target])
 
 
 def candidate_table(
     panel: DataFrame, mined: DataFrame, grid: list[M.Candidate], promoted: DataFrame, feedback: DataFrame, as_of: Column,
-    width: int | None = None,
+    width: int | None = None, member: str | None = None,
 ) -> DataFrame:
     """The mined candidates with metrics at all horizons, penalties, feedback and their rank.
 
@@ -82,7 +82,7 @@ def candidate_table(
     """
     names = {r[0] for r in mined.select(FACTOR).collect()}
     chosen = [x for x in grid if x.name in names]
-    signals = M.named(M.grid_signals(panel, chosen, [f"fwd_{h}" for h in HORIZONS], width), chosen).where(c(DATE) <= as_of)
+    signals = M.named(M.grid_signals(panel, chosen, [f"fwd_{h}" for h in HORIZONS], width, member=member), chosen).where(c(DATE) <= as_of)
     signals = cut(signals)
     metrics = L.multi_horizon(horizon_metrics(signals, width=width), mined=mined)
     latest = H.latest_snapshot(signals.unionByName(promoted.where(c(DATE) <= as_of), allowMissingColumns=True))
@@ -103,23 +103,23 @@ def candidate_table(
 
 def daily_lifecycle(
     panel: DataFrame, grid: list[M.Candidate], registry: DataFrame, feedback: DataFrame, as_of: Column, now: Column, market: str,
-    resamples: int = 100_000, width: int | None = None,
+    resamples: int = 100_000, width: int | None = None, member: str | None = None,
 ) -> dict[str, DataFrame]:
     """One day: candidates, health log and the registry after both.
 
     ``panel`` is numbered, has features and the forward returns ``fwd_5`` and
-    those of HORIZONS; narrow it with ``panel.universe`` for a universe.
+    those of HORIZONS; ``member`` names the flag of a universe (``panel.membership``).
     Health runs before promotion, so a retirement frees its slot the same day.
     """
-    held = cut(registry_signals(panel, registry).where(c(DATE) <= as_of))
+    held = cut(registry_signals(panel, registry, member=member).where(c(DATE) <= as_of))
     watched = L.under_watch(registry).select(FACTOR, "direction", "status", "health_watch_count")
     facing = L.orient(held, watched)
     health = H.ic_health(cut(IC.daily_ic(facing, width=width))).select(FACTOR, "health_score", "regime_change")
     moves = cut(L.health_transition(watched.join(L.recent_ic(facing, width=width), FACTOR).join(health, FACTOR)))
     checked = cut(L.applied_transitions(registry, moves, now))
-    mined = cut(M.mine(panel.where(c(DATE) <= as_of), grid, market, resamples=resamples, width=width))
+    mined = cut(M.mine(panel.where(c(DATE) <= as_of), grid, market, resamples=resamples, width=width, member=member))
     promoted = held.join(registry.where(c("status") == "promoted").select(FACTOR), FACTOR, "left_semi")
-    candidates = cut(candidate_table(panel, mined, grid, promoted, feedback, as_of, width))
+    candidates = cut(candidate_table(panel, mined, grid, promoted, feedback, as_of, width, member))
     plan = L.promotion_plan(candidates.drop(FACTOR).withColumnRenamed("stable_id", FACTOR), checked)
     return {
         "candidates": candidates,

@@ -19,6 +19,7 @@ from ..columns import DATE, FACTOR, SYMBOL, VALUE
 from ..functions.formula import formula
 from ..operators import bootstrap as BS, correlation as CR, gates as G, ic as IC, panel as P
 from ..operators import quintiles as Q, ranking
+from .evaluate import masked
 
 c = F.col
 
@@ -138,7 +139,7 @@ def factor_grid() -> list[Candidate]:
     return list(out.values())
 
 
-def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[str]) -> DataFrame:
+def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[str], member: str | None = None) -> DataFrame:
     """(factor_id, x, symbol, date, keep...) of one batch; factor_id is the candidate's number.
 
     Distinct inner expressions become window columns once, however many
@@ -146,7 +147,7 @@ def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[s
     """
     inners = sorted({x for _, cand in batch for x in cand.inners})
     at = {x: f"_x{i}" for i, x in enumerate(inners)}
-    columns = panel.select(SYMBOL, DATE, *keep, *[formula(x).cast("double").alias(at[x]) for x in inners])
+    columns = panel.select(SYMBOL, DATE, *keep, *[masked(formula(x).cast("double"), member).alias(at[x]) for x in inners])
     rows = [
         F.struct(F.lit(i).alias(FACTOR), c(at[x]).alias("x"))
         for i, cand in batch
@@ -155,14 +156,15 @@ def term_rows(panel: DataFrame, batch: list[tuple[int, Candidate]], keep: list[s
     return columns.select(SYMBOL, DATE, *keep, F.inline(F.array(*rows)))
 
 
-def _batches(panel: DataFrame, grid: list[tuple[int, Candidate]], keep: list[str], size: int) -> DataFrame:
+def _batches(panel: DataFrame, grid: list[tuple[int, Candidate]], keep: list[str], size: int, member: str | None) -> DataFrame:
     """Batches keep generated code small; all of them read the same shuffled bars."""
-    parts = [term_rows(panel, grid[i : i + size], keep) for i in range(0, len(grid), size)]
+    parts = [term_rows(panel, grid[i : i + size], keep, member) for i in range(0, len(grid), size)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def product_signals(
-    panel: DataFrame, products: list[tuple[int, Candidate]], keep: list[str], width: int | None = None, batch: int = 60
+    panel: DataFrame, products: list[tuple[int, Candidate]], keep: list[str], width: int | None = None, batch: int = 60,
+    member: str | None = None,
 ) -> DataFrame:
     """(factor_id, symbol, date, value, keep...) of products of ranks.
 
@@ -171,7 +173,7 @@ def product_signals(
     products are taken.
     """
     inners = sorted({x for _, cand in products for x in cand.inners})
-    terms = _batches(panel, [(i, Candidate((x,))) for i, x in enumerate(inners)], keep, batch)
+    terms = _batches(panel, [(i, Candidate((x,))) for i, x in enumerate(inners)], keep, batch, member)
     ranked = ranking.order_stats(terms, [FACTOR, DATE], "x", "_x", width)
     rank = ranking.percent_rank("_x")
     cells = [F.max(F.when(c(FACTOR) == i, rank)).alias(f"_r{i}") for i in range(len(inners))]
@@ -183,7 +185,7 @@ def product_signals(
 
 
 def grid_signals(
-    panel: DataFrame, grid: list[Candidate], keep: list[str], width: int | None = None, batch: int = 60
+    panel: DataFrame, grid: list[Candidate], keep: list[str], width: int | None = None, batch: int = 60, member: str | None = None
 ) -> DataFrame:
     """(factor_id, symbol, date, value, keep...) of candidates on a numbered panel with features.
 
@@ -191,16 +193,16 @@ def grid_signals(
     value is left unranked; products multiply the percent ranks of their terms
     and are missing where any term is.  factor_id is the candidate's number in
     the grid (rows stay narrow); ``named`` turns it into names once rows are few.
-    Number the panel with ``spread=True``.
+    Number the panel with ``spread=True``. ``member`` names a flag (``panel.membership``): values outside the universe are missing.
     """
     out = [SYMBOL, DATE, FACTOR, VALUE, *keep]
     singles = [(i, x) for i, x in enumerate(grid) if len(x.inners) == 1]
     products = [(i, x) for i, x in enumerate(grid) if len(x.inners) > 1]
     parts = []
     if singles:
-        parts.append(_batches(panel, singles, keep, batch).withColumnRenamed("x", VALUE).select(*out))
+        parts.append(_batches(panel, singles, keep, batch, member).withColumnRenamed("x", VALUE).select(*out))
     if products:
-        parts.append(product_signals(panel, products, keep, width, batch).select(*out))
+        parts.append(product_signals(panel, products, keep, width, batch, member).select(*out))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -249,7 +251,7 @@ def candidate_table(spark, grid: list[Candidate], market: str) -> DataFrame:
 
 def mine(
     panel: DataFrame, grid: list[Candidate], market: str, target: str = "fwd_5", resamples: int = 100_000,
-    keep_at_most: int = 30, width: int | None = None,
+    keep_at_most: int = 30, width: int | None = None, member: str | None = None,
 ) -> DataFrame:
     """Grid → scores → blacklist and gates → bootstrap → greedy de-duplication.
 
@@ -257,7 +259,7 @@ def mine(
     much smaller job computes.
     """
     spark = panel.sparkSession
-    scored = named(mining_metrics(grid_signals(panel, grid, [target], width), target, width=width), grid)
+    scored = named(mining_metrics(grid_signals(panel, grid, [target], width, member=member), target, width=width), grid)
     names = candidate_table(spark, grid, market)
     scored = scored.join(F.broadcast(names.withColumnRenamed("name", FACTOR)), FACTOR)
     passed = scored.where(~G.blacklisted(c("formula")) & G.mining_gates(market)["all"])
@@ -268,7 +270,7 @@ def mine(
     passed = spark.createDataFrame(rows, schema)
     by_name = {x.name: x for x in grid}
     short = [by_name[r[FACTOR]] for r in rows]
-    signals = named(grid_signals(panel, short, [target], width), short)
+    signals = named(grid_signals(panel, short, [target], width, member=member), short)
     daily = IC.daily_ic(signals, target, undefined="zero", width=width)
     tested = BS.bootstrap_significance(daily, resamples).where("significant_01").select(FACTOR, "p_value")
     sure = passed.join(tested, FACTOR)

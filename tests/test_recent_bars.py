@@ -67,3 +67,17 @@ def test_the_scan_is_bounded(spark):
     assert tuple(after) == (5, 5)
     assert P.bars_around(bars, "1990-01-01", "1990-02-01", 3).count() == 0
     assert P.bars_around(bars, "2020-12-01", "2020-12-15", None).where("symbol = 's00'").count() == bars.where("symbol = 's00' AND date <= DATE'2020-12-15'").count()
+
+
+def test_a_universe_bounds_cross_sections_not_history(spark):
+    bars = stored(spark, 60).withColumn("market_cap", F.col("volume"))
+    flagged = P.membership(bars, 5)
+    assert flagged.groupBy("date").agg(F.count_if("in_universe").alias("n")).where("n > 5").count() == 0
+    panel = P.with_features(P.index_bars(flagged))
+    got = compute_factors(panel, {"v": "rank(delta(close, 3)) - zscore(close)"}, member=P.MEMBER).toPandas().set_index(["symbol", "date"])["v"].sort_index()
+    frame = panel.select("symbol", "date", "close", "in_universe").toPandas().sort_values(["symbol", "date"])
+    frame["d"] = frame.groupby("symbol")["close"].diff(3).where(frame["in_universe"])
+    frame["x"] = frame["close"].where(frame["in_universe"])
+    day = frame.groupby("date")
+    frame["v"] = day["d"].rank(pct=True) - (frame["x"] - day["x"].transform("mean")) / day["x"].transform("std")
+    np.testing.assert_allclose(got.astype(float), frame.set_index(["symbol", "date"])["v"].sort_index())

@@ -45,9 +45,10 @@ def watch_levels(df: DataFrame, market: str) -> DataFrame:
 
 
 def export_rows(
-    scored: DataFrame, as_of: Column, method: dict[str, Column], module: str = "factor", metric: str = "composite"
+    scored: DataFrame, as_of: Column, method: dict[str, Column], module: str = "factor", metric: str = "composite",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Sink rows (symbol, as_of, module, metric, value, detail) with the detail as JSON text."""
+    """Sink rows (symbol, as_of, module, metric, value, detail) with the detail as JSON text; ``keep`` are columns passed along unrounded."""
     detail = F.to_json(F.struct(*[v.alias(k) for k, v in method.items()]))
     return scored.select(
         SYMBOL,
@@ -56,6 +57,7 @@ def export_rows(
         F.lit(metric).alias("metric"),
         c("score").alias("value"),
         detail.alias("detail"),
+        *keep,
     )
 
 

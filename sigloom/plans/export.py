@@ -49,9 +49,13 @@ def recent_panel(
 
 def export(
     panel: DataFrame, signals: DataFrame, as_of: str, market: str, ret: str = "fwd_5", lookback: int = 40,
-    n_picks: int = 10, width: int | None = None,
+    n_picks: int = 10, width: int | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Sink rows of one report date: the best recent factor's top share, with levels as JSON detail."""
+    """Sink rows of one report date: the best recent factor's top share, with levels as JSON detail.
+
+    The detail is rounded; ``keep`` passes on columns as they were before, of
+    close, atr_14, sharpe and the signals' own.
+    """
     dates = P.trade_dates(signals)
     day = _day(dates, as_of)
     best = _chosen(signals, dates, day, ret, lookback, n_picks, width=width)
@@ -77,7 +81,7 @@ def export(
         "direction": F.when(c("entry").isNotNull(), c("direction")),
         "hold_days": F.when(c("entry").isNotNull(), F.lit(5)),
     }
-    return PF.export_rows(priced, F.lit(as_of).cast("date"), detail)
+    return PF.export_rows(priced, F.lit(as_of).cast("date"), detail, keep=keep)
 
 
 def pick_list(

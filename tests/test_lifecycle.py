@@ -119,6 +119,16 @@ def test_stop_floor_and_levels(spark):
     assert [round(x["weight"], 6) for x in w] == [0.5, round(1 / 3, 6), round(1 / 6, 6)]
 
 
+def test_export_passes_on_what_its_detail_has_rounded(spark):
+    df = spark.createDataFrame(
+        [("S", 1747.4, 4172.4961, "short", 0.5)], "symbol string, close double, atr_14 double, direction string, score double"
+    )
+    priced = PF.trade_levels(df, "cn")
+    out = PF.export_rows(priced, F.lit("2001-01-01").cast("date"), {"atr": c("atr")}, keep=("close", "atr_14"))
+    r = out.select(F.round("atr_14", 0).alias("once"), F.round(F.get_json_object("detail", "$.atr").cast("double"), 0).alias("twice")).first()
+    assert (r["once"], r["twice"]) == (4172.0, 4173.0)
+
+
 def test_equity_and_drawdown(spark):
     rets = [0.1, -0.5, 0.2, -1.0, 0.3]
     df = spark.createDataFrame([(d, r, 0.0) for d, r in zip(dates(5), rets)], "date date, ret double, benchmark double")

@@ -6,7 +6,8 @@ import pytest
 from helpers import bars, dates
 from pyspark.sql import functions as F
 
-from sigloom.operators import feedback as FB, lifecycle as L, panel as P, portfolio as PF, quality as QL, selection as SE
+from sigloom.operators import feedback as FB, ic as IC, lifecycle as L, panel as P, portfolio as PF, quality as QL, selection as SE
+from sigloom.session import cut
 from sigloom.sources import tables as ST
 
 c = F.col
@@ -151,6 +152,20 @@ def test_recent_ic_uses_each_factors_own_dates_and_orientation(spark):
     assert got["early"] == pytest.approx(1.0) and got["late"] == pytest.approx(1.0)
 
 
+def test_watched_factors_do_not_meet_in_one_task_each_and_one_series_serves_both_checks(spark):
+    rng = np.random.RandomState(4)
+    rows = [(f, f"s{k}", day, float(rng.randn()), float(rng.randn())) for f in "ab" for day in dates(30) for k in range(9 if day.day < 3 else 12)]
+    df = spark.createDataFrame(rows, "factor_id string, symbol string, date date, value double, fwd_5 double")
+    watched = cut(spark.createDataFrame([("a", "long"), ("b", "short")], "factor_id string, direction string"))
+    facing = L.watched_signals(df, watched)
+    # A stored list has no known size, so a plain join would deal the rows out by factor.
+    assert "SortMergeJoin" not in facing._jdf.queryExecution().executedPlan().toString()
+    daily = IC.daily_ic(facing, at_least=1, undefined="keep")
+    got = {r["factor_id"]: r["rolling_ic_20d"] for r in L.recent_of(daily).collect()}
+    assert got == pytest.approx({r["factor_id"]: r["rolling_ic_20d"] for r in L.recent_ic(facing).collect()})
+    assert L.usable_ic(daily).count() == IC.daily_ic(facing).count()
+
+
 def test_only_held_and_watched_factors_are_checked_and_reasons_need_a_change(spark):
     reg = spark.createDataFrame([("a", "promoted"), ("b", "watchlist"), ("c", "retired"), ("d", "candidate")], "factor_id string, status string")
     assert {r["factor_id"] for r in L.under_watch(reg).collect()} == {"a", "b"}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
-from ..operators import composite as CO, diagnostics as D, health as H, ic as IC, indicators as I, panel as P
+from ..operators import composite as CO, dayscores as DS, diagnostics as D, health as H, ic as IC, indicators as I, panel as P
 from ..operators import quintiles as Q, walkforward as WF
 from ..operators.longform import long_signals
+from ..session import cut
 
 c = F.col
 
@@ -48,7 +49,21 @@ def regime_report(panel: DataFrame, horizon: int = 5, width: int | None = None)
 
 def market_diagnostics(df: DataFrame, target: str = "fwd_5", min_days: int = 80, width: int | None = None) -> DataFrame:
     """Signal diagnosis of every factor with 80 days of ic over at least 30 names."""
-    daily = IC.daily_ic(df, target, at_least=30, width=width)
+    return diagnosed_days(IC.daily_ic(df, target, at_least=30, width=width), min_days)
+
+
+def column_diagnostics(
+    wide: DataFrame, factors: list[str], target: str = "fwd_5", min_days: int = 80, width: int | None = None
+) -> DataFrame:
+    """``market_diagnostics`` of factors that are columns of one row per (symbol, date)."""
+    if not DS.fits(wide, width):
+        return market_diagnostics(long_signals(wide, factors, keep=[target]), target, min_days, width)
+    days = DS.scores_of(wide, factors, target, width, min_ic=30)
+    return diagnosed_days(days.where(c("ic").isNotNull()).select(FACTOR, DATE, "ic", "n_stocks"), min_days)
+
+
+def diagnosed_days(daily: DataFrame, min_days: int) -> DataFrame:
+    daily = cut(daily)  # a row per factor and date, read once by each diagnosis
     long_enough = daily.groupBy(FACTOR).count().where(c("count") >= min_days).select(FACTOR)
     return D.full_diagnosis(daily.join(F.broadcast(long_enough), FACTOR, "left_semi"))
 

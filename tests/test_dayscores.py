@@ -2,7 +2,7 @@ import numpy as np
 
 from sigloom.operators import dayscores as DS, panel as P, quintiles as Q
 from sigloom.operators.longform import long_signals
-from sigloom.plans import mining as M
+from sigloom.plans import mining as M, report as RP
 
 from helpers import bars, dates
 
@@ -57,3 +57,14 @@ def test_candidates_wider_than_a_batch_keep_their_terms_together():
     grid = list(enumerate(M.factor_grid()))
     batches = M.column_batches([x for _, x in grid], 1)
     assert [i for b in batches for i, _ in b] == [i for i, _ in grid]
+
+
+def test_diagnosis_of_columns_reads_the_daily_scores_once(spark):
+    rng = np.random.RandomState(5)
+    rows = [(f"s{k:02d}", d, float(rng.rand()), float(rng.rand()), float(rng.randint(-5, 6))) for d in dates(110) for k in range(32)]
+    wide = spark.createDataFrame(rows, "symbol string, date date, a double, b double, fwd_5 double")
+    got = RP.column_diagnostics(wide, ["a", "b"], width=32)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "Scan ExistingRDD" in plan
+    want = RP.market_diagnostics(long_signals(wide, ["a", "b"], keep=["fwd_5"]), width=32)
+    assert got.count() == 2 and _rows(got) == _rows(want)

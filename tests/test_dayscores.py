@@ -1,5 +1,6 @@
 import numpy as np
 
+from catalog import scoring, testbed as B
 from sigloom.operators import dayscores as DS, panel as P, quintiles as Q
 from sigloom.operators.longform import long_signals
 from sigloom.plans import mining as M, report as RP
@@ -68,3 +69,11 @@ def test_diagnosis_of_columns_reads_the_daily_scores_once(spark):
     assert "FlatMapGroupsInArrow" not in plan and "Scan ExistingRDD" in plan
     want = RP.market_diagnostics(long_signals(wide, ["a", "b"], keep=["fwd_5"]), width=32)
     assert got.count() == 2 and _rows(got) == _rows(want)
+
+
+def test_gates_build_their_inputs_once(spark, monkeypatch):
+    made = []
+    real = B.wide_inputs
+    monkeypatch.setattr(B, "wide_inputs", lambda *a: made.append(a) or real(*a))
+    scoring.gate_inputs(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from catalog import scoring, testbed as B
+from catalog import portfolio, scoring, testbed as B
 from sigloom.operators import dayscores as DS, panel as P, quintiles as Q
 from sigloom.operators.longform import long_signals
 from sigloom.plans import mining as M, report as RP
@@ -77,3 +78,16 @@ def test_gates_build_their_inputs_once(spark, monkeypatch):
     monkeypatch.setattr(B, "wide_inputs", lambda *a: made.append(a) or real(*a))
     scoring.gate_inputs(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_paper_picks_read_stored_inputs(spark, monkeypatch):
+    seen = []
+
+    def stop(spark, sf, signals):
+        seen.append(signals._jdf.queryExecution().executedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(portfolio, "basket_table", stop)
+    with pytest.raises(StopIteration):
+        portfolio.paper(spark, "/root/testdata/sf0.001")
+    assert "Scan ExistingRDD" in seen[0] and "FileScan" not in seen[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DATE, SYMBOL
 from ..functions import rolling as R
-from ..functions.scalar import ratio, share_true
+from ..functions.scalar import ratio, rounded, share_true
 from .panel import by_calendar, neighbour_dates
 
 c = F.col
@@ -17,10 +17,10 @@ def trade_levels(df: DataFrame, market: str) -> DataFrame:
     """Entry, stop, target, reward/risk from close, atr_14 and direction; NULL without a usable range."""
     entry, atr = c("close"), c("atr_14")
     long = c("direction") == "long"
-    stop = F.round(F.when(long, entry - atr * 2).otherwise(entry + atr * 2), 2)
-    target = F.round(F.when(long, entry + atr * 3).otherwise(entry - atr * 3), 2)
+    stop = rounded(F.when(long, entry - atr * 2).otherwise(entry + atr * 2), 2)
+    target = rounded(F.when(long, entry + atr * 3).otherwise(entry - atr * 3), 2)
     if market == "cn":
-        low, high = F.round(entry * 0.90, 2), F.round(entry * 1.10, 2)
+        low, high = rounded(entry * 0.90, 2), rounded(entry * 1.10, 2)
         stop = F.when(long, F.greatest(stop, low)).otherwise(F.least(stop, high))
         target = F.when(long, target).otherwise(F.least(target, high))
     ok = entry.isNotNull() & (atr > 0)
@@ -28,7 +28,7 @@ def trade_levels(df: DataFrame, market: str) -> DataFrame:
     risk = F.abs(entry - c("stop"))
     reward = F.when(risk > 0.01, ratio(F.abs(c("target") - entry), risk)).otherwise(0.0)
     return df.withColumns(
-        {"entry": F.when(ok, F.round(entry, 2)), "atr": F.when(ok, F.round(atr, 2)), "rr": F.when(ok, F.round(reward, 2))}
+        {"entry": F.when(ok, rounded(entry, 2)), "atr": F.when(ok, rounded(atr, 2)), "rr": F.when(ok, rounded(reward, 2))}
     )
 
 
@@ -36,12 +36,12 @@ def watch_levels(df: DataFrame, market: str) -> DataFrame:
     """Stop and target of a pick list row; an unusable range counts as 3% of the close."""
     close = c("close")
     atr = F.when(c("atr_14") > 0, c("atr_14")).otherwise(close * 0.03)
-    stop = F.round(close - atr * 2, 2)
+    stop = rounded(close - atr * 2, 2)
     if market == "cn":
-        stop = F.greatest(stop, F.round(close * 0.90, 2))
+        stop = F.greatest(stop, rounded(close * 0.90, 2))
     else:
-        stop = F.greatest(stop, F.round(close * STOP_FLOOR, 2), F.lit(0.01))
-    return df.withColumns({"stop": stop, "target": F.round(close + atr * 3, 2), "atr_pct": atr / close})
+        stop = F.greatest(stop, rounded(close * STOP_FLOOR, 2), F.lit(0.01))
+    return df.withColumns({"stop": stop, "target": rounded(close + atr * 3, 2), "atr_pct": atr / close})
 
 
 def export_rows(

@@ -120,6 +120,15 @@ def test_stop_floor_and_levels(spark):
     assert [round(x["weight"], 6) for x in w] == [0.5, round(1 / 3, 6), round(1 / 6, 6)]
 
 
+def test_levels_round_halves_of_a_cent_as_sql_does(spark):
+    """1971.95 * 0.9 is 1774.7549999999999, whose hundredfold is 177475.5."""
+    df = spark.createDataFrame(
+        [("L", 1971.9499999999998, 12460.34903050861, "long")], "symbol string, close double, atr_14 double, direction string"
+    )
+    r = PF.trade_levels(df, "cn").first()
+    assert (r["stop"], r["target"], r["rr"]) == (1774.76, 39353.0, 189.57)
+
+
 def test_export_passes_on_what_its_detail_has_rounded(spark):
     df = spark.createDataFrame(
         [("S", 1747.4, 4172.4961, "short", 0.5)], "symbol string, close double, atr_14 double, direction string, score double"

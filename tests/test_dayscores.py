@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from catalog import portfolio, scoring, testbed as B
-from sigloom.operators import dayscores as DS, panel as P, quintiles as Q
+from sigloom.operators import dayscores as DS, ic as IC, panel as P, quintiles as Q, ranking
 from sigloom.operators.longform import long_signals
 from sigloom.plans import mining as M, report as RP
 
@@ -91,3 +91,31 @@ def test_paper_picks_read_stored_inputs(spark, monkeypatch):
     with pytest.raises(StopIteration):
         portfolio.paper(spark, "/root/testdata/sf0.001")
     assert "Scan ExistingRDD" in seen[0] and "FileScan" not in seen[0]
+
+
+def test_ranks_and_ic_of_columns_are_those_of_rows(spark):
+    wide = _wide(spark)
+    ranked = ranking.order_stats(long_signals(wide, ["a", "b"], keep=["fwd_5"]), ["factor_id", "date"], "value", "_r", 40)
+    want = ranked.withColumn("value", ranking.percent_rank("_r")).drop("_r_below", "_r_upto", "_r_n")
+    got = DS.percent_ranks(wide, ["a", "b"], 40)
+    assert _rows(long_signals(got, ["a", "b"], keep=["fwd_5"])) == _rows(want)
+    for least, undefined in ((1, "keep"), (10, "zero"), (10, "drop")):
+        by_rows = IC.daily_ic(want, at_least=least, undefined=undefined, width=40)
+        assert _rows(DS.column_ic(got, ["a", "b"], "fwd_5", least, undefined, 40)) == _rows(by_rows)
+
+
+def test_mining_and_candidates_make_no_row_per_factor(spark, monkeypatch):
+    """Single ranks are mined, tested and de-duplicated from columns."""
+    rng = np.random.RandomState(1)
+    closes = {f"s{k:02d}": list(np.abs(50 + np.cumsum(rng.randn(80))) + 5) for k in range(40)}
+    panel = P.with_features(P.index_bars(bars(spark, closes))).withColumn("fwd_5", P.forward_return(5))
+    grid = [x for x in M.factor_grid() if x.formula in ("rank(-ret_5d)", "rank(-delta(close, 3))", "rank(close)")]
+    monkeypatch.setattr(M, "grid_signals", None)
+    mined = M.mine(panel, grid, "us", resamples=100, width=40)
+    assert mined.count() <= len(grid)
+
+
+def test_signals_shuffle_a_row_per_bar(spark):
+    """Ranks are taken before a bar becomes a row per factor."""
+    plan = B.signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Expand") < plan.index("FlatMapGroupsInArrow")

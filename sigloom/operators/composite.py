@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
-from . import moments as MO, quintiles as Q, ranking
+from . import dayscores as DS, moments as MO, quintiles as Q, ranking
+from ..session import cut
 from .panel import beside, by_calendar, trade_dates
 
 c = F.col
@@ -52,6 +55,12 @@ def weighted_composite(df: DataFrame, weights: DataFrame, keep: tuple[str, ...]
     )
 
 
+def weighted_columns(ranks: DataFrame, weights: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``weighted_composite`` of factors that are columns of one row per (symbol, date)."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(c(f), F.lit(0.0)) * F.lit(w) for f, w in weights.items()])
+    return ranks.select(SYMBOL, DATE, total.alias(VALUE), *keep)
+
+
 # --- voting ----------------------------------------------------------------
 
 def end_means(df: DataFrame, target: str, width: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +133,15 @@ def distance_outliers(
     filled = F.transform(F.lit(factors), lambda f: F.when(F.array_contains("_on", f), F.try_element_at("_of", f)).otherwise(0.0))
     rows = values.join(present, DATE).select(SYMBOL, DATE, filled.alias("x"))
     rows = rows.where(F.forall("x", lambda v: v.isNotNull()))
-    stats = MO.grouped_moments(rows, c("x"), k, DATE).where(c("n") >= min_names)
+    measured = measured_distances(rows, k, min_names).where(c("distance").isNotNull())
+    ranked = ranking.order_stats(measured, [DATE], "distance", "d", width)
+    return ranked.where(c("d_below") > F.floor((c("d_n") - 1) * 4 / 5)).select(SYMBOL, DATE, "distance")
+
+
+def measured_distances(rows: DataFrame, k: int, min_names: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, date, keep..., distance) of rows whose ``x`` holds k numbers; missing where one is, and on dates with under ``min_names`` whole rows."""
+    whole = F.forall("x", lambda v: v.isNotNull())
+    stats = MO.grouped_moments(rows.where(whole), c("x"), k, DATE).where(c("n") >= min_names)
     sd = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sqrt(F.greatest(F.get("cov", i * (k + 1)), F.lit(0.0))))
     stats = stats.select(DATE, "mean", "cov", sd.alias("sd"))
     cell = lambda v, i: v / ((F.get("sd", F.floor(i / k).cast("int")) + 1e-12) * (F.get("sd", i % k) + 1e-12))
@@ -134,11 +151,57 @@ def distance_outliers(
     # z'w is one array; its product with z the squared distance.
     row = lambda i: F.aggregate(F.zip_with("_z", F.slice("_w", i * k + 1, F.lit(k)), lambda x, w: x * w), F.lit(0.0), add)
     form = F.aggregate(F.transform("_z", lambda x, i: x * row(i)), F.lit(0.0), add)
-    measured = rows.join(stats, DATE).select(SYMBOL, DATE, z.alias("_z"), "_w")
+    measured = rows.join(by_calendar(stats), DATE, "left").select(SYMBOL, DATE, *keep, F.when(whole, z).alias("_z"), "_w")
     # Rounded, so that distances that are equal but for the order of summing tie.
-    measured = measured.select(SYMBOL, DATE, F.round(F.sqrt(F.greatest(form, F.lit(0.0))), 9).alias("distance"))
-    ranked = ranking.order_stats(measured, [DATE], "distance", "d", width)
-    return ranked.where(c("d_below") > F.floor((c("d_n") - 1) * 4 / 5)).select(SYMBOL, DATE, "distance")
+    return measured.select(SYMBOL, DATE, *keep, F.round(F.sqrt(F.when(c("_z").isNotNull() & c("_w").isNotNull(), F.greatest(form, F.lit(0.0)))), 9).alias("distance"))
+
+
+def voting_columns(
+    ranks: DataFrame, factors: list[str], target: str = "fwd_5", lookback: int = 120, min_history: int = 20, min_names: int = 100,
+    width: int | None = None, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """``voting_composite`` of factors that are columns of one row per (symbol, date), of which ``keep`` are passed on.
+
+    ``ranks`` holds percent ranks and is read several times. Labels follow from a rank alone where no values tie; ties are
+    counted, so labels are made where a date's names meet. What is known per factor and date is one row per DATE and goes
+    to every task; a bar is never joined with itself.
+    """
+    k = len(factors)
+    labels = DS.quantile_columns(ranks, factors, width)
+    each = [
+        F.struct(
+            F.lit(f).alias(FACTOR),
+            F.count(f).alias("n"),
+            sum((F.max(F.when(c(f"_q_{f}") == i, 1).otherwise(0)) for i in range(1, Q.GROUPS + 1)), F.lit(0)).alias("_bins"),
+            F.avg(F.when(c(f"_q_{f}") == 1, c(target))).alias("q1"),
+            F.avg(F.when(c(f"_q_{f}") == 5, c(target))).alias("q5"),
+        )
+        for f in factors
+    ]
+    per_day = labels.groupBy(DATE).agg(F.array(*each).alias("_e")).select(DATE, F.inline("_e"))
+    daily = cut(per_day.where((c("n") >= 25) & (c("_bins") == 5)).select(FACTOR, DATE, "q1", "q5"))
+    sides = voting_sides(daily, trade_dates(ranks), lookback, min_history)
+    at = [F.max(F.when(c(FACTOR) == f, c("best"))) for f in factors]
+    sides = cut(sides.groupBy(DATE).agg(F.array(*at).alias("_best")))
+    known = labels.join(by_calendar(sides), DATE, "left")
+    marks, filled = [], []
+    for i, f in enumerate(factors):
+        q, best = c(f"_q_{f}"), F.get("_best", F.lit(i))
+        mark = F.when(q == best, 1.0).when(q == 6 - best, -1.0).otherwise(0.0)
+        marks.append(F.when(q.isNotNull() & best.isNotNull(), mark))
+        filled.append(F.when(best.isNotNull(), c(f)).otherwise(0.0))
+    votes_ = [F.when(m.isNotNull(), 1).otherwise(0) for m in marks]
+    n, total = reduce(lambda a, b: a + b, votes_), reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(0.0)) for m in marks])
+    valued = F.greatest(*[F.when(c(f).isNotNull(), 1).otherwise(0) for f in factors]) == 1
+    bars = cut(
+        known.where(c("_best").isNotNull() & valued).select(
+            SYMBOL, DATE, *keep, F.when(n > 0, total / n).alias("_vote"), F.array(*filled).alias("_x")
+        )
+    )
+    far = measured_distances(bars.withColumnRenamed("_x", "x"), k, min_names, keep=(*keep, "_vote"))
+    ranked = ranking.order_stats(far, [DATE], "distance", "d", width)
+    half = F.when(c("d_below") > F.floor((c("d_n") - 1) * 4 / 5), 0.5).otherwise(1.0)
+    return ranked.where(c("_vote").isNotNull()).select(SYMBOL, DATE, *keep, (c("_vote") * half).alias(VALUE))
 
 
 def voting_composite(

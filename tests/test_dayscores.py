@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from catalog import portfolio, scoring, testbed as B
-from sigloom.operators import dayscores as DS, ic as IC, panel as P, quintiles as Q, ranking
+from catalog import portfolio, records, scoring, testbed as B
+from sigloom.operators import composite as CO, dayscores as DS, ic as IC, panel as P, quintiles as Q, ranking
 from sigloom.operators.longform import long_signals
 from sigloom.plans import mining as M, report as RP
 
@@ -119,3 +119,24 @@ def test_signals_shuffle_a_row_per_bar(spark):
     """Ranks are taken before a bar becomes a row per factor."""
     plan = B.signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Expand") < plan.index("FlatMapGroupsInArrow")
+
+
+def test_votes_of_columns_are_those_of_rows(spark):
+    rng = np.random.RandomState(7)
+    rows = [(f"s{k:02d}", d, *[None if rng.rand() < 0.05 else float(rng.randint(0, 40)) for _ in range(2)], None if i == 5 else float(rng.rand()), float(rng.randn()))
+            for i, d in enumerate(dates(40)) for k in range(60 if i % 9 else 20)]
+    wide = spark.createDataFrame(rows, "symbol string, date date, a double, b double, c double, fwd_5 double")
+    ranks = DS.percent_ranks(wide, ["a", "b", "c"], 60)
+    long = long_signals(ranks, ["a", "b", "c"], keep=["fwd_5"])
+    want = CO.voting_composite(long, ["a", "b", "c"], "fwd_5", lookback=30, min_history=5, min_names=30, width=60)
+    got = CO.voting_columns(ranks, ["a", "b", "c"], "fwd_5", lookback=30, min_history=5, min_names=30, width=60)
+    assert _rows(got) == _rows(want) and got.count() > 1000
+
+
+@pytest.mark.parametrize("query", [records.promotion_plan, records.promoted_registry, scoring.correlation_dedup, portfolio.composite_ic])
+def test_queries_make_their_inputs_once(spark, monkeypatch, query):
+    made = []
+    real = B.wide_inputs
+    monkeypatch.setattr(B, "wide_inputs", lambda *a: made.append(a) or real(*a))
+    query(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..columns import DATE, FACTOR, SYMBOL, VALUE
@@ -25,10 +27,14 @@ def indicator_signals(panel: DataFrame, horizon: int = 5) -> DataFrame:
 def factor_report(panel: DataFrame, horizon: int = 5, min_rows: int = 100, width: int | None = None) -> DataFrame:
     """One row per indicator: ic, quintile spread, turnover, trend and a status."""
     target = f"fwd_{horizon}"
-    signals = indicator_signals(panel, horizon).where(c(VALUE).isNotNull() & c(target).isNotNull())
+    table = I.feature_table(panel.withColumn(target, P.forward_return(horizon)), keep=(target,))
+    table = cut(table.select(SYMBOL, DATE, target, *REPORTED))
+    signals = long_signals(table, REPORTED, keep=[target]).where(c(VALUE).isNotNull() & c(target).isNotNull())
     rows = signals.groupBy(FACTOR).agg(F.count(F.lit(1)).alias("n_rows")).where(c("n_rows") >= min_rows)
-    pairs = Q.labelled(signals, target, width=width)
-    days = Q.daily_scores(pairs, target)
+    if DS.fits(table, width):
+        days = cut(DS.scores_of(table, REPORTED, target, width))
+    else:
+        days = Q.daily_scores(Q.labelled(signals, target, width=width), target)
     ic = days.where(c("ic").isNotNull()).select(FACTOR, DATE, "ic")
     turnover = Q.turnover_summary(Q.top_turnover(signals.select(FACTOR, SYMBOL, DATE, VALUE), width=width))
     trend = IC.ic_trend(ic).select(FACTOR, "slope_per_year", "verdict")
@@ -47,6 +53,14 @@ def regime_report(panel: DataFrame, horizon: int = 5, width: int | None = None)
     return IC.ic_by_regime(indicator_signals(panel, horizon), f"fwd_{horizon}", width=width)
 
 
+def regime_columns(wide: DataFrame, factors: list[str], target: str, width: int | None = None) -> DataFrame:
+    """``ic.ic_by_regime`` of factors that are columns beside ``regime``; the names of one regime are ranked date by date."""
+    long = long_signals(wide, factors, keep=["regime", target])
+    own = lambda k: DS.column_ic(wide.where(c("regime") == k), factors, target, width=width).withColumn("regime", F.lit(k))
+    daily = reduce(lambda a, b: a.unionByName(b), [own(k) for k in IC.REGIMES])
+    return IC.ic_by_regime(long, target, width=width, daily=daily)
+
+
 def market_diagnostics(df: DataFrame, target: str = "fwd_5", min_days: int = 80, width: int | None = None) -> DataFrame:
     """Signal diagnosis of every factor with 80 days of ic over at least 30 names."""
     return diagnosed_days(IC.daily_ic(df, target, at_least=30, width=width), min_days)
@@ -85,8 +99,6 @@ def compare_methods(
     width: int | None = None,
 ) -> DataFrame:
     """Walk-forward averages of the best single factors, the weighted and the voting composite."""
-    names = ["avg_ic", "avg_ic_ir", "avg_sharpe", "avg_turnover", "avg_monotonicity"]
-    digits = [4, 3, 3, 4, 3]
     returns = df.groupBy(SYMBOL, DATE).agg(F.max(target).alias(target))
     voted = CO.voting_composite(df, factors, target, lookback=lookback, width=width).join(returns, [SYMBOL, DATE])
     weighted = CO.weighted_composite(df, weights, keep=(target,))
@@ -96,7 +108,30 @@ def compare_methods(
         .unionByName(weighted.withColumn(FACTOR, F.lit("*weighted")).select(*cols))
         .unionByName(voted.withColumn(FACTOR, F.lit("*voting")).select(*cols))
     )
-    scored = WF.walk_forward(WF.fold_metrics(everything, folds, target, cost, width=width))
+    return side_by_side(WF.walk_forward(WF.fold_metrics(everything, folds, target, cost, width=width)), top_k)
+
+
+def compare_columns(
+    ranks: DataFrame, factors: list[str], weights: dict[str, float], folds: DataFrame, target: str = "fwd_5", cost: float = 0.003,
+    top_k: int = 5, lookback: int = 120, width: int | None = None,
+) -> DataFrame:
+    """``compare_methods`` of factors that are columns of one row per (symbol, date); ``ranks`` is read several times."""
+    voted = CO.voting_columns(ranks, factors, target, lookback, width=width, keep=(target,))
+    weighted = CO.weighted_columns(ranks, weights, keep=(target,))
+    cols = [FACTOR, SYMBOL, DATE, VALUE, target]
+    everything = (
+        long_signals(ranks, factors, keep=[target]).select(*cols)
+        .unionByName(weighted.withColumn(FACTOR, F.lit("*weighted")).select(*cols))
+        .unionByName(voted.withColumn(FACTOR, F.lit("*voting")).select(*cols))
+    )
+    return side_by_side(WF.walk_forward(WF.fold_metrics(everything, folds, target, cost, width=width)), top_k)
+
+
+def side_by_side(scored: DataFrame, top_k: int) -> DataFrame:
+    """A row per method out of the averages of all factors, "*weighted" and "*voting"."""
+    names = ["avg_ic", "avg_ic_ir", "avg_sharpe", "avg_turnover", "avg_monotonicity"]
+    digits = [4, 3, 3, 4, 3]
+    scored = cut(scored)
     own = ~c(FACTOR).startswith("*")
     best = scored.where(own).orderBy(F.desc("avg_sharpe"), FACTOR).limit(top_k)
     single = best.agg(

@@ -99,10 +99,11 @@ def ic_exit_flag(df: DataFrame, dates: DataFrame, target: str = "fwd_1", window:
 
 
 def rebalance_schedule(
-    df: DataFrame, dates: DataFrame, ret: str, hold: int = 5, lookback: int = 40, n: int = 10, width: int | None = None
+    df: DataFrame, dates: DataFrame, ret: str, hold: int = 5, lookback: int = 40, n: int = 10, width: int | None = None,
+    daily: DataFrame | None = None,
 ) -> DataFrame:
-    """Holdings (rebalance_no, date_no, factor, side, symbol, rank) at every ``hold``-th date."""
-    daily = basket_returns(df, ret, n, width)
+    """Holdings (rebalance_no, date_no, factor, side, symbol, rank) at every ``hold``-th date; ``daily``: ``basket_returns``, where at hand."""
+    daily = basket_returns(df, ret, n, width) if daily is None else daily
     chosen = best_factor(trailing_sharpe(daily, dates, lookback, lag=hold))
     first = lookback + hold
     last = dates.agg((F.max("date_no")).alias("_last"))

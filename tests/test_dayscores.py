@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from catalog import portfolio, records, scoring, testbed as B
-from sigloom.operators import composite as CO, dayscores as DS, ic as IC, panel as P, quintiles as Q, ranking
+from sigloom.operators import composite as CO, dayscores as DS, ic as IC, panel as P, quintiles as Q, ranking, selection as SE
 from sigloom.operators.longform import long_signals
 from sigloom.plans import mining as M, report as RP
 
@@ -140,3 +140,18 @@ def test_queries_make_their_inputs_once(spark, monkeypatch, query):
     monkeypatch.setattr(B, "wide_inputs", lambda *a: made.append(a) or real(*a))
     query(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_baskets_of_columns_are_those_of_rows(spark):
+    wide = _wide(spark)
+    want = SE.basket_returns(long_signals(wide, ["a", "b"], keep=["fwd_5"]), "fwd_5", 4, 40)
+    assert _rows(DS.basket_columns(wide, ["a", "b"], "fwd_5", 4, SE.MIN_NAMES)) == _rows(want)
+
+
+@pytest.mark.parametrize("query", [portfolio.factor_usage, scoring.ic_by_regime])
+def test_schedule_and_regimes_make_their_inputs_once(spark, monkeypatch, query):
+    made = []
+    real = B.panel
+    monkeypatch.setattr(B, "panel", lambda *a: made.append(a) or real(*a))
+    query(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import discard, split_join, stored
+from .shared import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (x, y): comp is the smallest node that can be reached.
 
     Each step is a group-by for the smallest neighbour, folded in each task,
-    and a join back in which a node with very many neighbours is split. The
+    and a join back, in which Spark splits a node with very many neighbours
+    (an adaptive skew join: nothing above it needs a node's rows together). The
     number of rounds grows with the logarithm of the nodes.
     """
     now = stored(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
@@ -37,9 +38,8 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Link the neighbours of each u that are larger (or not larger) than u to u's smallest neighbour."""
     if not larger:
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count(F.lit(1)).alias("n"))
-    met = split_join(pairs, lowest.select("u", "low"), "u", lowest.select("u", "n"), F.col("v"), "inner")
-    linked = met.where("v > u" if larger else "v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    if not larger:
-        linked = linked.union(lowest.where("u <> low").select("u", "low"))
-    return linked.where("u <> v").distinct()
+    lowest = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+    linked = pairs.join(lowest, "u").where("v > u" if larger else "v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    if larger:
+        return linked.where("u <> v")  # the small star that follows drops repeated pairs
+    return linked.union(lowest.where("u <> low").select("u", "low")).where("u <> v").distinct()

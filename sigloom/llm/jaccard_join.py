@@ -7,7 +7,8 @@ blocks by size and position, so whole blocks that cannot reach the needed
 overlap are skipped. Every set of a list is first compared with one pivot;
 sets that link to the same pivot are one component and are not compared with
 each other, and for sets that do not link the known overlaps with a pivot
-bound the overlap with each of the pivot's other sets.
+bound the overlap with each of the pivot's other sets. Sets meet as short sets,
+a byte or so a shingle; whole sets only where these leave the answer open.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ STAR_YIELD = 10
 TRY_MORE = 4
 #: Bits of a set's sketch.
 SKETCH_BITS = 512
+#: Cells a shingle, at least, into which a short set divides all hashes.
+CELLS = 32
 LISTS = ["token", "part", "sid", "size", "place", "pivot", "pivot_size", "pivot_place"]
 NO_ID = -(2**63)
 
@@ -231,38 +234,99 @@ def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether the difference that the sketches prove still allows a link; ``sizes`` are the sums of both sizes."""
-    return difference(a, b) * (den + num) <= sizes * (den - num)
+    return allows(difference(a, b), sizes, num, den)
 
 
-def set_rows(width: int):
-    """Texts to (sid, size, sketch, tokens): tokens are the packed shingle hashes of each set."""
+def allows(apart: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets whose sizes add up to ``sizes`` may link if they differ in ``apart`` shingles at least."""
+    return apart * (den + num) <= sizes * (den - num)
+
+
+def cell_bits(size: int) -> int:
+    """The leading bits of a hash that name its cell in a short set of this size."""
+    return (size * CELLS).bit_length()
+
+
+def short_set(tokens: np.ndarray) -> bytes:
+    """The cells of ascending shingle hashes, as gaps: a gap is a byte 255 for each 255 in it, then a byte for the rest."""
+    cells = (tokens >> np.uint64(64 - cell_bits(len(tokens)))).astype(np.int64)
+    gaps = np.diff(cells, prepend=0)
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def cells_of(packed) -> np.ndarray:
+    """The cells that ``short_set`` packed."""
+    gaps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+
+
+def shared_bounds(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The most and the least that two sets share, from their cells.
+
+    Shared shingles share a cell, so the most is certain. Others that meet in
+    a cell by chance are of a Poisson number of known mean; more than eight
+    times the mean and 20 have a probability below 2**-64.
+    """
+    bits = [cell_bits(len(x)) for x in (a, b)]
+    a, b = (x >> (k - min(bits)) for x, k in zip((a, b), bits))
+    (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    most = int(np.minimum(n[i], m[j]).sum())
+    mean = (len(a) - most) * (len(b) - most) / 2 ** min(bits)
+    return most, max(most - 20 - int(np.ceil(8 * mean)), 0)
+
+
+def set_rows(width: int, whole: bool = False):
+    """Texts to (sid, size, sketch, cells), or to (sid, tokens): the packed shingle hashes of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in small_batches(batches, "text", TEXT_BYTES):
             runs, at = shingle_sets(rows.column("text"), width)
-            packed = [runs[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            marks = [sketch(runs[a:b]) for a, b in zip(at[:-1], at[1:])]
-            columns = [pa.array(set_ids(runs, at)), pa.array(np.diff(at)), pa.array(marks, pa.binary()), pa.array(packed, pa.binary())]
-            yield pa.record_batch(columns, ["sid", "size", "sketch", "tokens"])
+            sids = pa.array(set_ids(runs, at))
+            each = [runs[a:b] for a, b in zip(at[:-1], at[1:])]
+            if whole:
+                yield pa.record_batch([sids, pa.array([v.tobytes() for v in each], pa.binary())], ["sid", "tokens"])
+                continue
+            packed = [pa.array([f(v) for v in each], pa.binary()) for f in (sketch, short_set)]
+            yield pa.record_batch([sids, pa.array(np.diff(at)), *packed], ["sid", "size", "sketch", "cells"])
 
     return run
 
 
-def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y, x_tokens, y_tokens) to (x, y, x_size, y_size, shared)."""
-    for rows in batches:
-        sizes, shared = [[], []], []
-        for a, b in zip(rows.column("x_tokens"), rows.column("y_tokens")):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            both = np.concatenate((a, b))
-            both.sort()
-            shared.append(int((both[1:] == both[:-1]).sum()))
-            sizes[0].append(len(a))
-            sizes[1].append(len(b))
-        yield pa.record_batch(
-            [rows.column("x"), rows.column("y"), *[pa.array(v, pa.int64()) for v in (*sizes, shared)]],
-            ["x", "y", "x_size", "y_size", "shared"],
-        )
+OVERLAPS = "x long, y long, x_size long, y_size long, shared long, least long"
+
+
+def _compared(kind: str, count):
+    """(x, y, x_<kind>, y_<kind>) to OVERLAPS; ``count`` gives both sizes, the most and the least that is shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [count(a.as_buffer(), b.as_buffer()) for a, b in zip(rows.column(f"x_{kind}"), rows.column(f"y_{kind}"))]
+            found = np.array(found, np.int64).reshape(-1, 4)
+            yield pa.record_batch(
+                [rows.column("x"), rows.column("y"), *[pa.array(v) for v in found.T]], ["x", "y", "x_size", "y_size", "shared", "least"]
+            )
+
+    return run
+
+
+def _by_cells(a, b) -> tuple[int, int, int, int]:
+    a, b = cells_of(a), cells_of(b)
+    return len(a), len(b), *shared_bounds(a, b)
+
+
+def _by_tokens(a, b) -> tuple[int, int, int, int]:
+    a, b = (np.frombuffer(v, np.uint64) for v in (a, b))
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return len(a), len(b), shared, shared
+
+
+near_overlaps, overlaps = _compared("cells", _by_cells), _compared("tokens", _by_tokens)
 
 
 def linked(shared: Column, x_size: Column, y_size: Column, num: int, den: int) -> Column:
@@ -279,18 +343,6 @@ def room(x_size: Column, x_place: Column, y_size: Column, y_place: Column) -> Co
     return F.least(x_size - x_place, y_size - y_place)
 
 
-def close_pairs(num: int, den: int):
-    """(x, y, x_size, y_size, x_sketch, y_sketch) to the pairs (x, y) that may still link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            sizes = sum(rows.column(k).to_numpy() for k in ("x_size", "y_size"))
-            stay = may_link(*(sketch_words(rows.column(k)) for k in ("x_sketch", "y_sketch")), sizes, num, den)
-            yield rows.select(["x", "y"]).filter(pa.array(stay))
-
-    return run
-
-
 def match_lists(num: int, den: int):
     """Rows sorted by (token, chunk, probe, size, place) to the pairs (x, y, x_size, y_size, apart) of one list that may link.
 
@@ -318,7 +370,7 @@ def match_lists(num: int, den: int):
             i, j = np.nonzero(ok)
             i, j = m + p[i], low + j
             apart = difference(marks[i], marks[j])
-            stay = apart * (den + num) <= (size[i] + size[j]) * (den - num)
+            stay = allows(apart, size[i] + size[j], num, den)
             out.append(np.stack([sid[i[stay]], sid[j[stay]], size[i[stay]], size[j[stay]], apart[stay]]))
         return out
 
@@ -359,34 +411,40 @@ def _breaks(token: np.ndarray, chunk: np.ndarray) -> np.ndarray:
 class Join:
     """The state of one join: the sets, the pairs that were tried, the verified overlaps."""
 
-    def __init__(self, sets: DataFrame, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
+    def __init__(self, sets: DataFrame, whole, num: int, den: int):
+        self.sets, self.whole, self.num, self.den = sets, whole, num, den
         self.answers: DataFrame | None = None
         self.tried: DataFrame | None = None
 
-    def with_sets(self, pairs: DataFrame, n: int, fields: tuple[str, ...]) -> DataFrame:
-        """``n`` pairs (x, y) with these fields of both sets; a set in very many pairs is split."""
+    def with_sets(self, pairs: DataFrame, n: int, sets: DataFrame, field: str) -> DataFrame:
+        """``n`` pairs (x, y) with this field of both sets; a set in very many pairs is split."""
         for side in "xy":
             ids = pairs.select(F.col(side).alias("sid"))
-            own = self.sets.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "sid", "left_semi")
-            own = own.select(F.col("sid").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in fields])
+            own = sets.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "sid", "left_semi")
+            own = own.select(F.col("sid").alias(side), F.col(field).alias(f"{side}_{field}"))
             counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")) if n >= HOT_LEAST else None
             pairs = split_join(pairs, own, side, counts, F.struct("x", "y"), "inner")
-        return pairs
+        return pairs.select("x", "y", f"x_{field}", f"y_{field}")
 
     def verify(self, pairs: DataFrame, n: int) -> int:
-        """Try ``n`` new pairs (x, y): by sketch, then by their whole sets. The number of those that link."""
+        """Try ``n`` new pairs (x, y): by short sets, then by whole sets where these leave it open. The number of those that link."""
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        close = self.with_sets(pairs, n, ("size", "sketch")).select("x", "y", "x_size", "y_size", "x_sketch", "y_sketch")
-        close = stored(close.mapInArrow(close_pairs(self.num, self.den), "x long, y long"))
-        whole = self.with_sets(close, close.count(), ("tokens",)).select("x", "y", "x_tokens", "y_tokens")
-        new = stored(whole.mapInArrow(overlaps, "x long, y long, x_size long, y_size long, shared long"))
-        discard(close)
+        near = stored(self.with_sets(pairs, n, self.sets, "cells").mapInArrow(near_overlaps, OVERLAPS))
+        may = linked(F.col("shared"), F.col("x_size"), F.col("y_size"), self.num, self.den)
+        seen = near.agg(F.count_if(self.links()).alias("sure"), F.count_if(may).alias("may")).first()
+        new, found, n = near, seen["sure"], seen["may"] - seen["sure"]
+        if n:
+            left = stored(near.where(may & ~self.links()).select("x", "y"))
+            whole = stored(self.whole(left.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), 2 * n))
+            exact = stored(self.with_sets(left, n, whole, "tokens").mapInArrow(overlaps, OVERLAPS))
+            discard(left, whole)
+            new = near.where(~may | self.links()).union(exact)
+            found += exact.where(self.links()).count()
         self.answers = new if self.answers is None else self.answers.union(new)
-        return new.where(self.links()).count()
+        return found
 
     def links(self) -> Column:
-        return linked(F.col("shared"), F.col("x_size"), F.col("y_size"), self.num, self.den)
+        return linked(F.col("least"), F.col("x_size"), F.col("y_size"), self.num, self.den)
 
     def components(self) -> DataFrame:
         return stored(components(self.answers.where(self.links()).select("x", "y")))
@@ -400,7 +458,7 @@ class Join:
 
         With |x & p| and |y & p| known, |x & y| is at most |x & p| + |y - p|.
         """
-        near = self.answers.select(F.col("x").alias("y"), F.col("y").alias("p"), (F.col("x_size") - F.col("shared")).alias("y_rest"))
+        near = self.answers.select(F.col("x").alias("y"), F.col("y").alias("p"), (F.col("x_size") - F.col("least")).alias("y_rest"))
         mine = self.answers.select("x", F.col("y").alias("p"), F.col("shared").alias("x_shared"))
         none = (
             pairs.join(near, "y")
@@ -425,21 +483,27 @@ def labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(live, "token", "left_semi")
 
 
-def favourite(pairs: DataFrame) -> DataFrame:
-    """For each x, the y that it meets in most lists."""
-    met = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("x").agg(F.max("n").alias("n"))
-    return met.join(best, ["x", "n"]).groupBy("x").agg(F.min("y").alias("y"))
+def favourite(met: DataFrame) -> DataFrame:
+    """For each x of (x, y, n), the y that it meets in most lists."""
+    return met.groupBy("x").agg(F.min(F.struct(-F.col("n"), "y")).getField("y").alias("y"))
 
 
-def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, comp) of all sets that link with another; ``lists`` as from ``shared_lists``."""
-    state = Join(sets, num, den)
+def meetings(pairs: DataFrame) -> DataFrame:
+    """(x, y, n): in how many lists the pairs (x, y) meet."""
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def link_lists(lists: DataFrame, sets: DataFrame, whole, num: int, den: int) -> DataFrame:
+    """(node, comp) of all sets that link with another; ``lists`` as from ``shared_lists``.
+
+    ``whole`` gives (sid, tokens) for a table of at most so many sid.
+    """
+    state = Join(sets, whole, num, den)
     stars = lists.where("sid <> pivot").select(
         F.col("sid").alias("x"), F.col("pivot").alias("y"), F.col("size").alias("x_size"), F.col("place").alias("x_place"),
         F.col("pivot_size").alias("y_size"), F.col("pivot_place").alias("y_place"),
     )
-    pairs = stored(favourite(stars.where(state.possible("x", "y"))))
+    pairs = stored(favourite(meetings(stars.where(state.possible("x", "y")))))
     state.verify(pairs, pairs.count())
     comps = state.components()
     lists, was = lists.select("token", "sid", "size", "place"), lists
@@ -448,10 +512,9 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         discard(was)
         lists = was = now
         # The largest component of each list, and its set of least place.
-        main = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
-        most = main.groupBy("token").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-        main = main.select("token", "comp", "place", F.col("n").alias("most")).join(most, ["token", "most"])
-        main = main.groupBy("token", "n", "most").agg(F.min("comp").alias("main"))
+        main = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+        main = main.groupBy("token").agg(F.sum("n").alias("n"), F.min(F.struct(-F.col("n"), "comp")).alias("main"))
+        main = main.select("token", "n", (-F.col("main.col1")).alias("most"), F.col("main.comp").alias("main"))
         main = stored(main)
         rows = split_join(lists, main.select("token", "main"), "token", main.select("token", "n"), F.col("sid"), "inner")
         strays, inner = stored(rows.where("comp <> main")), rows.where("comp = main")
@@ -460,7 +523,7 @@ def link_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         pivots = pivots.groupBy("token").agg(F.min("sid").alias("y"), F.min("size").alias("y_size"), F.min("place").alias("y_place"))
         stars = strays.select("token", F.col("sid").alias("x"), F.col("size").alias("x_size"), F.col("place").alias("x_place"))
         stars = split_join(stars, pivots, "token", main.select("token", "n"), F.col("x"), "inner").where(state.possible("x", "y"))
-        pairs = stored(favourite(state.untried(stars.select("x", "y"))))
+        pairs = stored(favourite(state.untried(meetings(stars))))
         lists = lists.drop("comp")
         tried = pairs.count()
         found = state.verify(pairs, tried) if tried else 0
@@ -554,9 +617,14 @@ def jaccard_classes(
     wanted = stored(wanted.distinct())
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = stored(texts.join(wanted, "id", "left_semi").select("text").mapInArrow(set_rows(width), "sid long, size long, sketch binary, tokens binary"))
+    sets = stored(texts.join(wanted, "id", "left_semi").select("text").mapInArrow(set_rows(width), "sid long, size long, sketch binary, cells binary"))
+
+    def whole(sids: DataFrame, n: int) -> DataFrame:
+        ids = classes.join(sids, "sid", "left_semi").select(F.coalesce("first", F.lit(NO_ID)).alias("id"))
+        own = texts.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", "left_semi").select("text")
+        return own.mapInArrow(set_rows(width, whole=True), "sid long, tokens binary")
 
-    comps = link_lists(lists, sets, num, den).select(F.col("node").alias("sid"), "comp")
+    comps = link_lists(lists, sets, whole, num, den).select(F.col("node").alias("sid"), "comp")
     grouped = stored(classes.join(comps, "sid"))
     ids = stored(grouped.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
     of_set = split_join(grouped.select("sid", "comp"), ids.select("comp", "component_id"), "comp", ids.select("comp", "n"), F.col("sid"), "inner")

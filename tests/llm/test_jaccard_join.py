@@ -95,3 +95,42 @@ def test_sketches_never_rule_out_a_link(a, b):
     marks = [np.frombuffer(J.sketch(v), np.uint64)[None] for v in (x, y)]
     if 100 * shared >= 85 * (a + b - shared):
         assert J.may_link(*marks, np.array([a + b]), 85, 100).all()
+
+
+def test_short_sets_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for a, b, shared in [(1, 1, 1), (1, 1, 0), (60, 70, 55), (900, 1100, 880), (5000, 5100, 4700), (3000, 200, 0), (255, 257, 120)]:
+        both = rng.integers(0, 2**64, a + b - shared, np.uint64)
+        x, y = np.sort(both[:a]), np.sort(both[a - shared :])
+        packed = [J.short_set(v) for v in (x, y)]
+        cells = [J.cells_of(v) for v in packed]
+        assert [len(v) for v in cells] == [a, b] and all((np.diff(v) >= 0).all() for v in cells)
+        most, least = J.shared_bounds(*cells)
+        assert least <= shared <= most
+    assert len(packed[0]) < 2 * a
+
+
+def test_long_sets_link_by_their_cells(spark):
+    """Sets of 3,000 shingles far from the threshold never travel whole; beside it they do, and the answer is exact."""
+    words = [f"w{i}" for i in range(3003)]
+    texts = [" ".join(words)]
+    for edits in (5, 60, 62, 90):
+        own = list(words)
+        for k in range(edits):
+            own[2 + k * (3000 // edits)] = f"e{edits}_{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs)
+    sets = docs.select("text").mapInArrow(J.set_rows(4), "sid long, size long, sketch binary, cells binary")
+    assert all(len(r.cells) < 2 * r.size for r in sets.collect())
+
+    def refused(sids, n):
+        raise AssertionError("whole sets were asked for")
+
+    rows = {r.size: r.sid for r in sets.collect()}
+    ids = [r.sid for r in sets.collect()]
+    state = J.Join(sets, refused, 85, 100)
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[4])], "x long, y long")
+    assert len(rows) == 1 and state.verify(pairs, 2) == 1

@@ -27,7 +27,8 @@ def _day(dates: DataFrame, as_of: str):
 
 
 def recent_panel(
-    bars: DataFrame, formulas: dict[str, str], as_of: str, horizon: int = 5, lookback: int = 40, lag: int = 0, more: int = 15
+    bars: DataFrame, formulas: dict[str, str], as_of: str, horizon: int = 5, lookback: int = 40, lag: int = 0, more: int = 15,
+    width: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(panel, signals) that a report on ``as_of`` needs, and nothing older.
 
@@ -35,7 +36,9 @@ def recent_panel(
     How far back their values reach follows from the formulas (and ``more``
     bars for the trade levels); the scan is bounded by it. Signals have the
     values of ``formulas`` and ``fwd_<horizon>`` on those dates only, and are
-    what a run over all history gives.
+    what a run over all history gives; they are written once, a row per name
+    and date, as every step of a report reads them. ``width`` as for
+    ``compute_factors``. ``bars`` are read several times.
     """
     days = bars.select(DATE).distinct().where(c(DATE) <= F.lit(as_of).cast("date")).orderBy(F.desc(DATE)).limit(lookback + lag + 1)
     bounds = days.agg(F.min(DATE).alias("first"), F.max(DATE).alias("last")).first()
@@ -43,7 +46,8 @@ def recent_panel(
     back = None if None in spans else max([more, *spans])
     near = P.bars_around(bars, str(bounds["first"]), str(bounds["last"]), back, horizon)
     panel = P.with_features(P.index_bars(P.positive_close(near))).withColumn(f"fwd_{horizon}", P.forward_return(horizon))
-    wide = compute_factors(panel, formulas, keep=(f"fwd_{horizon}",)).where(c(DATE).between(bounds["first"], bounds["last"]))
+    wide = compute_factors(panel, formulas, keep=(f"fwd_{horizon}",), width=width)
+    wide = cut(wide.where(c(DATE).between(bounds["first"], bounds["last"])))
     return panel, long_signals(wide, list(formulas), keep=[f"fwd_{horizon}"])
 
 

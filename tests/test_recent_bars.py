@@ -81,3 +81,18 @@ def test_a_universe_bounds_cross_sections_not_history(spark):
     day = frame.groupby("date")
     frame["v"] = day["d"].rank(pct=True) - (frame["x"] - day["x"].transform("mean")) / day["x"].transform("std")
     np.testing.assert_allclose(got.astype(float), frame.set_index(["symbol", "date"])["v"].sort_index())
+
+
+def test_recent_signals_are_written_once(spark):
+    """Each step of a report reads the signals: none of them may repeat the windows."""
+    bars = stored(spark)
+    _, signals = recent_panel(bars, FORMULAS, "2020-12-15", lookback=10, lag=2)
+    plan = signals._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FileScan" not in plan
+    plain = {"a": "rank(delta(ts_mean(close, 5), 10))", "b": "rank(volume)"}
+    one, other = (
+        recent_panel(bars, plain, "2020-12-15", lookback=10, lag=2, width=w)[1].toPandas().set_index(["factor_id", "symbol", "date"]).sort_index()
+        for w in (None, 14)
+    )
+    np.testing.assert_allclose(one.astype(float), other.loc[one.index].astype(float))
+    assert len(one) == len(other)

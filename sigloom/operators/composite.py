@@ -14,6 +14,8 @@ from ..session import cut
 from .panel import beside, by_calendar, trade_dates
 
 c = F.col
+#: Eigenvalues of a correlation matrix up to this are taken for rounding.
+NO_VARIANCE = 1e-10
 
 
 def ir_weights(registry: DataFrame, ir: str = "ic_ir_7d", when_missing: float = 1.0) -> DataFrame:
@@ -100,13 +102,18 @@ def votes(labels: DataFrame, sides: DataFrame) -> DataFrame:
 
 
 def _inverse_form(flat, k: int):
-    """From a flat k-by-k correlation matrix: the matrix M whose z'Mz is the squared distance."""
+    """From a flat k-by-k correlation matrix: the matrix M whose z'Mz is the squared distance.
+
+    It is the inverse; only directions without variance are damped, as damping all of them would change the order of near distances.
+    """
     m = np.asarray(flat, dtype=float).reshape(k, k)
     if not np.isfinite(m).all():
         return None
     lam, vec = np.linalg.eigh(m)
-    lam = np.clip(lam, 0.0, None)
-    return list(((vec / (np.sqrt(lam) + 1e-6) ** 2) @ vec.T).ravel())
+    if lam[0] > NO_VARIANCE:
+        return list(np.linalg.inv(m).ravel())
+    lam = np.where(lam > NO_VARIANCE, lam, (np.sqrt(np.clip(lam, 0.0, None)) + 1e-6) ** 2)
+    return list(((vec / lam) @ vec.T).ravel())
 
 
 def _whitening(flat: Column, k: int) -> Column:
@@ -144,7 +151,8 @@ def measured_distances(rows: DataFrame, k: int, min_names: int, keep: tuple[str,
     stats = MO.grouped_moments(rows.where(whole), c("x"), k, DATE).where(c("n") >= min_names)
     sd = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sqrt(F.greatest(F.get("cov", i * (k + 1)), F.lit(0.0))))
     stats = stats.select(DATE, "mean", "cov", sd.alias("sd"))
-    cell = lambda v, i: v / ((F.get("sd", F.floor(i / k).cast("int")) + 1e-12) * (F.get("sd", i % k) + 1e-12))
+    # A constant column counts as uncorrelated.
+    cell = lambda v, i: F.coalesce(F.try_divide(v, F.get("sd", F.floor(i / k).cast("int")) * F.get("sd", i % k)), F.lit(0.0))
     stats = stats.select(DATE, "mean", "sd", _whitening(F.transform("cov", cell), k).alias("_w")).where(c("_w").isNotNull())
     z = F.zip_with(F.zip_with("x", "mean", lambda x, m: x - m), "sd", lambda x, s: x / (s + 1e-12))
     add = lambda a, b: a + b

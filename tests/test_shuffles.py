@@ -2,7 +2,8 @@
 
 import pytest
 
-from catalog import sources_joins, testbed as B
+from catalog import records, sources_joins, testbed as B
+from sigloom.operators import dayscores as DS
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,26 @@ def test_bars_and_windows_share_one_shuffle(spark, monkeypatch):
     want = rows(got)
     monkeypatch.setattr(B, "TRADES_IN_TASK", 0)
     assert rows(B.featured(spark, SF).select("symbol", "date", "ret_5d", "high", "open", "volume")) == want
+
+
+def counted(monkeypatch, name):
+    """Calls of one of the testbed's steps."""
+    calls, step = [], getattr(B, name)
+    monkeypatch.setattr(B, name, lambda *a, **k: calls.append(name) or step(*a, **k))
+    return calls
+
+
+def test_health_path_makes_bars_once(spark, monkeypatch):
+    calls = counted(monkeypatch, "symbol_bars")
+    records.health_path(spark, SF)
+    assert len(calls) == 1
+
+
+def test_several_targets_are_scored_in_one_pass(spark):
+    wide = B.wide_inputs(spark, SF).select("symbol", "date", "mom", "vol", "fwd_5", "fwd_7").localCheckpoint()
+    both = DS.scores_of(wide, ["mom", "vol"], ["fwd_5", "fwd_7"], 100, min_ic=1, every=True)
+    assert plan(both).count("FlatMapGroupsInArrow") == 1
+    assert both.select("date").distinct().count() == wide.select("date").distinct().count()
+    for t in ("fwd_5", "fwd_7"):
+        got = both.where((both["target"] == t) & (both["n_stocks"] > 0)).drop("target")
+        assert rows(got) == rows(DS.scores_of(wide, ["mom", "vol"], t, 100, min_ic=1))

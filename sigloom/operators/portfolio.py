@@ -102,9 +102,14 @@ def paper_returns(picks: DataFrame, next_ret: DataFrame, benchmark: DataFrame) -
     ``picks`` is 2·n rows per date; ``benchmark``: date, benchmark.
     """
     joined = picks.join(next_ret.withColumnRenamed(DATE, "as_of"), ["as_of", SYMBOL], "left")
+    return followed_picks(joined, neighbour_dates(next_ret), benchmark)
+
+
+def followed_picks(joined: DataFrame, neighbours: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``paper_returns`` of picks that carry ``ret_1d``, their return to the next date of ``neighbours`` (``panel.neighbour_dates``)."""
     side = lambda s: F.when(c("side") == s, c("ret_1d"))
     zero = F.lit(0.0)
-    steps = neighbour_dates(next_ret).select(c(DATE).alias("as_of"), c("next_date").alias("eval_date"))
+    steps = neighbours.select(c(DATE).alias("as_of"), c("next_date").alias("eval_date"))
     daily = (
         joined.groupBy("as_of")
         .agg(

@@ -2,7 +2,7 @@
 
 import pytest
 
-from catalog import records, sources_joins, testbed as B
+from catalog import portfolio, records, sources_joins, testbed as B
 from sigloom.operators import dayscores as DS
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,11 @@ def test_several_targets_are_scored_in_one_pass(spark):
     for t in ("fwd_5", "fwd_7"):
         got = both.where((both["target"] == t) & (both["n_stocks"] > 0)).drop("target")
         assert rows(got) == rows(DS.scores_of(wide, ["mom", "vol"], t, 100, min_ic=1))
+
+
+def test_paper_returns_make_bars_once(spark, monkeypatch):
+    calls = counted(monkeypatch, "symbol_bars")
+    got = rows(portfolio.paper_returns(spark, "/root/testdata/sf0.01"))
+    assert len(calls) == 1 and len(got) > 300
+    monkeypatch.setattr(DS, "fits", lambda *a: False)
+    assert rows(portfolio.paper_returns(spark, "/root/testdata/sf0.01")) == got

@@ -1,9 +1,13 @@
 """What queries send from task to task: plans that would fill disks at size."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
 
-from catalog import portfolio, records, sources_joins, testbed as B
-from sigloom.operators import dayscores as DS
+from catalog import portfolio, records, scoring, sources_joins, testbed as B
+from sigloom.operators import correlation as CR, dayscores as DS, panel as P, walkforward as WF
+from sigloom.operators.longform import long_signals
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +66,35 @@ def test_paper_returns_make_bars_once(spark, monkeypatch):
     assert len(calls) == 1 and len(got) > 300
     monkeypatch.setattr(DS, "fits", lambda *a: False)
     assert rows(portfolio.paper_returns(spark, "/root/testdata/sf0.01")) == got
+
+
+def test_check_gates_make_bars_once(spark, monkeypatch):
+    calls = counted(monkeypatch, "symbol_bars")
+    scoring.check_gates(spark, SF)
+    assert len(calls) == 1
+
+
+def test_fold_columns_and_products_equal_the_long_form(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(200)]
+    gone = lambda share: rng.rand() < share
+    data = [
+        (f"s{s:02d}", d, None if gone(0.1) else float(rng.randint(0, 30)), None if gone(0.3) else rng.randn(), None if gone(0.05) else rng.randn())
+        for d in days for s in range(30 if d.day % 9 else 22) if not gone(0.02)
+    ]
+    wide = spark.createDataFrame(data, "symbol string, date date, a double, b double, fwd_5 double").localCheckpoint()
+    folds = WF.fold_dates(P.trade_dates(wide), "2020-07-10", warmup=20, min_test=40).localCheckpoint()
+    want = WF.fold_metrics(long_signals(wide, ["a", "b"], ["fwd_5"]), folds, width=40)
+    got = rows(WF.fold_columns(wide, ["a", "b"], folds))
+    assert got == rows(want) and len(got) == 4
+    near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    pairs = near(CR.pair_summary(wide, ["a", "b"], min_names=22, width=40))
+    monkeypatch.setattr(DS, "fits", lambda *a: False)
+    assert pairs == near(CR.pair_summary(wide, ["a", "b"], min_names=22, width=40)) and len(pairs) == 2
+
+
+def test_averages_of_folds_round_as_sql(spark):
+    """0.4039 and 0.401 have the mean 0.40244999999999997."""
+    cols = "factor_id string, fold int, ic double, ic_ir double, sharpe double, turnover double, monotonicity double"
+    df = spark.createDataFrame([("f", 0, 0.1, 0.1, 0.1, 0.4039, 0.1), ("f", 1, 0.1, 0.1, 0.1, 0.401, 0.1)], cols)
+    assert WF.walk_forward(df).first()["avg_turnover"] == 0.4024

@@ -4,10 +4,13 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import portfolio, records, scoring, sources_joins, testbed as B
 from sigloom.operators import correlation as CR, dayscores as DS, panel as P, walkforward as WF
+from sigloom.functions import formula as FO
 from sigloom.operators.longform import long_signals
+from sigloom.plans import mining as M
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +101,21 @@ def test_averages_of_folds_round_as_sql(spark):
     cols = "factor_id string, fold int, ic double, ic_ir double, sharpe double, turnover double, monotonicity double"
     df = spark.createDataFrame([("f", 0, 0.1, 0.1, 0.1, 0.4039, 0.1), ("f", 1, 0.1, 0.1, 0.1, 0.401, 0.1)], cols)
     assert WF.walk_forward(df).first()["avg_turnover"] == 0.4024
+
+
+def test_the_grid_evaluates_a_window_once(spark):
+    texts = ["ts_std(close, 5)", "-ts_std(close, 5)", "-ts_std(close, 5) / (ts_std(close, 5) + 0.001)", "-(-close)"]
+    assert [FO.unsigned(x) for x in texts] == [
+        (texts[0], False), (texts[0], True), ("ts_std(close, 5) / (ts_std(close, 5) + 0.001)", True), ("close", False),
+    ]
+    panel = B.featured(spark, SF).withColumn("fwd_5", P.forward_return(5))
+    days = M.grid_days(panel, [M.Candidate((x,)) for x in texts[:3]], width=100)
+    assert plan(days).count("stddev_samp(") == 1
+
+
+def test_turned_columns_are_scored_as_their_negatives(spark):
+    wide = B.wide_inputs(spark, SF).select("symbol", "date", "mom", "vol", "fwd_5").localCheckpoint()
+    columns = [F.col("mom"), F.col("vol")]
+    got = DS.day_scores(wide, columns, [(~0,), (~1, 0)], "fwd_5")
+    want = DS.day_scores(wide, [*columns, -F.col("mom"), -F.col("vol")], [(2,), (3, 0)], "fwd_5")
+    assert rows(got) == rows(want)
